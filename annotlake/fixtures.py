@@ -146,7 +146,12 @@ def check_sql(body: str, extra: dict[str, str] | None = None) -> str:
 
     visit(body)
     plain = lambda sql: _REF.sub(lambda m: m.group(1), sql)
-    ctes = ",\n".join(f"{name} as ({plain(known[name])})" for name in ordered)
+    texts = [body, *[known[name] for name in ordered]]
+    used = {name: sum(len(re.findall(r"\{" + name + r"\}", text)) for text in texts) for name in ordered}
+    ctes = ",\n".join(
+        f"{name} as {'materialized ' if used[name] > 1 and name not in known[name] else ''}({plain(known[name])})"
+        for name in ordered
+    )
     return (f"with recursive {ctes}\n" if ctes else "") + plain(body)
 
 

@@ -16,6 +16,7 @@ from annotlake.operators.runs import (
     presence,
     union_presence,
 )
+from annotlake.plans.durable import cut
 from annotlake.plans.graph import star_components
 from annotlake.plans.overlap import cell_of, overlap_join, with_cells
 
@@ -38,9 +39,10 @@ def _contacts(runs: DataFrame, keys: Sequence[str], connectivity: int) -> DataFr
 def components_of(runs: DataFrame, keys: Sequence[str], connectivity: int = 8) -> DataFrame:
     """Add ``component`` to disjoint maximal runs: the place of its first pixel in raster order.
 
-    The place is y * 2^32 + x, so components order as a raster scan meets them.
+    The place is y * 2^32 + x, so components order as a raster scan meets them. The runs are
+    read three times below, so what made them is run once and cut off.
     """
-    placed = runs.withColumn("pos", F.col("y") * ROW + F.col("x0"))
+    placed = cut(runs.withColumn("pos", F.col("y") * ROW + F.col("x0")))
     roots = star_components(_contacts(placed, keys, connectivity), keys).withColumnRenamed("u", "pos")
     return (
         placed.join(roots, [*keys, "pos"], "left")

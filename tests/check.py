@@ -19,6 +19,8 @@ KINDS = {"i": "int", "u": "int", "f": "float", "b": "bool"}
 def connect(folder: str):
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
+    con.execute("set memory_limit='8GB'")
+    con.execute("set max_temp_directory_size='0GB'")
     for name in SOURCES:
         con.execute(f"create view {name} as select * from read_parquet('{folder}/{name}.parquet')")
     return con
