@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from annotlake.operators.runs import FRAME_LABEL, normalize_runs
 from annotlake.plans.overlap import cell_of
-from annotlake.plans.sweep import run_ends, sweep
+from annotlake.plans.spread import spread
+from annotlake.plans.sweep import sweep
 from annotlake.schema import SHAPES_JSON
 
 SAMPLES = 24
@@ -140,35 +141,69 @@ def polyline_length(points: str = "points") -> Column:
     return F.when(n >= 2, F.aggregate(steps, F.lit(0.0), lambda acc, v: acc + v)).otherwise(F.lit(0.0))
 
 
-def outline_edges(flattened: DataFrame, close: bool) -> DataFrame:
-    """One row per outline edge (x1, y1, x2, y2); ``close`` also joins the last point to the first."""
-    n = F.size("points")
-    edges = F.transform(
-        F.sequence(F.lit(1), n if close else n - 1),
-        lambda i: F.struct(
-            F.element_at("points", i)["x"].alias("x1"),
-            F.element_at("points", i)["y"].alias("y1"),
-            F.element_at("points", i % n + 1)["x"].alias("x2"),
-            F.element_at("points", i % n + 1)["y"].alias("y2"),
-        ),
+def outline_edges(shapes: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """One row per edge (x1, y1, x2, y2) of the flattened outline, straight from the nodes.
+
+    A closed shape's outline ends where it began, so no further closing edge exists. The
+    points are computed by plain column arithmetic on exploded rows, not inside lambdas.
+    """
+    n = F.size("nodes")
+    count = F.when(F.col("closed"), n).otherwise(n - 1)
+    ends = F.transform(
+        F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
+        lambda i: F.struct(F.element_at("nodes", i).alias("a"), F.element_at("nodes", i % n + 1).alias("b")),
+    )
+    kept = [c for c in shapes.columns if c not in ("nodes", "points")]
+    pairs = shapes.where(n >= 2).select(*kept, F.inline(ends))
+    straight = (
+        (F.col("a.out_x") == F.col("a.x"))
+        & (F.col("a.out_y") == F.col("a.y"))
+        & (F.col("b.in_x") == F.col("b.x"))
+        & (F.col("b.in_y") == F.col("b.y"))
+    )
+    steps = F.when(straight, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(samples)))
+    cut_up = pairs.select(
+        *kept,
+        *[F.col(f"{side}.{f}").alias(f"_{side}_{f}") for side, fs in (("a", ("x", "y", "out_x", "out_y")), ("b", ("x", "y", "in_x", "in_y"))) for f in fs],
+        F.explode(steps).alias("_s"),
+    )
+    whole = F.lit(float(samples))
+    timed = cut_up.withColumn("_t1", (F.col("_s") - 1) / whole).withColumn("_t2", F.col("_s") / whole)
+
+    def place(axis: str, t: str, end: str) -> Column:
+        corner = F.col(f"_{end}_{axis}")
+        curve = _cubic(
+            F.col(f"_a_{axis}"), F.col(f"_a_out_{axis}"), F.col(f"_b_in_{axis}"), F.col(f"_b_{axis}"), F.col(t)
+        )
+        return F.when(F.col("_s") == 0, corner).otherwise(curve)
+
+    return timed.select(
+        *kept,
+        place("x", "_t1", "a").alias("x1"),
+        place("y", "_t1", "a").alias("y1"),
+        place("x", "_t2", "b").alias("x2"),
+        place("y", "_t2", "b").alias("y2"),
     )
-    kept = [c for c in flattened.columns if c not in ("nodes", "points")]
-    return flattened.where(n >= 2).select(*kept, F.inline(edges))
 
 
 # ── rasterising ─────────────────────────────────────────────────────────────
 
 
-def rasterize_filled(flattened: DataFrame, frames: DataFrame) -> DataFrame:
+def _sized(shapes: DataFrame, frames: DataFrame) -> DataFrame:
+    """Image size on every shape, joined before shapes spread into edges and rows."""
+    sizes = frames.select(F.col("id").alias("frame_id"), "width", "height")
+    return spread(shapes.join(sizes, "frame_id"), "frame_id", "shape_id")
+
+
+def rasterize_filled(shapes: DataFrame, frames: DataFrame) -> DataFrame:
     """Even-odd fill at pixel centres of closed, filled shapes, as runs per shape.
 
     Each edge crosses a row at most once; a crossing flips the parity from its pixel on, so
     the fill is a row sweep over crossings and the pixel list of a polygon never exists.
     """
     keys = [*FRAME_LABEL, "shape_id"]
-    solid = flattened.where(F.col("closed") & F.col("filled") & (F.size("points") >= 2))
-    sizes = frames.select(F.col("id").alias("frame_id"), "width", "height")
-    edges = outline_edges(solid, close=True).where(F.col("y1") != F.col("y2")).join(sizes, "frame_id")
+    solid = _sized(shapes.where(F.col("closed") & F.col("filled")), frames)
+    edges = outline_edges(solid).where(F.col("y1") != F.col("y2"))
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     # Rows whose centre yc = y + 0.5 satisfies low <= yc < high.
     first = F.greatest(F.ceil(low - 0.5), F.lit(0))
@@ -186,12 +221,10 @@ def rasterize_filled(flattened: DataFrame, frames: DataFrame) -> DataFrame:
     return sweep(flips, keys, ["odd"], F.when(F.col("odd") % 2 == 1, F.lit(1)), "_in").drop("_in")
 
 
-def rasterize_stroked(flattened: DataFrame, frames: DataFrame, radius: float = STROKE_RADIUS) -> DataFrame:
+def rasterize_stroked(shapes: DataFrame, frames: DataFrame, radius: float = STROKE_RADIUS) -> DataFrame:
     """Other shapes: pixels whose centre lies within ``radius`` of the outline, as runs per shape."""
     keys = [*FRAME_LABEL, "shape_id"]
-    drawn = flattened.where(~(F.col("closed") & F.col("filled")) & (F.size("points") >= 2))
-    sizes = frames.select(F.col("id").alias("frame_id"), "width", "height")
-    edges = outline_edges(drawn, close=False).join(sizes, "frame_id")
+    edges = outline_edges(_sized(shapes.where(~(F.col("closed") & F.col("filled"))), frames))
     r = F.lit(radius)
     bounds = {
         "_x0": F.greatest(F.floor(F.least("x1", "x2") - r), F.lit(0)),
@@ -205,27 +238,37 @@ def rasterize_stroked(flattened: DataFrame, frames: DataFrame, radius: float = S
         .withColumn("y", F.explode(F.sequence("_y0", "_y1")))
     )
     pixels = rows.withColumn("x", F.explode(F.sequence("_x0", "_x1")))
-    d2 = distance_squared(F.col("x") + 0.5, F.col("y") + 0.5)
-    hit = pixels.where(d2 <= radius * radius)
+    hit = with_distance(pixels, F.col("x") + 0.5, F.col("y") + 0.5).where(F.col("d2") <= radius * radius)
     return normalize_runs(
         hit.select(*keys, "y", F.col("x").alias("x0"), (F.col("x") + 1).alias("x1")), keys
     )
 
 
-def distance_squared(px: Column, py: Column) -> Column:
-    """Squared distance of (px, py) to the edge (x1, y1, x2, y2) of the row."""
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    size = dx * dx + dy * dy
-    t = F.when(size > 0, ((px - F.col("x1")) * dx + (py - F.col("y1")) * dy) / size).otherwise(F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    ex, ey = px - (F.col("x1") + t * dx), py - (F.col("y1") + t * dy)
-    return ex * ex + ey * ey
+def with_distance(df: DataFrame, px: Column, py: Column) -> DataFrame:
+    """Add ``d2``, the squared distance of (px, py) to the edge (x1, y1, x2, y2) of the row.
+
+    Built in steps so that each intermediate value is computed once; the last one leaves
+    through a one-element explode, which keeps filters on it from unrolling the steps.
+    """
+    kept = df.columns
+    df = df.withColumns({"_dx": F.col("x2") - F.col("x1"), "_dy": F.col("y2") - F.col("y1"), "_px": px, "_py": py})
+    df = df.withColumn("_size", F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
+    along = ((F.col("_px") - F.col("x1")) * F.col("_dx") + (F.col("_py") - F.col("y1")) * F.col("_dy")) / F.col("_size")
+    t = F.when(F.col("_size") > 0, along).otherwise(F.lit(0.0))
+    df = df.withColumn("_t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
+    df = df.withColumns(
+        {
+            "_ex": F.col("_px") - (F.col("x1") + F.col("_t") * F.col("_dx")),
+            "_ey": F.col("_py") - (F.col("y1") + F.col("_t") * F.col("_dy")),
+        }
+    )
+    d2 = F.col("_ex") * F.col("_ex") + F.col("_ey") * F.col("_ey")
+    return df.select(*kept, F.explode(F.array(d2)).alias("d2"))
 
 
 def rasterize_shapes(shapes: DataFrame, frames: DataFrame) -> DataFrame:
     """Runs per shape: filled interiors and stroked outlines."""
-    flat = flatten_shapes(shapes)
-    return rasterize_filled(flat, frames).unionByName(rasterize_stroked(flat, frames))
+    return rasterize_filled(shapes, frames).unionByName(rasterize_stroked(shapes, frames))
 
 
 # ── hit tests ───────────────────────────────────────────────────────────────
@@ -263,14 +306,14 @@ def bbox_intersects(boxes: DataFrame, windows: DataFrame, size: int = GRID) -> D
     return a.join(b, ["frame_id", "gx", "gy"]).where(meets).drop("gx", "gy")
 
 
-def point_in_polygon(flattened: DataFrame, points: DataFrame, size: int = GRID) -> DataFrame:
+def point_in_polygon(shapes: DataFrame, points: DataFrame, size: int = GRID) -> DataFrame:
     """(shape_id, point_id) where a point lies inside a closed shape, even-odd.
 
     Only edges whose y range holds the point can cross its ray, so points meet edges on
     frame and row band. Crossings are counted per pair with a map-side combine.
     """
-    closed = flattened.where(F.col("closed") & (F.size("points") >= 3))
-    edges = outline_edges(closed.select("frame_id", "shape_id", "points"), close=True).where("y1 <> y2")
+    closed = shapes.where("closed").select("frame_id", "shape_id", "closed", "nodes")
+    edges = outline_edges(spread(closed, "frame_id", "shape_id")).where("y1 <> y2").drop("closed")
     banded = edges.withColumn(
         "band", F.explode(F.sequence(cell_of(F.least("y1", "y2"), size), cell_of(F.greatest("y1", "y2"), size)))
     )
@@ -282,16 +325,18 @@ def point_in_polygon(flattened: DataFrame, points: DataFrame, size: int = GRID)
     return odd.drop("n")
 
 
-def distance_to_shape(flattened: DataFrame, points: DataFrame, reach: float, size: int = GRID) -> DataFrame:
+def distance_to_shape(shapes: DataFrame, points: DataFrame, reach: float, size: int = GRID) -> DataFrame:
     """Least distance of a point to each outline of its frame within ``reach``.
 
     Edges are laid on the grid cells within reach of them, so a point meets nearby edges only.
     """
-    single = flattened.where(F.size("points") == 1).select(
+    single = shapes.where(F.size("nodes") == 1).select(
         "frame_id", "shape_id",
-        *[F.col("points")[0][a].alias(f"{a}{i}") for i in (1, 2) for a in ("x", "y")],
+        *[F.col("nodes")[0][a].alias(f"{a}{i}") for i in (1, 2) for a in ("x", "y")],
     )
-    edges = outline_edges(flattened.select("frame_id", "shape_id", "points"), close=False).unionByName(single)
+    slim = spread(shapes.select("frame_id", "shape_id", "closed", "nodes"), "frame_id", "shape_id")
+    drawn = outline_edges(slim).drop("closed")
+    edges = drawn.unionByName(single)
     r = F.lit(float(reach))
     spread = edges.withColumn(
         "gx", F.explode(F.sequence(cell_of(F.least("x1", "x2") - r, size), cell_of(F.greatest("x1", "x2") + r, size)))
@@ -302,27 +347,26 @@ def distance_to_shape(flattened: DataFrame, points: DataFrame, reach: float, siz
         "frame_id", "point_id", "px", "py", cell_of(F.col("px"), size).alias("gx"), cell_of(F.col("py"), size).alias("gy")
     )
     met = spread.join(placed, ["frame_id", "gx", "gy"])
-    d2 = distance_squared(F.col("px"), F.col("py"))
-    near = met.withColumn("d2", d2).where(F.col("d2") <= reach * reach)
+    near = with_distance(met, F.col("px"), F.col("py")).where(F.col("d2") <= reach * reach)
     return near.groupBy("frame_id", "shape_id", "point_id").agg(F.sqrt(F.min("d2")).alias("distance"))
 
 
-def pick_shape(flattened: DataFrame, points: DataFrame, tolerance: float) -> DataFrame:
+def pick_shape(shapes: DataFrame, points: DataFrame, tolerance: float) -> DataFrame:
     """Shape a click selects: scanning from the top, a body hit ends the search and wins;
     without any body hit the nearest outline within tolerance, the lower shape on ties.
 
-    ``flattened`` carries ``z``, the drawing order; both candidates per point are single
+    ``shapes`` carry ``z``, the drawing order; both candidates per point are single
     combined aggregates.
     """
-    order = flattened.select("shape_id", "z")
+    order = shapes.select("shape_id", "z")
     body = (
-        point_in_polygon(flattened, points)
+        point_in_polygon(shapes, points)
         .join(order, "shape_id")
         .groupBy("point_id")
         .agg(F.max(F.struct("z", "shape_id")).alias("_body"))
     )
     near = (
-        distance_to_shape(flattened, points, tolerance)
+        distance_to_shape(shapes, points, tolerance)
         .join(order, "shape_id")
         .groupBy("point_id")
         .agg(F.min(F.struct("distance", "z", "shape_id")).alias("_near"))

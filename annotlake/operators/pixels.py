@@ -163,24 +163,32 @@ def curve_table(curves: DataFrame) -> DataFrame:
     """
     keys = [c for c in curves.columns if c != "nodes"]
     many = with_tangents(curves.where(F.size("nodes") >= 2))
-    at = F.element_at
-    spread = many.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(255))))
-    n = F.size("nodes")
-    # Segment: as many inner nodes as lie left of v, plus one.
-    passed = F.size(F.filter(F.slice("nodes", F.lit(2), F.greatest(n - 2, F.lit(0))), lambda p: p["x"] < F.col("v")))
-    placed = spread.withColumn("seg", passed + 1)
-    p0, p1 = at("nodes", F.col("seg")), at("nodes", F.col("seg") + 1)
-    h = p1["x"] - p0["x"]
-    t = (F.col("v") - p0["x"]) / h
-    t2, t3 = t * t, t * t * t
+    at, n = F.element_at, F.size("nodes")
+    pieces = F.transform(
+        F.sequence(F.lit(1), n - 1),
+        lambda i: F.struct(
+            at("nodes", i)["x"].alias("x0"), at("nodes", i)["y"].alias("y0"), at("m", i).alias("m0"),
+            at("nodes", i + 1)["x"].alias("x1"), at("nodes", i + 1)["y"].alias("y1"), at("m", i + 1).alias("m1"),
+            (i == 1).alias("first"), (i == n - 1).alias("last"),
+        ),
+    )
+    segment = many.select(*keys, F.inline(pieces))
+    # A value belongs to the segment whose right end it has not passed.
+    low = F.when(F.col("first"), F.lit(0)).otherwise(F.greatest(F.floor("x0") + 1, F.lit(0)))
+    high = F.when(F.col("last"), F.lit(255)).otherwise(F.least(F.floor("x1"), F.lit(255)))
+    spread = segment.where(low <= high).withColumn("v", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    timed = spread.withColumn("h", F.col("x1") - F.col("x0")).withColumn("t", (F.col("v") - F.col("x0")) / F.col("h"))
+    t = F.col("t")
+    shaped = timed.withColumn("t2", t * t).withColumn("t3", t * t * t)
+    t2, t3 = F.col("t2"), F.col("t3")
     y = (
-        (t3 * 2.0 - t2 * 3.0 + 1.0) * p0["y"]
-        + (t3 - t2 * 2.0 + t) * h * at("m", F.col("seg"))
-        + (t2 * 3.0 - t3 * 2.0) * p1["y"]
-        + (t3 - t2) * h * at("m", F.col("seg") + 1)
+        (t3 * 2.0 - t2 * 3.0 + 1.0) * F.col("y0")
+        + (t3 - t2 * 2.0 + t) * F.col("h") * F.col("m0")
+        + (t2 * 3.0 - t3 * 2.0) * F.col("y1")
+        + (t3 - t2) * F.col("h") * F.col("m1")
     )
-    value = F.when(F.col("v") <= p0["x"], p0["y"]).when(F.col("v") >= p1["x"], p1["y"]).otherwise(y)
-    drawn = placed.select(*keys, "v", clamp(round_half_up(value), 0, 255).cast("int").alias("out"))
+    value = F.when(t <= 0, F.col("y0")).when(t >= 1, F.col("y1")).otherwise(y)
+    drawn = shaped.select(*keys, "v", clamp(round_half_up(value), 0, 255).cast("int").alias("out"))
     few = curves.where(F.size("nodes") < 2).select(*keys, F.explode(F.sequence(F.lit(0), F.lit(255))).alias("v"))
     return drawn.unionByName(few.withColumn("out", F.col("v")))
 

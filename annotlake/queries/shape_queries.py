@@ -168,12 +168,12 @@ EXTRA.update(clicks=CLICKS, inside=INSIDE, near=NEAR, segs1=SEGS1)
 
 @query("point_in_polygon", "select shape_id, point_id from {inside}", EXTRA)
 def _(t):
-    return G.point_in_polygon(flat(t), t.sql(CLICKS)).select("shape_id", "point_id")
+    return G.point_in_polygon(t.shapes, t.sql(CLICKS)).select("shape_id", "point_id")
 
 
 @query("distance_to_shape", "select shape_id, point_id, round(distance, 6) as distance from {near}", EXTRA)
 def _(t):
-    near = G.distance_to_shape(flat(t), t.sql(CLICKS), 8.0)
+    near = G.distance_to_shape(t.shapes, t.sql(CLICKS), 8.0)
     return near.select("shape_id", "point_id", F.round("distance", 6).alias("distance"))
 
 
@@ -185,7 +185,7 @@ def _(t):
     EXTRA,
 )
 def _(t):
-    return G.pick_shape(flat(t).withColumn("z", F.col("shape_id")), t.sql(CLICKS), 8.0)
+    return G.pick_shape(t.shapes.withColumn("z", F.col("shape_id")), t.sql(CLICKS), 8.0)
 
 
 @query(
@@ -231,12 +231,12 @@ def _(t):
 
 @query("rasterize_filled", to_runs("select * from {fill_px}", "frame_id, label_id, shape_id"), EXTRA)
 def _(t):
-    return G.rasterize_filled(flat(t), t.frames)
+    return G.rasterize_filled(t.shapes, t.frames)
 
 
 @query("rasterize_stroked", to_runs("select * from {stroke_shape_px}", "frame_id, label_id, shape_id"), EXTRA)
 def _(t):
-    return G.rasterize_stroked(flat(t), t.frames)
+    return G.rasterize_stroked(t.shapes, t.frames)
 
 
 @query(
