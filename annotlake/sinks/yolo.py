@@ -47,7 +47,7 @@ LINE = ("frame_id", "relative_path", "kind", "label_index", "part", "ring", "lin
 
 def _lines(df: DataFrame, kind: int, part: Column, ring: Column, line: Column) -> DataFrame:
     return df.select(
-        "frame_id", "relative_path", F.lit(kind).alias("kind"), F.col("label_index").cast("long").alias("label_index"), part.cast("long").alias("part"), ring.cast("int").alias("ring"), line.alias("line"),
+        "frame_id", "relative_path", F.lit(kind).alias("kind"), F.col("label_index").cast("long").alias("label_index"), part.cast("long").alias("part"), ring.cast("long").alias("ring"), line.alias("line"),
     )
 
 
