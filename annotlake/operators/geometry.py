@@ -58,23 +58,39 @@ def shapes_to_rows(shapes: DataFrame) -> DataFrame:
 # ── outlines ────────────────────────────────────────────────────────────────
 
 
-def _cubic(p0: Column, p1: Column, p2: Column, p3: Column, t: Column) -> Column:
-    s = F.lit(1.0) - t
-    return s * s * s * p0 + F.lit(3.0) * s * s * t * p1 + F.lit(3.0) * s * t * t * p2 + t * t * t * p3
+def curve_weights(samples: int) -> list[tuple[float, float, float, float]]:
+    """Weights of the four control points at each of ``samples`` + 1 parameters from 0 to 1."""
+    out = []
+    for k in range(samples + 1):
+        t = k / samples
+        s = 1.0 - t
+        out.append((s * s * s, 3.0 * s * s * t, 3.0 * s * t * t, t * t * t))
+    return out
+
+
+def _weight_struct(**named: tuple[float, float, float, float]) -> Column:
+    return F.struct(*[F.lit(v).alias(f"{prefix}{i}") for prefix, ws in named.items() for i, v in enumerate(ws)])
+
+
+def _is_straight(a: Column, b: Column) -> Column:
+    return (a["out_x"] == a["x"]) & (a["out_y"] == a["y"]) & (b["in_x"] == b["x"]) & (b["in_y"] == b["y"])
+
+
+def _weighed(w: Column, prefix: str, p0: Column, p1: Column, p2: Column, p3: Column) -> Column:
+    return w[f"{prefix}0"] * p0 + w[f"{prefix}1"] * p1 + w[f"{prefix}2"] * p2 + w[f"{prefix}3"] * p3
 
 
 def _segment_points(a: Column, b: Column, samples: int) -> Column:
-    straight = (
-        (a["out_x"] == a["x"]) & (a["out_y"] == a["y"]) & (b["in_x"] == b["x"]) & (b["in_y"] == b["y"])
-    )
+    weights = F.array(*[_weight_struct(w=w) for w in curve_weights(samples)[1:]])
     curve = F.transform(
-        F.sequence(F.lit(1), F.lit(samples)),
-        lambda s: F.struct(
-            _cubic(a["x"], a["out_x"], b["in_x"], b["x"], s / F.lit(float(samples))).alias("x"),
-            _cubic(a["y"], a["out_y"], b["in_y"], b["y"], s / F.lit(float(samples))).alias("y"),
+        weights,
+        lambda w: F.struct(
+            _weighed(w, "w", a["x"], a["out_x"], b["in_x"], b["x"]).alias("x"),
+            _weighed(w, "w", a["y"], a["out_y"], b["in_y"], b["y"]).alias("y"),
         ),
     )
-    return F.when(straight, F.array(F.struct(b["x"].alias("x"), b["y"].alias("y")))).otherwise(curve)
+    corner = F.array(F.struct(b["x"].alias("x"), b["y"].alias("y")))
+    return F.when(_is_straight(a, b), corner).otherwise(curve)
 
 
 def segments(nodes: str = "nodes") -> Column:
@@ -120,11 +136,8 @@ def polygon_bounds(points: Column) -> dict[str, Column]:
 def polygon_area(points: str = "points") -> Column:
     """Shoelace area of the ring through the points."""
     n = F.size(points)
-    cross = F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.element_at(points, i)["x"] * F.element_at(points, i % n + 1)["y"]
-        - F.element_at(points, i % n + 1)["x"] * F.element_at(points, i)["y"],
-    )
+    rotated = F.concat(F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(points, 1, 1))
+    cross = F.zip_with(points, rotated, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
     twice = F.aggregate(cross, F.lit(0.0), lambda acc, v: acc + v)
     return F.when(n > 0, F.abs(twice) / 2.0).otherwise(F.lit(0.0))
 
@@ -145,7 +158,8 @@ def outline_edges(shapes: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """One row per edge (x1, y1, x2, y2) of the flattened outline, straight from the nodes.
 
     A closed shape's outline ends where it began, so no further closing edge exists. The
-    points are computed by plain column arithmetic on exploded rows, not inside lambdas.
+    points are weighted sums of the control points: plain column arithmetic on exploded rows
+    with weights known when the plan is made.
     """
     n = F.size("nodes")
     count = F.when(F.col("closed"), n).otherwise(n - 1)
@@ -155,34 +169,22 @@ def outline_edges(shapes: DataFrame, samples: int = SAMPLES) -> DataFrame:
     )
     kept = [c for c in shapes.columns if c not in ("nodes", "points")]
     pairs = shapes.where(n >= 2).select(*kept, F.inline(ends))
-    straight = (
-        (F.col("a.out_x") == F.col("a.x"))
-        & (F.col("a.out_y") == F.col("a.y"))
-        & (F.col("b.in_x") == F.col("b.x"))
-        & (F.col("b.in_y") == F.col("b.y"))
-    )
-    steps = F.when(straight, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(samples)))
-    cut_up = pairs.select(
-        *kept,
-        *[F.col(f"{side}.{f}").alias(f"_{side}_{f}") for side, fs in (("a", ("x", "y", "out_x", "out_y")), ("b", ("x", "y", "in_x", "in_y"))) for f in fs],
-        F.explode(steps).alias("_s"),
-    )
-    whole = F.lit(float(samples))
-    timed = cut_up.withColumn("_t1", (F.col("_s") - 1) / whole).withColumn("_t2", F.col("_s") / whole)
+    ws = curve_weights(samples)
+    curve = F.array(*[_weight_struct(p=ws[k], q=ws[k + 1]) for k in range(samples)])
+    line = F.array(_weight_struct(p=ws[0], q=ws[-1]))
+    steps = F.explode(F.when(_is_straight(F.col("a"), F.col("b")), line).otherwise(curve))
+    split = pairs.select(*kept, "a", "b", steps.alias("w"))
 
-    def place(axis: str, t: str, end: str) -> Column:
-        corner = F.col(f"_{end}_{axis}")
-        curve = _cubic(
-            F.col(f"_a_{axis}"), F.col(f"_a_out_{axis}"), F.col(f"_b_in_{axis}"), F.col(f"_b_{axis}"), F.col(t)
-        )
-        return F.when(F.col("_s") == 0, corner).otherwise(curve)
+    def place(prefix: str, axis: str) -> Column:
+        controls = (F.col(f"a.{axis}"), F.col(f"a.out_{axis}"), F.col(f"b.in_{axis}"), F.col(f"b.{axis}"))
+        return _weighed(F.col("w"), prefix, *controls)
 
-    return timed.select(
+    return split.select(
         *kept,
-        place("x", "_t1", "a").alias("x1"),
-        place("y", "_t1", "a").alias("y1"),
-        place("x", "_t2", "b").alias("x2"),
-        place("y", "_t2", "b").alias("y2"),
+        place("p", "x").alias("x1"),
+        place("p", "y").alias("y1"),
+        place("q", "x").alias("x2"),
+        place("q", "y").alias("y2"),
     )
 
 
@@ -338,7 +340,7 @@ def distance_to_shape(shapes: DataFrame, points: DataFrame, reach: float, size:
     drawn = outline_edges(slim).drop("closed")
     edges = drawn.unionByName(single)
     r = F.lit(float(reach))
-    spread = edges.withColumn(
+    nearby = edges.withColumn(
         "gx", F.explode(F.sequence(cell_of(F.least("x1", "x2") - r, size), cell_of(F.greatest("x1", "x2") + r, size)))
     ).withColumn(
         "gy", F.explode(F.sequence(cell_of(F.least("y1", "y2") - r, size), cell_of(F.greatest("y1", "y2") + r, size)))
@@ -346,7 +348,7 @@ def distance_to_shape(shapes: DataFrame, points: DataFrame, reach: float, size:
     placed = points.select(
         "frame_id", "point_id", "px", "py", cell_of(F.col("px"), size).alias("gx"), cell_of(F.col("py"), size).alias("gy")
     )
-    met = spread.join(placed, ["frame_id", "gx", "gy"])
+    met = nearby.join(placed, ["frame_id", "gx", "gy"])
     near = with_distance(met, F.col("px"), F.col("py")).where(F.col("d2") <= reach * reach)
     return near.groupBy("frame_id", "shape_id", "point_id").agg(F.sqrt(F.min("d2")).alias("distance"))
 
@@ -390,18 +392,25 @@ def closest_segment(shapes: DataFrame, points: DataFrame, samples: int = SAMPLES
     asked = points.select("shape_id", "point_id", "px", "py").join(
         shapes.where(F.size("nodes") >= 2).select("shape_id", "closed", "nodes"), "shape_id"
     )
+    weights = F.array(
+        *[
+            F.struct(*[F.lit(v).alias(f"w{i}") for i, v in enumerate(w)], F.lit(k / samples).alias("t"))
+            for k, w in enumerate(curve_weights(samples))
+            if k > 0
+        ]
+    )
     candidates = F.flatten(
         F.transform(
             segments(),
             lambda s: F.transform(
-                F.sequence(F.lit(1), F.lit(samples)),
-                lambda k: F.struct(
+                weights,
+                lambda w: F.struct(
                     F.hypot(
-                        _cubic(s["a"]["x"], s["a"]["out_x"], s["b"]["in_x"], s["b"]["x"], k / F.lit(float(samples))) - F.col("px"),
-                        _cubic(s["a"]["y"], s["a"]["out_y"], s["b"]["in_y"], s["b"]["y"], k / F.lit(float(samples))) - F.col("py"),
+                        _weighed(w, "w", s["a"]["x"], s["a"]["out_x"], s["b"]["in_x"], s["b"]["x"]) - F.col("px"),
+                        _weighed(w, "w", s["a"]["y"], s["a"]["out_y"], s["b"]["in_y"], s["b"]["y"]) - F.col("py"),
                     ).alias("distance"),
                     (s["i"] - 1).alias("segment"),
-                    (k / F.lit(float(samples))).alias("t"),
+                    w["t"].alias("t"),
                 ),
             ),
         )

@@ -8,7 +8,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-import duckdb
+import duckdb  # noqa: E402
 import pandas as pd
 
 from annotlake.fixtures import SOURCES
