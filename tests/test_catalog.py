@@ -109,7 +109,7 @@ def test_polygon_fill_and_hits(spark, frames):
     area = {i: sum(r["x1"] - r["x0"] for r in runs if r["shape_id"] == i) for i in (1, 2, 3)}
     assert area[1] == area[2] == 9
     bow = {(r["y"], x) for r in runs if r["shape_id"] == 3 for x in range(r["x0"], r["x1"])}
-    assert (3, 4) not in bow and (3, 1) in bow and (3, 6) in bow
+    assert (3, 3) not in bow and (3, 1) in bow and (3, 6) in bow
     clicks = spark.createDataFrame([(1, 1, 2.5, 2.5), (2, 1, 15.0, 15.0)], "point_id long, frame_id long, px double, py double")
     picked = G.pick_shape(shapes.withColumn("z", F.col("shape_id")).where("shape_id < 3"), clicks, 2.0).collect()
     assert [(r["point_id"], r["shape_id"], r["body_hit"]) for r in picked] == [(1, 2, True)]
@@ -121,7 +121,7 @@ def test_homography_of_exact_pairs(spark):
     for reg, pts in ((1, [(0, 0), (100, 5), (90, 80), (4, 70), (50, 40)]), (2, [(0, 0), (1, 5), (9, 8)]), (3, [(7, 7)] * 5)):
         for i, (x, y) in enumerate(pts):
             u, v, w = m @ (x, y, 1)
-            rows.append((reg, i, u / w, v / w, float(x), float(y)))
+            rows.append((reg, i, float(u / w), float(v / w), float(x), float(y)))
     pairs = spark.createDataFrame(rows, schema.KEYPOINT_PAIRS)
     fitted = H.fit_homography(pairs)
     got = fitted.collect()
