@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotlake.operators.catalog import match_frames, match_summary, next_order
+from annotlake.operators.catalog import match_frames, next_order
 from annotlake.plans.numbering import number_rows, number_within
 
 
@@ -287,18 +287,21 @@ def merge_dataset(
         out["classifications"] = replace_by_key(
             classifications, new.drop("_was"), ["frame_id", "task_name"], F.lit(False)
         )
-    counts = match_summary(matched)
-    imported_n = F.lit(0).cast("long")
+    # One row per source of counts, summed into one row: no join of single rows.
+    names = ("frames_matched", "frames_unmatched", "annotations_imported", "labels_created")
+    zero = F.lit(0).cast("long")
+
+    def row(df: DataFrame, **known: Column) -> DataFrame:
+        return df.agg(*[known.get(n, zero).cast("long").alias(n) for n in names])
+
+    rows = row(
+        matched,
+        frames_matched=F.count("frame_id"),
+        frames_unmatched=F.count_if(F.col("frame_id").isNull()),
+    ).unionByName(row(created, labels_created=F.count(F.lit(1))))
     for part in done:
-        counts = counts.join(part.agg(F.count(F.lit(1)).alias("_k")), how="full", on=F.lit(True)).withColumn(
-            f"_k{len(counts.columns)}", F.col("_k")
-        ).drop("_k")
-    extra = [c for c in counts.columns if c.startswith("_k")]
-    total = sum((F.coalesce(F.col(c), F.lit(0)) for c in extra), imported_n)
-    made = created.agg(F.count(F.lit(1)).alias("labels_created"))
-    out["counts"] = (
-        counts.withColumn("annotations_imported", total).drop(*extra).join(made, how="full", on=F.lit(True))
-    )
+        rows = rows.unionByName(row(part, annotations_imported=F.count(F.lit(1))))
+    out["counts"] = rows.agg(*[F.sum(n).alias(n) for n in names])
     return out
 
 

@@ -246,15 +246,11 @@ def _(t):
 
 
 def coco_docs(t):
-    """The exported corpus as documents: one per sequence."""
+    """The exported corpus as documents of 64 images each."""
     images = CO.coco_images(t.frames)
-    keyed = images.select("frame_id", F.col("id").alias("image_id")).join(
-        t.frames.select(F.col("id").alias("frame_id"), "sequence_id"), "frame_id"
-    )
+    keyed = images.select(F.floor(F.col("id") / 64).alias("doc_id"), F.col("id").alias("image_id"))
     anns = CO.coco_annotations(images, regions(t), flat(t), labelled(t))
-    docs = CO.coco_documents(
-        keyed.select(F.col("sequence_id").alias("doc_id"), "image_id"), images.drop("frame_id"), CO.coco_categories(labelled(t)), anns
-    )
+    docs = CO.coco_documents(keyed, images.drop("frame_id"), CO.coco_categories(labelled(t)), anns)
     text = docs.select("doc_id", F.to_json(F.struct("images", "categories", "annotations")).alias("text"))
     from annotlake.schema import COCO_FILE
 
@@ -263,16 +259,13 @@ def coco_docs(t):
 
 @query(
     "read_coco",
-    """select f.sequence_id as doc_id, i.file_name as relative_path, category_id as label_index, kind = 1 as filled, count(*) as shapes,
-              round(sum(case when kind = 0 then 4 else b.n end), 3)::bigint as points
-       from {coco_rows} r join {coco_images_t} i on i.id = r.image_id join {frames} f on f.id = i.frame_id
-       left join (select n, row_number() over (order by i.id, l.label_index, shape_id) as k from {boxes} b
-                  join {coco_images_t} i on i.frame_id = b.frame_id join {label_idx} l on l.label_id = b.label_id where b.n >= 3) b on false
-       where kind = 0 group by all
+    """select i.id // 64 as doc_id, i.file_name as relative_path, category_id as label_index, false as filled,
+              count(*) as shapes, 4 * count(*) as points
+       from {coco_rows} r join {coco_images_t} i on i.id = r.image_id where kind = 0 group by all
        union all
-       select f.sequence_id, i.file_name, l.label_index, true, count(*), sum(b.n)::bigint
+       select i.id // 64, i.file_name, l.label_index, true, count(*), sum(b.n)::bigint
        from {boxes} b join {coco_images_t} i on i.frame_id = b.frame_id join {label_idx} l on l.label_id = b.label_id
-       join {frames} f on f.id = b.frame_id where b.n >= 3 group by all""",
+       where b.n >= 3 group by all""",
     COCO,
 )
 def _(t):
