@@ -15,6 +15,8 @@ from annotlake.plans.numbering import number_within
 from annotlake.plans.spread import spread
 
 COMPACTNESS, PASSES = 10.0, 10
+# Passes between lineage cuts: a pass reads the centres twice, so the plan doubles with each.
+PASSES_PER_CUT = 2
 
 
 def _grid(frames: DataFrame, target: int) -> DataFrame:
@@ -60,14 +62,16 @@ def slic_labels(pixels: DataFrame, frames: DataFrame, target: int) -> DataFrame:
     lab = located.select("frame_id", "y", "x", F.col("l").alias("cl"), F.col("a").alias("ca"), F.col("lab_b").alias("cb"))
     slim = ["frame_id", "r", "c", "ci", "cl", "ca", "cb", "cx", "cy"]
     centres = at.join(lab, ["frame_id", "y", "x"]).select(*slim)
-    for _ in range(PASSES - 1):
+    for done in range(1, PASSES):
         labelled = _assign(located, centres)
         means = labelled.groupBy("frame_id", "ci").agg(
             *[F.avg(c).alias(n) for c, n in (("l", "nl"), ("a", "na"), ("lab_b", "nb"), ("x", "nx"), ("y", "ny"))]
         )
         moved = centres.join(means, ["frame_id", "ci"], "left")
         names = zip(("cl", "ca", "cb", "cx", "cy"), ("nl", "na", "nb", "nx", "ny"))
-        centres = cut(moved.select("frame_id", "r", "c", "ci", *[F.coalesce(n, c).alias(c) for c, n in names]))
+        centres = moved.select("frame_id", "r", "c", "ci", *[F.coalesce(n, c).alias(c) for c, n in names])
+        if done % PASSES_PER_CUT == 0:
+            centres = cut(centres)
     return _assign(located, centres).select("frame_id", "y", "x", "l", "a", "lab_b", "ci")
 
 
