@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotlake.plans.durable import cut
-
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 SLICE_BYTES = 1 << 20
@@ -38,16 +36,6 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def apart(df: DataFrame, *keys: str) -> DataFrame:
-    """Write an aggregate and forget how it is partitioned.
-
-    A join against it then shuffles both sides plainly, which is the shape whose hot keys
-    adaptive execution can split.
-    """
-    kept = cut(df)
-    return kept.select(*[(F.expr(f"{c} ^ 0L") if c in keys else F.col(c)).alias(c) for c in kept.columns])
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash."""
     x = x ^ (x >> np.uint64(31))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotlake.llm.common import apart, body, lists, lower, mix, shingle_hashes, sized_broadcast, span_hashes, text_slices, word_spans
+from annotlake.llm.common import body, lists, lower, mix, shingle_hashes, sized_broadcast, span_hashes, text_slices, word_spans
 from annotlake.plans.durable import cut
 from annotlake.plans.graph import star_components
 
@@ -145,7 +145,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     a band of minima are compared inside their band bucket: first against one centre a round,
     then, among members that still lie in different components, against each other. A bucket
     whose members lie in one component is finished, so groups of any size cost a few rows a
-    member. Estimates from packed bits thin the pairs; whole sets decide.
+    member. Aggregates are written before they meet hot keys, so that both sides of such joins
+    are plain shuffles that adaptive execution can split. Estimates from packed bits thin the pairs; whole sets decide.
 
     No words or a null text: the empty set, linked with nothing. A null doc_id: its row comes
     back with a null component, kept. Rows that share a doc_id are one document. An empty
@@ -156,9 +157,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     sketch = F.struct(F.col("doc_id").alias("id"), "n", *PLANES)
     classes = full.groupBy("hi", "lo", "n").agg(F.min(F.struct(F.col("doc_id").alias("id"), *PLANES, "bands")).alias("r"))
     classes = cut(classes.select("hi", "lo", F.col("r.id").alias("doc_id"), "n", *[f"r.{p}" for p in PLANES], "r.bands"))
-    shared = apart(
-        classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "key"
-    )
+    shared = cut(classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
     live = cut(classes.select(F.explode("bands").alias("key"), sketch.alias("s")).join(shared, "key").select("key", "s", F.col("s.id").alias("comp")))
 
     needed = cut(live.select(F.col("s.id").alias("_id")).distinct())
@@ -174,7 +173,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
             F.max("comp").alias("c1"),
             F.min_by(F.struct("s", "comp"), F.xxhash64(F.lit(turn), F.col("s.id"))).alias("centre"),
         )
-        mixed = apart(mixed.where("c0 <> c1").select("key", "centre"), "key")
+        mixed = cut(mixed.where("c0 <> c1").select("key", "centre"))
         if mixed.isEmpty():
             break
         if turn < STAR_ROUNDS:
@@ -198,9 +197,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
         result = result.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left")
     else:
         result = result.withColumn("root", F.lit(None).cast("long"))
-    result = apart(
-        result.select("hi", "lo", F.coalesce("root", "doc_id").alias("root")).groupBy("hi", "lo").agg(F.min("root").alias("root")), "hi", "lo"
-    )
+    result = cut(result.groupBy("hi", "lo").agg(F.min(F.coalesce("root", "doc_id")).alias("root")))
     out = found.select("doc_id", "n", "hi", "lo").join(result, ["hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("root"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(

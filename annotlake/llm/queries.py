@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annotlake.llm import minhash, mixing
+from annotlake.llm import minhash, mixing, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -103,3 +103,18 @@ group by d.doc_id
 )
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), percent=85)
+
+
+@_query("op7_warc_reassembly")
+def warc_reassembly(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.page_records(_table(spark, folder, "pages")).drop("whole")
+
+
+@_query("op3_quality_classifier")
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query("op9_toxicity_classifier")
+def toxicity_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
