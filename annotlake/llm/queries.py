@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annotlake.llm import minhash, mixing, quality, toxicity, warc
+from annotlake.llm import embedding_dedup, minhash, mixing, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -118,3 +118,13 @@ def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op9_toxicity_classifier")
 def toxicity_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query("op8_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, folder, "embeddings"))
+
+
+@_query("op10_pii_surrogates")
+def pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.replace_entities(_table(spark, folder, "documents"), count="n_entities").select("doc_id", "n_entities", "text")
