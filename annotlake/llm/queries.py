@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annotlake.llm import embedding_dedup, minhash, mixing, pii, quality, toxicity, warc
+from annotlake.llm import chat, decontamination, embedding_dedup, minhash, mixing, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -128,3 +128,35 @@ def embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_pii_surrogates")
 def pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return pii.replace_entities(_table(spark, folder, "documents"), count="n_entities").select("doc_id", "n_entities", "text")
+
+
+@_query("op1_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.benchmark_matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query(
+    "op6_chat_perspectives",
+    """
+with said as (
+  select conv_id, turn, coalesce(role, 'unknown') as speaker, replace(coalesce(text, ''), '<|im_', '<|im' || chr(8288) || '_') as text
+  from conversations where conv_id is not null),
+people as (select distinct conv_id, speaker as participant from said where speaker <> 'system'),
+parts as (
+  select p.conv_id, p.participant, s.turn, s.speaker, s.text,
+         '<|im_start|>' || case when s.speaker = p.participant then 'assistant' when s.speaker = 'system' then 'system'
+           else 'user name=' || replace(s.speaker, '<|im_', '<|im' || chr(8288) || '_') end || chr(10) as head,
+         s.text || '<|im_end|>' || chr(10) as rest, s.speaker = p.participant as own
+  from people p join said s on s.conv_id = p.conv_id)
+select conv_id, participant, count(*)::int as n_turns,
+       string_agg(head || rest, '' order by turn nulls first, speaker, text) as text,
+       string_agg(length(head) || ':0,' || length(rest) || case when own then ':1' else ':0' end, ',' order by turn nulls first, speaker, text) as mask,
+       sum(length(head) + length(rest))::bigint as n_chars,
+       sum(case when own then length(rest) else 0 end)::bigint as n_trained
+from parts group by conv_id, participant
+""",
+)
+def chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    views = chat.rotate_perspectives(_table(spark, folder, "conversations"))
+    run = lambda m: F.concat_ws(":", m["length"].cast("string"), m["trained"].cast("int").cast("string"))
+    return views.withColumn("mask", F.array_join(F.transform("mask", run), ","))
