@@ -133,6 +133,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= union * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _peeled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of bucket members ``key, s, comp``, those that may still have a partner, with ``own``: shingles no other member holds.
+
+    A set of n shingles, ``own`` of them its own, shares at most ``n - own`` with any other;
+    against the smallest set of its bucket that bounds its similarity. Members that can't
+    reach it leave, which may leave others more shingles of their own, so this is done twice.
+    """
+    rest = cut(rest)
+    for _ in range(2):
+        ids = rest.select(F.col("s.id").alias("id")).distinct()
+        token = sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("token"))
+        alone = token.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("_id")).where("m = 1")
+        own = cut(alone.groupBy("_id").agg(F.count(F.lit(1)).alias("own")))
+        members = rest.drop("own").join(own, F.col("s.id") == F.col("_id"), "left").select("key", "s", "comp", F.coalesce("own", F.lit(0)).alias("own"))
+        members = cut(members)
+        smallest = cut(members.groupBy("key").agg(F.min("s.n").alias("least")))
+        shared = F.col("s.n") - F.col("own")
+        may = shared * 100 >= (F.col("s.n") + F.greatest(F.col("least"), shared) - shared) * percent
+        left = members.join(smallest, "key").where(may).select("key", "s", "comp", "own")
+        mixed = cut(left.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key"))
+        rest = cut(left.join(mixed, "key"))
+    return rest
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -143,7 +167,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
 
     Equal sets are folded into one class first, so copies are never paired. Classes that share
     a band of minima are compared inside their band bucket: first against one centre a round,
-    then, among members that still lie in different components, against each other. A bucket
+    then, among members that still lie in different components and whose own shingles leave
+    room for a link, against each other. A bucket
     whose members lie in one component is finished, so groups of any size cost a few rows a
     member. Aggregates are written before they meet hot keys, so that both sides of such joins
     are plain shuffles that adaptive execution can split. Estimates from packed bits thin the pairs; whole sets decide.
@@ -179,9 +204,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
         if turn < STAR_ROUNDS:
             pairs = live.join(mixed, "key").where("comp <> centre.comp").select(F.col("s").alias("x"), F.col("centre.s").alias("y"))
         else:
-            rest = cut(live.join(mixed.select("key"), "key").select("key", "s", "comp"))
-            other = rest.select(F.col("key"), F.col("s").alias("y"), F.col("comp").alias("other"))
-            pairs = rest.select("key", F.col("s").alias("x"), "comp").join(other, "key").where("comp < other").select("x", "y")
+            rest = _peeled(live.join(mixed.select("key"), "key").select("key", "s", "comp"), sets, percent)
+            other = rest.select("key", F.col("s").alias("y"), F.col("comp").alias("other"), F.col("own").alias("own_y"))
+            most = F.least(F.col("x.n") - F.col("own"), F.col("y.n") - F.col("own_y"))
+            may = (F.col("comp") < F.col("other")) & (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent)
+            pairs = rest.select("key", F.col("s").alias("x"), "comp", "own").join(other, "key").where(may).select("x", "y")
         new = cut(_confirmed(cut(_candidates(pairs, percent)), sets, percent))
         links = new if links is None else links.unionByName(new)
         if new.isEmpty():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annotlake.llm import chat, decontamination, embedding_dedup, minhash, mixing, pii, quality, toxicity, warc
+from annotlake.llm import chat, decontamination, embedding_dedup, minhash, mixing, pii, quality, repeats, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -160,3 +160,9 @@ def chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
     views = chat.rotate_perspectives(_table(spark, folder, "conversations"))
     run = lambda m: F.concat_ws(":", m["length"].cast("string"), m["trained"].cast("int").cast("string"))
     return views.withColumn("mask", F.array_join(F.transform("mask", run), ","))
+
+
+@_query("op2_repeated_spans")
+def repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", repeats.kept_digest())

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annotlake.llm.common import sized_broadcast
+from annotlake.llm.common import remove_folder, sized_broadcast
 from annotlake.plans.durable import cut, shared_folder
 
 SEGMENT_BYTES = 1 << 15
@@ -264,8 +264,7 @@ def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     records = read_records(spark, path)
     payloads = cut(read_payloads(records).select("record_id", "copies", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "whole"))
     revisits = cut(records.where("record_type = 'revisit'").select("record_id", "refers_to"))
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    remove_folder(spark, path)
     responses = payloads.select(
         page_of("record_id").alias("page_id"),
         "payload_bytes",
