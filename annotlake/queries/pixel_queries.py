@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annotlake.functions.color import DELTA_E_STEPS
 from annotlake.operators import pixels as X
 from annotlake.operators import registration as G
 from annotlake.queries.mask_queries import to_runs
@@ -192,10 +191,22 @@ LAB = f"""select frame_id, y, x, 116.0 * fy - 16.0 as l, 500.0 * (fx - fy) as a,
 
 
 def delta_sql(source: str) -> str:
-    """The colour difference steps as nested selects."""
-    for step in DELTA_E_STEPS:
-        source = f"select *, {', '.join(f'{v} as {k}' for k, v in step.items())} from ({source})"
-    return source
+    """CIEDE2000 in degrees with hue angles from dot and cross products; every step is kept as a table."""
+    weight = lambda x: f"sqrt({x} ** 7 / ({x} ** 7 + 25.0::double ** 7))"
+    return f"""with s0 as materialized ({source}),
+      s1 as materialized (select *, 0.5::double * (3 - {weight('((sqrt(a1 ** 2 + b1 ** 2) + sqrt(a2 ** 2 + b2 ** 2)) / 2)')}) as stretch from s0),
+      s2 as materialized (select *, a1 * stretch as u1, a2 * stretch as u2 from s1),
+      s3 as materialized (select *, sqrt(u1 ** 2 + b1 ** 2) as k1, sqrt(u2 ** 2 + b2 ** 2) as k2,
+                                 degrees(atan2(u1 * b2 - u2 * b1, u1 * u2 + b1 * b2)) as apart from s2),
+      s4 as materialized (select *, (k1 + k2) / 2 as k, (l1 + l2) / 2 as lum,
+                                 degrees(atan2(b1, u1)) + apart / 2 + case when degrees(atan2(b1, u1)) + apart / 2 < 0 then 360 else 0 end as m from s3),
+      s5 as materialized (select *, case when m >= 360 then m - 360 else m end as mean_hue from s4),
+      s6 as materialized (select *, (l2 - l1) / (1 + 0.015::double * (lum - 50) ** 2 / sqrt(20 + (lum - 50) ** 2)) as d_light,
+          (k2 - k1) / (1 + 0.045::double * k) as d_chroma,
+          2 * sqrt(k1 * k2) * sin(radians(apart / 2)) / (1 + 0.015::double * k * (1 - 0.17::double * cos(radians(mean_hue - 30))
+            + 0.24::double * cos(radians(2 * mean_hue)) + 0.32::double * cos(radians(3 * mean_hue + 6)) - 0.2::double * cos(radians(4 * mean_hue - 63)))) as d_tone,
+          -{weight('k')} * 2 * sin(radians(60 * exp(-(((mean_hue - 275) / 25) ** 2)))) as turn_back from s5)
+      select * exclude (d_light, d_chroma, d_tone, stretch, u1, u2, k1, k2, apart, k, lum, m, mean_hue, turn_back), sqrt(greatest(d_light ** 2 + d_chroma ** 2 + d_tone ** 2 + turn_back * d_chroma * d_tone, 0)) as delta_e from s6"""
 
 
 SEED = "select vec_id as frame_id, 0 as seed_id, label % 8 as x, vec_id % 8 as y from {embeddings}"
