@@ -135,10 +135,6 @@ def largest_component(components: DataFrame, keys: Sequence[str] = FRAME_LABEL)
     return components.join(best.select(*keys, F.col("b.component").alias("component")), [*keys, "component"], "left_semi")
 
 
-def approx_step(width: int, height: int) -> int:
-    return max(1, -(-max(width, height) // 2048))
-
-
 def approx_component_boxes(runs: DataFrame, step: int, keys: Sequence[str] = FRAME_LABEL) -> DataFrame:
     """Component boxes found on a coarse grid and scaled back."""
     parts = components_of(downsample_presence(runs, step, keys), keys)

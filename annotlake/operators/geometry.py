@@ -6,10 +6,13 @@ row-local expression and needs no shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annotlake.operators.runs import FRAME_LABEL, normalize_runs
+from annotlake.plans.durable import cut
 from annotlake.plans.overlap import cell_of
 from annotlake.plans.spread import spread
 from annotlake.plans.sweep import sweep
@@ -327,18 +330,23 @@ def point_in_polygon(shapes: DataFrame, points: DataFrame, size: int = GRID) ->
     return odd.drop("n")
 
 
-def distance_to_shape(shapes: DataFrame, points: DataFrame, reach: float, size: int = GRID) -> DataFrame:
-    """Least distance of a point to each outline of its frame within ``reach``.
-
-    Edges are laid on the grid cells within reach of them, so a point meets nearby edges only.
-    """
+def outline_segments(shapes: DataFrame) -> DataFrame:
+    """``frame_id, shape_id, x1, y1, x2, y2`` of every outline edge; a single node is an edge of no length."""
     single = shapes.where(F.size("nodes") == 1).select(
         "frame_id", "shape_id",
         *[F.col("nodes")[0][a].alias(f"{a}{i}") for i in (1, 2) for a in ("x", "y")],
     )
     slim = spread(shapes.select("frame_id", "shape_id", "closed", "nodes"), "frame_id", "shape_id")
     drawn = outline_edges(slim).drop("closed")
-    edges = drawn.unionByName(single)
+    return drawn.unionByName(single).dropna(subset=["x1", "y1", "x2", "y2"])
+
+
+def outlines_near(shapes: DataFrame, points: DataFrame, reach: float, size: int = GRID) -> DataFrame:
+    """Least distance of a point to each outline of its frame within ``reach``.
+
+    Edges are laid on the grid cells within reach of them, so a point meets nearby edges only.
+    """
+    edges = outline_segments(shapes)
     r = F.lit(float(reach))
     nearby = edges.withColumn(
         "gx", F.explode(F.sequence(cell_of(F.least("x1", "x2") - r, size), cell_of(F.greatest("x1", "x2") + r, size)))
@@ -353,6 +361,28 @@ def distance_to_shape(shapes: DataFrame, points: DataFrame, reach: float, size:
     return near.groupBy("frame_id", "shape_id", "point_id").agg(F.sqrt(F.min("d2")).alias("distance"))
 
 
+def distance_to_shape(shapes: DataFrame, points: DataFrame, reach: float = GRID) -> DataFrame:
+    """``frame_id, point_id, shape_id, distance``: the outline of its frame nearest to each point, the lowest id on ties.
+
+    Points look within ``reach`` first; those that found nothing look twice as far, on cells
+    twice as wide, until every point whose frame has an outline has one. The number of
+    rounds grows with the logarithm of the farthest distance.
+    """
+    drawn = outline_segments(shapes).select("frame_id").distinct()
+    left = cut(points.select("frame_id", "point_id", "px", "py").dropna(subset=["px", "py"]).join(drawn, "frame_id", "left_semi"))
+    found = None
+    while not left.isEmpty():
+        near = outlines_near(shapes, left, reach, max(1, math.ceil(reach)))
+        best = near.groupBy("frame_id", "point_id").agg(F.min(F.struct(F.round("distance", 9).alias("d"), "shape_id", "distance")).alias("b"))
+        best = cut(best.select("frame_id", "point_id", "b.shape_id", "b.distance"))
+        found = best if found is None else found.unionByName(best)
+        left = cut(left.join(best.select("frame_id", "point_id"), ["frame_id", "point_id"], "left_anti"))
+        reach *= 2
+    if found is None:
+        return left.select("frame_id", "point_id", F.lit(None).cast("long").alias("shape_id"), F.lit(None).cast("double").alias("distance"))
+    return found
+
+
 def pick_shape(shapes: DataFrame, points: DataFrame, tolerance: float) -> DataFrame:
     """Shape a click selects: scanning from the top, a body hit ends the search and wins;
     without any body hit the nearest outline within tolerance, the lower shape on ties.
@@ -368,7 +398,7 @@ def pick_shape(shapes: DataFrame, points: DataFrame, tolerance: float) -> DataFr
         .agg(F.max(F.struct("z", "shape_id")).alias("_body"))
     )
     near = (
-        distance_to_shape(shapes, points, tolerance)
+        outlines_near(shapes, points, tolerance)
         .join(order, "shape_id")
         .groupBy("point_id")
         .agg(F.min(F.struct("distance", "z", "shape_id")).alias("_near"))

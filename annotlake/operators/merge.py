@@ -169,18 +169,14 @@ def reorder_sequences(sequences: DataFrame, ordered: DataFrame) -> DataFrame:
 
 def move_frames(frames: DataFrame, moved: DataFrame, target) -> DataFrame:
     """Reassign ``moved(id, place)`` to a sequence, after its last frame, in the given order."""
-    after = next_order(frames.where(F.col("sequence_id") == target), "frame_index").withColumn(
-        "_target", F.lit(target)
-    )
+    after = next_order(frames.where(F.col("sequence_id") == target), "frame_index").scalar()
     placed = number_rows(moved.select("id", "place"), [F.col("place"), F.col("id")], "_step", 0)
-    # next_order is one row; it meets the moved frames on the target id.
-    start = placed.select("id", "_step").withColumn("_target", F.lit(target)).join(after, "_target")
-    joined = frames.join(start, "id", "left")
+    joined = frames.join(placed.select("id", "_step"), "id", "left")
     return joined.select(
         *[
             F.when(F.col("_step").isNotNull(), F.lit(target)).otherwise(F.col(c)).alias(c)
             if c == "sequence_id"
-            else F.coalesce(F.col("next_order") + F.col("_step"), F.col(c)).alias(c)
+            else F.coalesce(after + F.col("_step"), F.col(c)).alias(c)
             if c == "frame_index"
             else F.col(c)
             for c in frames.columns

@@ -355,21 +355,18 @@ def downsample_pixels(pixels: DataFrame, frames: DataFrame, max_dim: int) -> Dat
     return blocks.agg(*[round_half_up(F.avg(c)).cast("int").alias(c) for c in ("r", "g", "b")])
 
 
-MAX_LEVELS, MIN_SIDE, LEVEL_SIDE = 8, 16, 4096
-
-
-def pyramid_levels(frames: DataFrame) -> DataFrame:
-    """Level sizes of each frame's pyramid: native, then halves until a side is under 16 px,
-    a level's longest side is at most 4096 or eight levels exist."""
+def pyramid_levels(frames: DataFrame, max_levels: int = 8, min_side: int = 16, level_side: int = 4096) -> DataFrame:
+    """Level sizes of each frame's pyramid: native, then halves until a side is under ``min_side``,
+    a level's longest side is at most ``level_side`` or ``max_levels`` exist."""
     spread = frames.where((F.col("width") > 0) & (F.col("height") > 0)).select(
-        F.col("id").alias("frame_id"), "width", "height", F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVELS - 1))).alias("level")
+        F.col("id").alias("frame_id"), "width", "height", F.explode(F.sequence(F.lit(0), F.lit(max_levels - 1))).alias("level")
     )
     shrink = lambda side, k: F.floor(F.col(side) / F.pow(F.lit(2.0), k)).cast("int")
     w, h = shrink("width", F.col("level")), shrink("height", F.col("level"))
     before = F.greatest(shrink("width", F.col("level") - 1), shrink("height", F.col("level") - 1))
     # Level 1 is always tried; later ones only while the level before is still large.
     wanted = (F.col("level") == 0) | (
-        (F.least(w, h) >= MIN_SIDE) & ((F.col("level") == 1) | (before > LEVEL_SIDE))
+        (F.least(w, h) >= min_side) & ((F.col("level") == 1) | (before > level_side))
     )
     return spread.where(wanted).select(
         "frame_id", "level", w.alias("width"), h.alias("height"), F.pow(F.lit(0.5), F.col("level")).alias("scale")

@@ -12,7 +12,6 @@ from annotlake.plans.sweep import run_ends, sweep
 
 FRAME_LABEL = ("frame_id", "label_id")
 WORD = 60
-MAX_INDEX = 255
 
 
 def normalize_runs(runs: DataFrame, keys: Sequence[str] = (*FRAME_LABEL, "value")) -> DataFrame:
@@ -115,19 +114,22 @@ def swap_label_runs(runs: DataFrame, stroke: DataFrame, active_label, value: int
 
 
 def index_words(runs: DataFrame) -> DataFrame:
-    """Add ``value`` = saturated label index; ``runs`` must hold ``label_index``."""
-    return runs.withColumn("value", F.least(F.col("label_index"), F.lit(MAX_INDEX)).cast("int"))
+    """Add ``value`` = label index; ``runs`` must hold ``label_index``."""
+    return runs.withColumn("value", F.col("label_index").cast("int"))
 
 
-def combined_index_map(runs: DataFrame, label_index: DataFrame, max_index: int = MAX_INDEX) -> DataFrame:
+def combined_index_map(runs: DataFrame, label_index: DataFrame, max_index: int | None = None) -> DataFrame:
     """Per pixel the last label in order that covers it, as runs of ``value`` = label index.
 
     Each label index owns one bit; the running sum over run ends is then the set of labels
-    at that pixel and its highest bit the answer. 60 bits a word, five words for 255 labels.
+    at that pixel and its highest bit the answer, 60 bits a word. The number of words follows
+    the largest index, which one aggregate over the label table finds unless it is given.
     """
+    if max_index is None:
+        max_index = label_index.agg(F.coalesce(F.max("label_index"), F.lit(0))).first()[0]
     indexed = index_words(runs.where(F.col("value") != 0).join(label_index, "label_id"))
     single = normalize_runs(indexed, ["frame_id", "value"])
-    words = [f"w{i}" for i in range(min(max_index, MAX_INDEX) // WORD + 1)]
+    words = [f"w{i}" for i in range(max_index // WORD + 1)]
     slot, bit = F.floor(F.col("value") / WORD), F.col("value") % WORD
     measures = {
         w: F.when(slot == i, F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).otherwise(F.lit(0))
@@ -249,7 +251,7 @@ def mask_edges(runs: DataFrame, radius: int = 0, keys: Sequence[str] = ("frame_i
 
 
 def next_instance_id(runs: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Ids for shapes about to be burnt in: largest value of the label plus position, at most 255."""
+    """Ids for shapes about to be burnt in: largest value of the label plus position."""
     from annotlake.plans.numbering import number_within
 
     used = runs.groupBy(*FRAME_LABEL).agg(F.max("value").alias("used"))
@@ -257,7 +259,7 @@ def next_instance_id(runs: DataFrame, shapes: DataFrame) -> DataFrame:
     return placed.join(used, list(FRAME_LABEL), "left").select(
         *FRAME_LABEL,
         "shape_id",
-        F.least(F.coalesce(F.col("used"), F.lit(0)) + F.col("place"), F.lit(255)).cast("int").alias("instance_id"),
+        (F.coalesce(F.col("used"), F.lit(0)) + F.col("place")).cast("int").alias("instance_id"),
     )
 
 

@@ -63,7 +63,7 @@ def _(t):
 
 # Seeds: one pixel per order line's frame and label, wherever the part number points.
 SEEDS = """select distinct 2 * l_suppkey as frame_id, ascii(l_returnflag) as label_id, l_partkey % 128 as y, l_orderkey % 224 as x
-           from {lineitem} where l_linestatus = 'O'"""
+           from {lineitem}"""
 SEEDED = {**EXTRA, "seeds": SEEDS}
 
 SEED_PARTS = """select distinct v.frame_id, v.label_id, v.value, v.component from {vals_part} v join {seeds} s

@@ -112,7 +112,7 @@ LEGACY = """select frame_id, 1 as label_id, y, x, cast(floor(r / 32) as int) as
     "read_instances_png",
     to_runs(
         """select p.frame_id, p.label_id, c.value, p.y, p.x from {legacy} p join (
-             select frame_id, r, g, b, least(row_number() over (partition by frame_id order by min(y * 8 + x)), 255)::int as value
+             select frame_id, r, g, b, row_number() over (partition by frame_id order by min(y * 8 + x))::int as value
              from {legacy} where a > 0 group by frame_id, r, g, b) c using (frame_id, r, g, b) where p.a > 0""",
         "frame_id, label_id, value",
     ),

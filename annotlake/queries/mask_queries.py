@@ -261,7 +261,7 @@ def _(t):
 @query(
     "next_instance_id",
     """select frame_id, label_id, shape_id,
-              cast(least(coalesce(used, 0) + row_number() over (partition by frame_id, label_id order by shape_id), 255) as int)
+              cast(coalesce(used, 0) + row_number() over (partition by frame_id, label_id order by shape_id) as int)
                 as instance_id
        from (select distinct frame_id, label_id, shape_id from {shape_nodes}) s
        left join (select frame_id, label_id, max(value) as used from {mask_runs_raw} group by all) m

@@ -131,7 +131,7 @@ def _(t):
 
 WINDOWS = """select p_partkey as window_id, 2 * s_suppkey as frame_id, cast(p_partkey % 200 as double) as bbox_x,
                     cast(p_size as double) as bbox_y, 24.0 as bbox_w, 16.0 as bbox_h
-             from {part} join {supplier} on s_suppkey = p_partkey"""
+             from {part} join {supplier} on s_suppkey = 1 + p_partkey % (select count(*) from {supplier})"""
 WINDOWS_CAST = WINDOWS.replace("24.0 as", "cast(24 as double) as").replace("16.0 as", "cast(16 as double) as")
 
 
@@ -171,12 +171,24 @@ def _(t):
     return G.point_in_polygon(t.shapes, t.sql(CLICKS)).select("shape_id", "point_id")
 
 
-@query("distance_to_shape", "select shape_id, point_id, round(distance, 6) as distance from {near}", EXTRA)
+@query("outlines_near", "select shape_id, point_id, round(distance, 6) as distance from {near}", EXTRA)
 def _(t):
-    near = G.distance_to_shape(t.shapes, t.sql(CLICKS), 8.0)
+    near = G.outlines_near(t.shapes, t.sql(CLICKS), 8.0)
     return near.select("shape_id", "point_id", F.round("distance", 6).alias("distance"))
 
 
+@query(
+    "distance_to_shape",
+    f"""select point_id, arg_min(shape_id, (round(distance, 9), shape_id)) as shape_id, round(min(distance), 6) as distance from (
+          select shape_id, point_id, sqrt(min({dist2('px', 'py')})) as distance from {{segs1}} join {{clicks}} using (frame_id) group by all) t
+        group by 1""",
+    EXTRA,
+)
+def _(t):
+    nearest = G.distance_to_shape(t.shapes, t.sql(CLICKS))
+    return nearest.select("point_id", "shape_id", F.round("distance", 6).alias("distance"))
+
+
 @query(
     "pick_shape",
     """select coalesce(b.point_id, n.point_id) as point_id, coalesce(b.shape_id, n.shape_id) as shape_id, b.shape_id is not null as body_hit

@@ -83,9 +83,9 @@ def coco_documents(keyed: DataFrame, images: DataFrame, categories: DataFrame, a
     )
     listed_anns = annotations.join(keyed, "image_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(ann)).alias("annotations"))
     cats = F.struct(F.col("id").cast("long").alias("id"), "name", "supercategory")
-    listed_cats = categories.agg(F.array_sort(F.collect_list(cats)).alias("categories"))
-    docs = listed_images.join(listed_anns, "doc_id", "left").withColumn("_one", F.lit(1))
-    return docs.join(listed_cats.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # The category list is one value, the same in every document: a scalar subquery, not a join.
+    listed_cats = categories.agg(F.array_sort(F.collect_list(cats)).alias("categories")).scalar()
+    return listed_images.join(listed_anns, "doc_id", "left").withColumn("categories", listed_cats)
 
 
 def write_coco(folder: str, images: DataFrame, categories: DataFrame, annotations: DataFrame) -> None:

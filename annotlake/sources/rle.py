@@ -86,7 +86,7 @@ def read_runs_rle(masks: DataFrame, frames: DataFrame, encoding: str | None = "r
 
 
 def read_instances_png(pixels: DataFrame) -> DataFrame:
-    """Legacy colour masks: each opaque colour becomes an id 1..255 in order of first appearance.
+    """Legacy colour masks: each opaque colour becomes an id from 1 in order of first appearance.
 
     ``pixels``: frame_id, label_id, y, x, r, g, b, a. Colours are first reduced to one row
     each, so the ranking sees colours, not pixels.
@@ -96,7 +96,7 @@ def read_instances_png(pixels: DataFrame) -> DataFrame:
     # Row-major order as a pair, so that no image width is needed.
     first = shown.groupBy(*FRAME_LABEL, *color).agg(F.min(F.struct("y", "x")).alias("first"))
     rank = F.row_number().over(Window.partitionBy(*FRAME_LABEL).orderBy("first"))
-    ids = first.select(*FRAME_LABEL, *color, F.least(rank, F.lit(255)).cast("int").alias("value"))
+    ids = first.select(*FRAME_LABEL, *color, rank.cast("int").alias("value"))
     valued = shown.join(ids, [*FRAME_LABEL, *color]).select(
         *FRAME_LABEL, "value", "y", F.col("x").alias("x0"), (F.col("x") + 1).alias("x1")
     )
@@ -104,7 +104,10 @@ def read_instances_png(pixels: DataFrame) -> DataFrame:
 
 
 def decode_any(masks: DataFrame, frames: DataFrame, png_pixels: DataFrame | None = None) -> DataFrame:
-    """Runs of masks in mixed encodings; an unknown encoding name means ``rle``."""
+    """Runs of masks in mixed encodings; an unknown encoding name means ``rle``.
+
+    ``png`` masks are decoded from ``png_pixels``; ``undecoded`` lists those it lacks.
+    """
     cols = [*FRAME_LABEL, "value", "y", "x0", "x1"]
     known = F.col("encoding").isin("rle8", "png")
     runs = (
@@ -115,6 +118,14 @@ def decode_any(masks: DataFrame, frames: DataFrame, png_pixels: DataFrame | None
     return runs if png_pixels is None else runs.unionByName(read_instances_png(png_pixels).select(*cols))
 
 
+def undecoded(masks: DataFrame, png_pixels: DataFrame | None = None) -> DataFrame:
+    """``frame_id, label_id, error`` of every ``png`` mask whose pixels are not given."""
+    png = masks.where(F.col("encoding") == "png").select(*FRAME_LABEL)
+    if png_pixels is not None:
+        png = png.join(png_pixels.select(*FRAME_LABEL).distinct(), list(FRAME_LABEL), "left_anti")
+    return png.withColumn("error", F.lit("png mask without pixels"))
+
+
 # ── encoding ────────────────────────────────────────────────────────────────
 
 
@@ -148,12 +159,20 @@ def _packed(records: DataFrame, encoding: str, lead: Column | None = None) -> Da
 
 
 def write_runs_rle8(runs: DataFrame, frames: DataFrame) -> DataFrame:
-    """Disjoint valued runs to rle8 masks; runs continue across row ends where values agree."""
+    """Disjoint valued runs to rle8 masks; runs continue across row ends where values agree.
+
+    A record holds one byte of value, so values over 255 are written as 255; ``saturated`` lists them.
+    """
     ranges = _linear(runs, frames, "y", "width")
     record = F.concat(F.lpad(F.hex(F.least("value", F.lit(255))), 2, "0"), _le32(F.col("x1") - F.col("x0")))
     return _packed(ranges.withColumn("rec", record), "rle8")
 
 
+def saturated(runs: DataFrame) -> DataFrame:
+    """``frame_id, label_id, value`` of the values that one byte cannot hold."""
+    return runs.where(F.col("value") > 255).select(*FRAME_LABEL, "value").distinct()
+
+
 def write_runs_rle(runs: DataFrame, frames: DataFrame) -> DataFrame:
     """Presence to binary column-major masks; a leading 0 when the first pixel is set."""
     flat = presence(runs, FRAME_LABEL)
@@ -166,5 +185,18 @@ def write_runs_rle(runs: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def upgrade_encoding(masks: DataFrame, frames: DataFrame, png_pixels: DataFrame | None = None) -> DataFrame:
-    """Rewrite every stored mask as rle8."""
-    return write_runs_rle8(decode_any(masks, frames, png_pixels), frames)
+    """Rewrite every stored mask as rle8.
+
+    A mask without foreground is one record of background over its frame; a ``png`` mask
+    whose pixels are not given stays as it is.
+    """
+    written = write_runs_rle8(decode_any(masks, frames, png_pixels), frames)
+    lost = undecoded(masks, png_pixels).withColumnRenamed("error", "_error")
+    sizes = frames.select(F.col("id").alias("frame_id"), (F.col("width").cast("long") * F.col("height")).alias("_area"))
+    rest = masks.join(written.select(*FRAME_LABEL), list(FRAME_LABEL), "left_anti").join(lost, list(FRAME_LABEL), "left")
+    rest = rest.join(sizes, "frame_id").select(
+        *FRAME_LABEL,
+        F.when(F.col("_error").isNull(), F.lit("rle8")).otherwise(F.col("encoding")).alias("encoding"),
+        F.when(F.col("_error").isNull(), F.unhex(F.concat(F.lit("00"), _le32(F.col("_area"))))).otherwise(F.col("mask_data")).alias("mask_data"),
+    )
+    return written.unionByName(rest)
