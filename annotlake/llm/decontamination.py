@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,17 +147,16 @@ def _words(text: bytes) -> np.ndarray:
 
 
 def best_of_stretches(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
-    """Of overlapping windows of one item the most similar, the first among equals."""
+    """Of each item's windows the most similar, then the most similar that overlaps none taken, and so on; the first among equals."""
     best: list[tuple[int, int, int, float]] = []
-    reach = 0
-    for k, at, n, s in sorted(found):
-        if best and best[-1][0] == k and at < reach:
-            if s > best[-1][3]:
-                best[-1] = (k, at, n, s)
-        else:
+    taken: dict[int, list[int]] = {}
+    for k, at, n, s in sorted(found, key=lambda f: (f[0], -f[3], f[1])):
+        starts = taken.setdefault(k, [])
+        i = bisect.bisect_left(starts, at)
+        if (i == 0 or starts[i - 1] + n <= at) and (i == len(starts) or at + n <= starts[i]):
+            starts.insert(i, at)
             best.append((k, at, n, s))
-        reach = at + n
-    return best
+    return sorted(best)
 
 
 def _finder(items: list[tuple[int, bytes]], percent: int):
@@ -195,8 +195,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERC
     """``doc_id, item_id, start_word, n_words, similarity``: where documents hold benchmark items.
 
     Every window of an item's number of words (the whole text where it is shorter) is
-    compared with the item as bags of five-word shingles; a stretch of overlapping windows
-    gives its best one. Fingerprints within ``RADIUS`` bits are certain to meet in a block;
+    compared with the item as bags of five-word shingles; of overlapping windows
+    the best one counts. Fingerprints within ``RADIUS`` bits are certain to meet in a block;
     the bags of those pairs decide.
 
     The benchmark is a query set: it goes to the tasks in blocks of at most about

@@ -18,7 +18,7 @@ ROWS = 5
 BITS = 2
 LONGS = -(-BANDS * ROWS // 64)
 PLANES = [f"p{b}_{i}" for b in range(BITS) for i in range(LONGS)]
-STAR_ROUNDS = 3
+CENTRES = 3
 
 _rng = np.random.default_rng(20240229)
 _TIMES = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -133,6 +133,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= union * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _mixed(rest: DataFrame) -> DataFrame:
+    """Members of buckets in which more than one component is left."""
+    keys = rest.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    return rest.join(cut(keys), "key")
+
+
 def _peeled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of bucket members ``key, s, comp``, those that may still have a partner, with ``own``: shingles no other member holds.
 
@@ -151,9 +157,7 @@ def _peeled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         smallest = cut(members.groupBy("key").agg(F.min("s.n").alias("least")))
         shared = F.col("s.n") - F.col("own")
         may = shared * 100 >= (F.col("s.n") + F.greatest(F.col("least"), shared) - shared) * percent
-        left = members.join(smallest, "key").where(may).select("key", "s", "comp", "own")
-        mixed = cut(left.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key"))
-        rest = cut(left.join(mixed, "key"))
+        rest = cut(_mixed(cut(members.join(smallest, "key").where(may).select("key", "s", "comp", "own"))))
     return rest
 
 
@@ -166,9 +170,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     doc_id that links reach, ``kept`` marks it.
 
     Equal sets are folded into one class first, so copies are never paired. Classes that share
-    a band of minima are compared inside their band bucket: first against one centre a round,
-    then, among members that still lie in different components and whose own shingles leave
-    room for a link, against each other. A bucket
+    a band of minima are compared inside their band bucket: first against a few centres, which
+    settles every pair with a centre, then, among the others that still lie in different
+    components and whose own shingles leave room for a link, against each other. A bucket
     whose members lie in one component is finished, so groups of any size cost a few rows a
     member. Aggregates are written before they meet hot keys, so that both sides of such joins
     are plain shuffles that adaptive execution can split. Estimates from packed bits thin the pairs; whole sets decide.
@@ -190,40 +194,32 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     texts = texts.join(sized_broadcast(needed), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", body())
     sets = cut(texts.mapInArrow(_sets(width), "id long, shingles array<long>"))
 
-    links = None
-    roots = None
-    for turn in range(STAR_ROUNDS + 1):
-        mixed = live.groupBy("key").agg(
-            F.min("comp").alias("c0"),
-            F.max("comp").alias("c1"),
-            F.min_by(F.struct("s", "comp"), F.xxhash64(F.lit(turn), F.col("s.id"))).alias("centre"),
-        )
-        mixed = cut(mixed.where("c0 <> c1").select("key", "centre"))
-        if mixed.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            pairs = live.join(mixed, "key").where("comp <> centre.comp").select(F.col("s").alias("x"), F.col("centre.s").alias("y"))
-        else:
-            rest = _peeled(live.join(mixed.select("key"), "key").select("key", "s", "comp"), sets, percent)
-            other = rest.select("key", F.col("s").alias("y"), F.col("comp").alias("other"), F.col("own").alias("own_y"))
-            most = F.least(F.col("x.n") - F.col("own"), F.col("y.n") - F.col("own_y"))
-            may = (F.col("comp") < F.col("other")) & (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent)
-            pairs = rest.select("key", F.col("s").alias("x"), "comp", "own").join(other, "key").where(may).select("x", "y")
-        new = cut(_confirmed(cut(_candidates(pairs, percent)), sets, percent))
-        links = new if links is None else links.unionByName(new)
-        if new.isEmpty():
-            continue
-        roots = star_components(links, [])
-        live = cut(
-            live.join(roots.withColumnRenamed("u", "_u"), F.col("s.id") == F.col("_u"), "left").select(
-                "key", "s", F.coalesce("root", "s.id").alias("comp")
-            )
-        )
+    chosen = [F.min_by("s", F.xxhash64(F.lit(k), F.col("s.id"))) for k in range(CENTRES)]
+    mixed = live.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.array(*chosen).alias("centres"))
+    mixed = cut(mixed.where("c0 <> c1").select("key", "centres"))
+    met = cut(live.join(mixed, "key").select("key", "s", "centres"))
+    pairs = met.select(F.col("s").alias("x"), F.explode("centres").alias("y")).where("x.id <> y.id")
+    links = cut(_confirmed(cut(_candidates(pairs, percent)), sets, percent))
+    roots = star_components(links, [])
+
+    rest = met.where(~F.exists("centres", lambda c: c["id"] == F.col("s.id"))).select("key", "s")
+    rest = rest.join(roots.withColumnRenamed("u", "_u"), F.col("s.id") == F.col("_u"), "left").select("key", "s", F.coalesce("root", "s.id").alias("comp"))
+    rest = _peeled(_mixed(cut(rest)), sets, percent)
+    other = rest.select("key", F.col("s").alias("y"), F.col("comp").alias("other"), F.col("own").alias("own_y"))
+    most = F.least(F.col("x.n") - F.col("own"), F.col("y.n") - F.col("own_y"))
+    may = (F.col("comp") < F.col("other")) & (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent)
+    pairs = rest.select("key", F.col("s").alias("x"), "comp", "own").join(other, "key").where(may).select("x", "y")
+    late = cut(_confirmed(cut(_candidates(pairs, percent)), sets, percent))
+    if not late.isEmpty():
+        # The first components shrink to one vertex each before the late links join them.
+        short = lambda side: roots.select(F.col("u").alias(side), F.col("root").alias(f"_{side}"))
+        joined = late.join(short("u"), "u", "left").join(short("v"), "v", "left")
+        joined = star_components(joined.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")), [])
+        above = joined.select(F.col("u").alias("root"), F.col("root").alias("top"))
+        moved = roots.join(above, "root", "left").select("u", F.coalesce("top", "root").alias("root"))
+        roots = cut(moved.unionByName(joined.join(roots.select("u"), "u", "left_anti")))
     result = classes.select("hi", "lo", "doc_id")
-    if roots is not None:
-        result = result.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left")
-    else:
-        result = result.withColumn("root", F.lit(None).cast("long"))
+    result = result.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left")
     result = cut(result.groupBy("hi", "lo").agg(F.min(F.coalesce("root", "doc_id")).alias("root")))
     out = found.select("doc_id", "n", "hi", "lo").join(result, ["hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("root"))
