@@ -466,8 +466,15 @@ def translate_shapes(shapes: DataFrame, dx: float, dy: float) -> DataFrame:
     )
 
 
-def points_to_shape(polygons: DataFrame) -> DataFrame:
-    """Polygons as shapes of straight corner nodes; the id is a hash of place and outline."""
+def points_to_shape(polygons: DataFrame, salt: Column | None = None) -> DataFrame:
+    """Polygons as shapes of straight corner nodes.
+
+    Where ``polygons`` have no ``shape_id`` it is a hash of the whole row and ``salt``, a value
+    that tells one import from the next.
+    """
+    if "shape_id" not in polygons.columns:
+        seed = salt if salt is not None else F.lit(0).cast("long")
+        polygons = polygons.withColumn("shape_id", F.xxhash64(*polygons.columns, seed))
     corner = lambda p: F.struct(
         p["x"].alias("x"), p["y"].alias("y"), p["x"].alias("in_x"), p["y"].alias("in_y"),
         p["x"].alias("out_x"), p["y"].alias("out_y"), F.lit(False).alias("smooth"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annotlake.operators.catalog import match_frames, next_order
+from annotlake.operators.geometry import points_to_shape
 from annotlake.plans.numbering import number_rows, number_within
 
 
@@ -45,23 +46,39 @@ def sync_labels(
     largest; an empty configuration deletes nothing.
     """
     configured = config.select("name", "color", "is_instance", "sort_order")
-    top = F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top")
     known = current.select("id", "name")
     joined = configured.join(known, "name", "left")
     updated = joined.where(F.col("id").isNotNull())
     fresh = joined.where(F.col("id").isNull()).drop("id")
-    last_id = current.agg(top).first()["_top"]
-    inserted = number_rows(fresh, [F.col("sort_order"), F.col("name")], "id", last_id + 1)
+    last_id = current.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    inserted = number_rows(fresh, [F.col("sort_order"), F.col("name")], "id", 1).withColumn("id", F.col("id") + last_id)
     used = raster.select(F.col("label_id").alias("id")).distinct()
     if shapes is not None:
         used = used.unionByName(shapes.select(F.col("label_id").alias("id"))).distinct()
     others = current.join(configured.select("name"), "name", "left_anti")
-    if not configured.isEmpty():
-        others = others.join(used, "id", "left_semi")
+    nothing = configured.agg(F.count(F.lit(1)) == 0).scalar()
+    others = others.join(used.withColumn("_used", F.lit(True)), "id", "left").where(F.col("_used") | nothing)
     cols = ["id", "name", "color", "is_instance", "sort_order"]
     return others.select(*cols).unionByName(updated.select(*cols)).unionByName(inserted.select(*cols))
 
 
+def cascade_labels(labels: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables with a label_id (shapes, annotations) without the rows of labels that are gone."""
+    left = labels.select(F.col("id").alias("label_id"))
+    return {name: df.join(left, "label_id", "left_semi").select(*df.columns) for name, df in tables.items()}
+
+
+def sync_labels_everywhere(
+    current: DataFrame, config: DataFrame, annotations: DataFrame, shapes: DataFrame
+) -> dict[str, DataFrame]:
+    """``sync_labels`` with its cascade: the next snapshot of labels, annotations and shapes.
+
+    A label no raster annotation uses goes with its shapes.
+    """
+    labels = sync_labels(current, config, annotations)
+    return {"labels": labels, **cascade_labels(labels, {"annotations": annotations, "shapes": shapes})}
+
+
 def upsert_shapes(current: DataFrame, changes: DataFrame) -> DataFrame:
     """Shape lists per frame and label; an empty list deletes."""
     return replace_by_key(current, changes, ["frame_id", "label_id"], F.size("shapes") == 0)
@@ -197,11 +214,12 @@ def replace_pairs(
     ``saved`` has the columns of ``registrations`` without id; ``saved_pairs`` carry the
     frame pair, coordinates and ``place``, the order they were given in.
     """
-    last_id = registrations.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("m")).first()["m"]
+    last_id = registrations.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
     known = registrations.select("id", *PAIR)
     joined = saved.join(known, list(PAIR), "left")
     old = joined.where(F.col("id").isNotNull())
-    new = number_rows(joined.where(F.col("id").isNull()).drop("id"), [F.col(c) for c in PAIR], "id", last_id + 1)
+    new = number_rows(joined.where(F.col("id").isNull()).drop("id"), [F.col(c) for c in PAIR], "id", 1)
+    new = new.withColumn("id", F.col("id") + last_id)
     current = old.select(*registrations.columns).unionByName(new.select(*registrations.columns))
     next_registrations = registrations.join(saved.select(*PAIR), list(PAIR), "left_anti").unionByName(current)
     fresh = saved_pairs.join(current.select(F.col("id").alias("registration_id"), *PAIR), list(PAIR))
@@ -232,52 +250,61 @@ def merge_dataset(
     classifications: DataFrame,
     imported: dict[str, DataFrame],
 ) -> dict[str, DataFrame]:
-    """Lay an imported dataset over the project.
+    """Lay imported documents over the project.
 
     ``imported``: labels(label_index, name, color, is_instance), frames(relative_path) and
     any of shapes(relative_path, label_index, ...), masks(relative_path, label_index, ...),
-    classifications(relative_path, task_name, selected_classes). Missing labels are made by
-    name, frames matched by path then file name, shapes appended, masks and classifications
-    replaced. ``counts`` reports what was done.
+    classifications(relative_path, task_name, selected_classes). Each may carry ``doc_id``, the
+    document a row stems from, to which paths and label indexes belong; without it all rows
+    are of one document. Frames may carry ``pos``, their place in it.
+
+    Missing labels are made by name, frames matched by path then file name. Shapes are
+    appended; those given as ``points`` are made into shapes with ids first. Masks and
+    classifications replace what is stored; where several imported frames match one frame,
+    the last by document and place counts. ``counts`` reports what was done.
     """
-    got = imported["labels"]
-    stats = labels.agg(
-        F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("i"),
-        F.coalesce(F.max("sort_order"), F.lit(-1)).cast("long").alias("s"),
-    ).first()
+    given = {k: df if "doc_id" in df.columns else df.withColumn("doc_id", F.lit("")) for k, df in imported.items()}
+    got = given["labels"]
+    top_id = labels.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    top_order = labels.agg(F.coalesce(F.max("sort_order"), F.lit(-1)).cast("long")).scalar()
     unseen = got.join(labels.select("name"), "name", "left_anti")
     # Names repeated in an import make one label, the first.
-    first = unseen.groupBy("name").agg(F.min(F.struct("label_index", "color", "is_instance")).alias("f"))
-    created = number_rows(first.select("name", "f.*"), [F.col("label_index")], "_n", 1).select(
-        (F.col("_n") + stats["i"]).alias("id"), "name", "color", "is_instance", (F.col("_n") + stats["s"]).alias("sort_order")
+    first = unseen.groupBy("name").agg(F.min(F.struct("doc_id", "label_index", "color", "is_instance")).alias("f"))
+    created = number_rows(first.select("name", "f.*"), [F.col("doc_id"), F.col("label_index")], "_n", 1).select(
+        (F.col("_n") + top_id).alias("id"), "name", "color", "is_instance", (F.col("_n") + top_order).alias("sort_order")
     )
     next_labels = labels.select("id", "name", "color", "is_instance", "sort_order").unionByName(created)
-    label_of = got.select("label_index", "name").join(
-        next_labels.select(F.col("id").alias("label_id"), "name"), "name"
-    ).select("label_index", "label_id")
-    matched = match_frames(imported["frames"].select("relative_path"), frames)
-    target = matched.where(F.col("frame_id").isNotNull())
-
-    def placed(name: str) -> DataFrame:
-        return imported[name].join(target, "relative_path").join(label_of, "label_index").drop(
-            "relative_path", "label_index"
-        )
+    label_of = got.select("doc_id", "label_index", "name").join(next_labels.select(F.col("id").alias("label_id"), "name"), "name")
+    label_of = label_of.groupBy("doc_id", "label_index").agg(F.max("label_id").alias("label_id"))
+    listed = given["frames"] if "pos" in given["frames"].columns else given["frames"].withColumn("pos", F.lit(0))
+    matched = match_frames(listed.select("doc_id", "relative_path", "pos"), frames)
+    target = matched.where(F.col("frame_id").isNotNull()).groupBy("doc_id", "relative_path", "frame_id").agg(F.max("pos").alias("pos"))
+
+    def placed(table: DataFrame) -> DataFrame:
+        return table.join(target, ["doc_id", "relative_path"]).join(label_of, ["doc_id", "label_index"])
 
     out = {"labels": next_labels, "shapes": shapes, "annotations": annotations, "classifications": classifications}
     done = []
-    if "shapes" in imported:
-        new = placed("shapes")
+    order = ["doc_id", "pos", "relative_path"]
+    if "shapes" in given:
+        new = placed(given["shapes"])
+        if "shape_id" not in new.columns:
+            new = points_to_shape(new, shapes.agg(F.count(F.lit(1))).scalar())
         out["shapes"] = shapes.unionByName(new.select(*shapes.columns))
         done.append(new.select(F.lit(1).alias("n")))
-    if "masks" in imported:
-        new = placed("masks")
+    if "masks" in given:
+        every = placed(given["masks"])
+        last = every.groupBy("frame_id", "label_id").agg(F.max(F.struct(*order)).alias("_last"))
+        chosen = last.select("frame_id", "label_id", *[F.col(f"_last.{c}").alias(c) for c in order])
+        new = every.join(chosen, ["frame_id", "label_id", *order], "left_semi")
         out["annotations"] = replace_masks(annotations, new)
-        done.append(new.select("frame_id", "label_id").distinct().select(F.lit(1).alias("n")))
-    if "classifications" in imported:
-        new = imported["classifications"].join(target, "relative_path").drop("relative_path")
+        done.append(every.select("label_id", *order).distinct().select(F.lit(1).alias("n")))
+    if "classifications" in given:
+        new = given["classifications"].join(target, ["doc_id", "relative_path"])
+        new = upsert_latest(new, ["frame_id", "task_name"], order).drop(*order)
         # An update leaves is_multilabel as it was; a new row starts as single choice.
         before = classifications.select("frame_id", "task_name", F.col("is_multilabel").alias("_was"))
-        new = new.join(before, ["frame_id", "task_name"], "left").withColumn(
+        new = new.drop("is_multilabel").join(before, ["frame_id", "task_name"], "left").withColumn(
             "is_multilabel", F.coalesce("_was", F.lit(False))
         )
         out["classifications"] = replace_by_key(
@@ -335,7 +362,11 @@ def check_violations(df: DataFrame, table: str, name: str, holds: Column, key: s
 
 
 def constraint_report(t: dict[str, DataFrame]) -> DataFrame:
-    """Rows that break a key, a reference or a check of the catalog."""
+    """Rows that break a key, a reference or a check of the catalog.
+
+    ``shapes`` (stored lists per frame and label), ``project`` and keypoints' ``client_uuid``
+    are checked where they are given.
+    """
     parts = [
         unique_violations(t["sequences"], "sequences", ["name"]),
         unique_violations(t["labels"], "labels", ["name"]),
@@ -354,6 +385,17 @@ def constraint_report(t: dict[str, DataFrame]) -> DataFrame:
             t["registrations"], "registrations", "two frames", F.col(PAIR[0]) != F.col(PAIR[1]), "id"
         ),
     ]
+    for column, target in (("sequence_id", "sequences"), (PAIR[0], "frames"), (PAIR[1], "frames")):
+        parts.append(reference_violations(t["registrations"], "registrations", column, t[target], "id"))
+    if "shapes" in t:
+        parts.append(unique_violations(t["shapes"], "shapes", ["frame_id", "label_id"]))
+        parts.append(reference_violations(t["shapes"], "shapes", "frame_id", t["frames"], "id"))
+        parts.append(reference_violations(t["shapes"], "shapes", "label_id", t["labels"], "id"))
+    if "client_uuid" in t["keypoint_pairs"].columns:
+        parts.append(unique_violations(t["keypoint_pairs"], "keypoint_pairs", ["registration_id", "client_uuid"]))
+    if "project" in t:
+        rows = t["project"].agg(F.count(F.lit(1)).alias("rows")).where("rows <> 1")
+        parts.append(rows.select(F.lit("single row project").alias("violation"), F.lit("").alias("key"), "rows"))
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)

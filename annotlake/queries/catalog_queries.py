@@ -705,19 +705,40 @@ def _(t):
        union all select 'reference classifications.frame_id', cast(frame_id as varchar), count(*)
          from (select distinct frame_id, task_name from {choices}) t where frame_id not in (select id from {frames}) group by frame_id
        union all select 'reference keypoint_pairs.registration_id', cast(registration_id as varchar), count(*) from {keypoint_pairs}
-         where registration_id not in (select id from {registrations}) group by registration_id""",
-)
-def _(t):
-    # The raw runs stand for stored masks: several per frame and label, so the key check fires.
+         where registration_id not in (select id from {registrations}) group by registration_id
+       union all select 'reference registrations.sequence_id', cast(sequence_id as varchar), count(*) from {registrations}
+         where sequence_id not in (select id from {sequences}) group by sequence_id
+       union all select 'reference registrations.reference_frame_id', cast(reference_frame_id as varchar), count(*) from {registrations}
+         where reference_frame_id not in (select id from {frames}) group by reference_frame_id
+       union all select 'reference registrations.moving_frame_id', cast(moving_frame_id as varchar), count(*) from {registrations}
+         where moving_frame_id not in (select id from {frames}) group by moving_frame_id
+       union all select 'unique shapes(frame_id, label_id)', concat(frame_id, ',', label_id), count(*) from {drawn}
+         group by frame_id, label_id having count(*) > 1
+       union all select 'reference shapes.frame_id', cast(frame_id as varchar), count(*) from {drawn}
+         where frame_id not in (select id from {frames}) group by frame_id
+       union all select 'reference shapes.label_id', cast(label_id as varchar), count(*) from {drawn}
+         where label_id not in (select id from {label_defs} where name <> 'R') group by label_id
+       union all select 'unique keypoint_pairs(registration_id, client_uuid)', concat(registration_id, ',', sort_order % 3), count(*)
+         from {keypoint_pairs} group by registration_id, sort_order % 3 having count(*) > 1
+       union all select 'reference annotations.label_id', cast(label_id as varchar), count(*) from {mask_runs_raw}
+         where label_id not in (select id from {label_defs} where name <> 'R') group by label_id
+       union all select 'single row project', '', count(*) from {label_defs} having count(*) <> 1""",
+    {"drawn": "select distinct shape_id, frame_id, label_id from {shape_nodes}"},
+)
+def _(t):
+    # The raw runs stand for stored masks and single shapes for stored lists: several per frame and
+    # label, so the key checks fire. One label is missing, and the label table stands for the project.
     return M.constraint_report(
         {
             "sequences": t.sequences,
-            "labels": t.label_defs,
+            "labels": t.label_defs.where("name <> 'R'"),
+            "project": t.label_defs,
+            "shapes": t.shapes,
             "frames": t.frames,
             "annotations": t.mask_runs_raw,
             "classifications": t.classifications,
             "texts": t.texts,
             "registrations": t.registrations,
-            "keypoint_pairs": t.keypoint_pairs,
+            "keypoint_pairs": t.keypoint_pairs.withColumn("client_uuid", (F.col("sort_order") % 3).cast("string")),
         }
     )
