@@ -31,6 +31,11 @@ def sequence_name(path: Column, folders_as_sequences: bool = True) -> Column:
     return F.when(folder != "", folder).when(bare != "", bare).otherwise(F.lit("unnamed"))
 
 
+def below(path: Column, root: str) -> Column:
+    """A file's path relative to the folder it was read from."""
+    return F.substring_index(path, root.rstrip("/").rpartition("://")[2].removeprefix("file:") + "/", -1)
+
+
 def sniff_mime(content: Column) -> Column:
     """Image type from the first bytes."""
     head = F.hex(F.substring(content, 1, 12))

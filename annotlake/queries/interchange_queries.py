@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from annotlake.operators import components as P
 from annotlake.operators import geometry as G
 from annotlake.operators import merge as M
+from annotlake.plans.durable import shared_folder
 from annotlake.queries.component_queries import EXTRA as PARTS
 from annotlake.queries.component_queries import labelled
 from annotlake.queries.mask_queries import held_runs, to_runs
@@ -15,6 +18,7 @@ from annotlake.queries.shape_queries import EXTRA as SHAPES
 from annotlake.queries.shape_queries import flat
 from annotlake.sinks import coco as CO
 from annotlake.sinks import yolo as YO
+from annotlake.sinks.files import write_files
 from annotlake.sources import coco as CI
 from annotlake.sources import images as I
 from annotlake.sources import rle as L
@@ -257,17 +261,16 @@ def coco_docs(t):
     return text.select("doc_id", F.from_json("text", COCO_FILE).alias("d")).select("doc_id", "d.*")
 
 
-@query(
-    "read_coco",
-    """select i.id // 64 as doc_id, i.file_name as relative_path, category_id as label_index, false as filled,
+READ_COCO = """select i.id // 64 as doc_id, i.file_name as relative_path, category_id as label_index, false as filled,
               count(*) as shapes, 4 * count(*) as points
        from {coco_rows} r join {coco_images_t} i on i.id = r.image_id where kind = 0 group by all
        union all
        select i.id // 64, i.file_name, l.label_index, true, count(*), sum(b.n)::bigint
        from {boxes} b join {coco_images_t} i on i.frame_id = b.frame_id join {label_idx} l on l.label_id = b.label_id
-       where b.n >= 3 group by all""",
-    COCO,
-)
+       where b.n >= 3 group by all"""
+
+
+@query("read_coco", READ_COCO, COCO)
 def _(t):
     docs = coco_docs(t)
     shapes = CI.coco_shapes(CI.coco_annotation_rows(docs), CI.coco_frames(docs), CI.coco_labels(docs))
@@ -340,11 +343,10 @@ def _(t):
     return YO.data_yaml_lines(labelled(t))
 
 
-@query(
-    "read_yolo",
-    """select relative_path, label_index::int as label_index, false as filled, count(*) as shapes, 4 * count(*) as points from {detect} group by all""",
-    YOLO,
-)
+READ_YOLO = """select relative_path, label_index::int as label_index, false as filled, count(*) as shapes, 4 * count(*) as points from {detect} group by all"""
+
+
+@query("read_yolo", READ_YOLO, YOLO)
 def _(t):
     """Exported detection lines read back."""
     lines = detect_lines(t).select(F.col("relative_path").alias("stem"), "line")
@@ -366,6 +368,58 @@ def _(t):
     return YI.read_yolo_names(YO.data_yaml_lines(labelled(t)))
 
 
+# ── folders ─────────────────────────────────────────────────────────────────
+
+
+def scratch(t, name: str) -> str:
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("coco_folder_round_trip", READ_COCO, COCO)
+def _(t):
+    """The exported corpus written as JSON files and read back."""
+    images = CO.coco_images(t.frames)
+    keyed = images.select(F.floor(F.col("id") / 64).alias("doc_id"), F.col("id").alias("image_id"))
+    anns = CO.coco_annotations(images, regions(t), flat(t), labelled(t))
+    folder = scratch(t, "coco")
+    CO.write_coco(folder, CO.coco_documents(keyed, images.drop("frame_id"), CO.coco_categories(labelled(t)), anns))
+    docs = CI.read_coco(t.spark, folder).withColumn("doc_id", F.regexp_extract("doc_id", r"^(\d+)", 1).cast("long"))
+    shapes = CI.coco_shapes(CI.coco_annotation_rows(docs), CI.coco_frames(docs), CI.coco_labels(docs))
+    return shapes.groupBy("doc_id", "relative_path", F.col("label_index").cast("long").alias("label_index"), "filled").agg(
+        F.count(F.lit(1)).alias("shapes"), F.sum(F.size("points")).alias("points")
+    )
+
+
+@query("yolo_folder_round_trip", READ_YOLO, YOLO)
+def _(t):
+    """Label files of mask regions and shapes written one per image and read back."""
+    folder = scratch(t, "yolo")
+    YO.write_label_files(YO.yolo_label_files(detect_lines(t)), folder)
+    images = t.frames.select(
+        F.coalesce("relative_path", F.concat(F.lit("frame_"), F.col("id").cast("string"))).alias("relative_path"), "width", "height"
+    ).withColumn("stem", YI.bare_path(F.col("relative_path")))
+    shapes = YI.parse_label_lines(YI.read_label_lines(t.spark, folder), images)
+    return shapes.groupBy("relative_path", "label_index", "filled").agg(
+        F.count(F.lit(1)).alias("shapes"), F.sum(F.size("points")).alias("points")
+    )
+
+
+@query(
+    "scan_folder",
+    """select lang || '/' || source || '/d' || doc_id || '.png' as relative_path, n_chars::int as width, (doc_id % 977 + 1)::int as height,
+              'image/png' as mime, false as reviewed from {documents}""",
+)
+def _(t):
+    """Files that begin with a PNG header, one a document, written below two levels of folders and scanned."""
+    number = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
+    head = F.unhex(F.lit("89504E470D0A1A0A0000000D49484452"))
+    content = F.concat(head, number(F.col("n_chars")), number(F.col("doc_id") % 977 + 1))
+    path = F.concat("lang", F.lit("/"), "source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".png"))
+    folder = scratch(t, "scan")
+    write_files(t.documents.select(path.alias("path"), content.alias("content")), folder)
+    return I.scan_folder(t.spark, folder).select("relative_path", "width", "height", "mime", "reviewed")
+
+
 # ── merge ───────────────────────────────────────────────────────────────────
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from annotlake.operators.catalog import dataset_frames
 from annotlake.operators.geometry import polygon_area, polygon_bounds
 from annotlake.plans.numbering import number_rows
+from annotlake.sinks.files import write_files
 
 BOX = ("bbox_x", "bbox_y", "bbox_w", "bbox_h")
 
@@ -88,11 +89,7 @@ def coco_documents(keyed: DataFrame, images: DataFrame, categories: DataFrame, a
     return listed_images.join(listed_anns, "doc_id", "left").withColumn("categories", listed_cats)
 
 
-def write_coco(folder: str, images: DataFrame, categories: DataFrame, annotations: DataFrame) -> None:
-    """The three tables as JSON lines, each written by many tasks."""
-    base = folder.rstrip("/")
-    images.drop("frame_id").write.mode("overwrite").json(f"{base}/images")
-    categories.write.mode("overwrite").json(f"{base}/categories")
-    annotations.select(
-        "id", "image_id", "category_id", F.array(*BOX).alias("bbox"), "area", "iscrowd", "segmentation"
-    ).write.mode("overwrite").json(f"{base}/annotations")
+def write_coco(folder: str, documents: DataFrame) -> int:
+    """One JSON file per document, named after its key, as ``read_coco`` and other tools read them."""
+    body = F.to_json(F.struct("images", "categories", "annotations"))
+    return write_files(documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("path"), body.alias("content")), folder)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from annotlake.functions.paths import stem
 from annotlake.operators.geometry import polygon_bounds
 from annotlake.plans.numbering import number_within
+from annotlake.sinks.files import write_files
 
 
 def _six(value: Column) -> Column:
@@ -107,8 +108,15 @@ def data_yaml_lines(labels: DataFrame) -> DataFrame:
     return head.unionByName(names).unionByName(count)
 
 
-def write_label_files(files: DataFrame, folder: str) -> None:
-    """Label files as one folder per image; lines of an image stay together and in order."""
-    keyed = files.withColumn("image", F.regexp_replace("file", r"\.txt$", ""))
-    placed = keyed.repartition("image").sortWithinPartitions("image", "line_no")
-    placed.select("image", "line").write.mode("overwrite").partitionBy("image").text(f"{folder.rstrip('/')}/labels")
+def write_label_files(files: DataFrame, folder: str) -> int:
+    """One text file per image below ``labels/``, lines in order; ``files`` as ``yolo_label_files`` makes them."""
+    line = F.struct("line_no", "line")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda r: F.concat(r["line"], F.lit("\n"))), "")
+    return write_files(files.groupBy(F.concat(F.lit("labels/"), F.col("file")).alias("path")).agg(text.alias("content")), folder)
+
+
+def write_data_yaml(lines: DataFrame, folder: str) -> int:
+    """``data.yaml`` from its lines, a header of a few."""
+    line = F.struct("line_no", "line")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda r: F.concat(r["line"], F.lit("\n"))), "")
+    return write_files(lines.agg(text.alias("content")).withColumn("path", F.lit("data.yaml")), folder)

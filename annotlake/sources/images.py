@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annotlake.functions.paths import IMAGE_PATTERN, file_name, sequence_name, sniff_mime
+from annotlake.functions.paths import IMAGE_PATTERN, below, file_name, sequence_name, sniff_mime
 from annotlake.plans.numbering import number_rows, number_within
 
 
@@ -14,18 +14,46 @@ def read_folder(spark: SparkSession, root: str, recursive: bool = True) -> DataF
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     )
-    base = root.rstrip("/") + "/"
-    relative = F.element_at(F.split(F.col("path"), F.concat(F.lit("\\Q"), F.lit(base), F.lit("\\E")), 2), -1)
-    return files.select(relative.alias("path"), "content", "length")
+    return files.select(below(F.col("path"), root).alias("path"), "content", "length")
 
 
 def image_sizes(spark: SparkSession, root: str) -> DataFrame:
-    """Width and height as Spark's image source decodes them; undecodable files are -1."""
-    images = spark.read.format("image").option("recursiveFileLookup", "true").load(root)
-    return images.select(
-        file_name(F.col("image.origin")).alias("file_name"), F.col("image.width").alias("width"),
-        F.col("image.height").alias("height"),
-    )
+    """``path`` (relative), width and height of every file below ``root``; -1 where they can't be told.
+
+    PNG, GIF and BMP files state their size at a fixed place of the header. Only the others
+    are decoded.
+    """
+    width, height = header_size(F.col("content"))
+    told = read_folder(spark, root).select("path", width.alias("width"), height.alias("height"))
+    images = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,jpeg,JPG,JPEG,tif,tiff}").load(root)
+    decoded = images.select(below(F.col("image.origin"), root).alias("path"), F.col("image.width").alias("_w"), F.col("image.height").alias("_h"))
+    either = lambda a, b: F.coalesce(a, b, F.lit(-1)).cast("int").alias(a)
+    return told.join(decoded, "path", "left").select("path", either("width", "_w"), either("height", "_h"))
+
+
+def header_size(content: Column) -> tuple[Column, Column]:
+    """Width and height that a PNG, GIF or BMP header states, else null."""
+    at = lambda start, width: F.hex(F.substring(content, start, width))
+    turned = lambda digits: F.concat(*[F.substring(digits, i, 2) for i in (7, 5, 3, 1)])
+    number = lambda digits: F.conv(digits, 16, 10).cast("long").cast("int")
+    kind = sniff_mime(content)
+
+    def side(png: int, gif: int, bmp: int) -> Column:
+        little = at(gif, 2)
+        return (
+            F.when((kind == "image/png") & (F.length(content) >= 24), number(at(png, 4)))
+            .when((kind == "image/gif") & (F.length(content) >= 10), number(F.concat(F.substring(little, 3, 2), F.substring(little, 1, 2))))
+            .when((kind == "image/bmp") & (F.length(content) >= 26), F.abs(number(turned(at(bmp, 4)))))
+        )
+
+    return side(17, 7, 19), side(21, 9, 23)
+
+
+def scan_folder(spark: SparkSession, root: str, embed_images: bool = False, threshold_kb: int = 100) -> DataFrame:
+    """Frames of an image folder: read, matched by name, sized by header or decoder, hashed."""
+    files = scan_images(read_folder(spark, root))
+    sized = files.join(image_sizes(spark, root), "path")
+    return import_frames(sized, embed_images, threshold_kb)
 
 
 def scan_images(files: DataFrame, pattern: str = IMAGE_PATTERN) -> DataFrame:
