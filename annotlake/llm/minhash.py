@@ -161,6 +161,18 @@ def _peeled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rest
 
 
+def _joined(roots: DataFrame, late: DataFrame) -> DataFrame:
+    """Components after more links: those there are shrink to one vertex each before the links join them."""
+    if late.isEmpty():
+        return roots
+    short = lambda side: roots.select(F.col("u").alias(side), F.col("root").alias(f"_{side}"))
+    linked = late.join(short("u"), "u", "left").join(short("v"), "v", "left")
+    linked = star_components(linked.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")), [])
+    above = linked.select(F.col("u").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(above, "root", "left").select("u", F.coalesce("top", "root").alias("root"))
+    return cut(moved.unionByName(linked))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -171,8 +183,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
 
     Equal sets are folded into one class first, so copies are never paired. Classes that share
     a band of minima are compared inside their band bucket: first against a few centres, which
-    settles every pair with a centre, then, among the others that still lie in different
-    components and whose own shingles leave room for a link, against each other. A bucket
+    settles every pair with a centre, then, where components still meet, against the member
+    with the fewest shingles of its own, and what then still lies in different components and
+    has room for a link, against each other. A bucket
     whose members lie in one component is finished, so groups of any size cost a few rows a
     member. Aggregates are written before they meet hot keys, so that both sides of such joins
     are plain shuffles that adaptive execution can split. Estimates from packed bits thin the pairs; whole sets decide.
@@ -205,19 +218,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     rest = met.where(~F.exists("centres", lambda c: c["id"] == F.col("s.id"))).select("key", "s")
     rest = rest.join(roots.withColumnRenamed("u", "_u"), F.col("s.id") == F.col("_u"), "left").select("key", "s", F.coalesce("root", "s.id").alias("comp"))
     rest = _peeled(_mixed(cut(rest)), sets, percent)
-    other = rest.select("key", F.col("s").alias("y"), F.col("comp").alias("other"), F.col("own").alias("own_y"))
+    hub = cut(rest.groupBy("key").agg(F.min_by(F.struct("s", "comp"), F.struct("own", "s.id")).alias("hub")))
+    met = cut(rest.join(hub, "key"))
+    pairs = met.where("comp <> hub.comp").select(F.col("s").alias("x"), F.col("hub.s").alias("y"))
+    roots = _joined(roots, cut(_confirmed(cut(_candidates(pairs, percent)), sets, percent)))
+
+    left = met.where("s.id <> hub.s.id").select("key", "s", "comp", "own").join(
+        roots.select(F.col("u").alias("comp"), F.col("root").alias("_root")), "comp", "left"
+    )
+    left = _mixed(cut(left.select("key", "s", F.coalesce("_root", "comp").alias("comp"), "own")))
+    left = cut(left.join(classes.select(F.col("doc_id").alias("_id"), "bands"), F.col("s.id") == F.col("_id")).drop("_id"))
+    other = left.select("key", F.col("s").alias("y"), F.col("comp").alias("other"), F.col("own").alias("own_y"), F.col("bands").alias("bands_y"))
     most = F.least(F.col("x.n") - F.col("own"), F.col("y.n") - F.col("own_y"))
     may = (F.col("comp") < F.col("other")) & (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent)
-    pairs = rest.select("key", F.col("s").alias("x"), "comp", "own").join(other, "key").where(may).select("x", "y")
-    late = cut(_confirmed(cut(_candidates(pairs, percent)), sets, percent))
-    if not late.isEmpty():
-        # The first components shrink to one vertex each before the late links join them.
-        short = lambda side: roots.select(F.col("u").alias(side), F.col("root").alias(f"_{side}"))
-        joined = late.join(short("u"), "u", "left").join(short("v"), "v", "left")
-        joined = star_components(joined.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")), [])
-        above = joined.select(F.col("u").alias("root"), F.col("root").alias("top"))
-        moved = roots.join(above, "root", "left").select("u", F.coalesce("top", "root").alias("root"))
-        roots = cut(moved.unionByName(joined.join(roots.select("u"), "u", "left_anti")))
+    once = F.array_intersect("bands", "bands_y")[0] == F.col("key")  # a pair that shares several bands meets in the first
+    pairs = left.select("key", F.col("s").alias("x"), "comp", "own", "bands").join(other, "key").where(may & once).select("x", "y")
+    roots = _joined(roots, cut(_confirmed(cut(_candidates(pairs, percent)), sets, percent)))
     result = classes.select("hi", "lo", "doc_id")
     result = result.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left")
     result = cut(result.groupBy("hi", "lo").agg(F.min(F.coalesce("root", "doc_id")).alias("root")))
