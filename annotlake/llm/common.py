@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,18 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of 8 MB, unless the session asks for less.
+
+    Both sides hold a batch and its result at once for every running task; at the usual 64 MB
+    that is more than an executor of a few GB has beside its heap.
+    """
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    now = re.fullmatch(r"(-?\d+)b", spark.conf.get(key))
+    if now is None or not 0 < int(now[1]) <= most:
+        spark.conf.set(key, f"{most}b")
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of the file system that ``path`` names."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

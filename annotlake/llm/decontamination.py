@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annotlake.llm.common import body, lower, mix, shingle_hashes, sized_broadcast, span_hashes, text_slices, word_spans, words_in
+from annotlake.llm.common import body, lower, mix, shingle_hashes, sized_broadcast, small_batches, span_hashes, text_slices, word_spans, words_in
 from annotlake.plans.durable import cut
 
 WIDTH = 5
@@ -204,6 +204,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERC
     place. Null or empty texts on either side match nothing; an item of fewer than five words
     must occur word by word; equal items all match; a null item_id or doc_id is carried.
     """
+    small_batches(docs.sparkSession)
     sized = cut(benchmark.select(F.col("item_id").cast("long").alias("item_id"), body(), words_in(F.col("text")).alias("n")).where("n > 0"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotlake.llm.common import body, lists, lower, mix, shingle_hashes, sized_broadcast, span_hashes, text_slices, word_spans
+from annotlake.llm.common import body, lists, lower, mix, shingle_hashes, sized_broadcast, small_batches, span_hashes, text_slices, word_spans
 from annotlake.plans.durable import cut
 from annotlake.plans.graph import star_components
 
@@ -194,6 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     back with a null component, kept. Rows that share a doc_id are one document. An empty
     table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     found = cut(features(docs, width))
     full = found.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     sketch = F.struct(F.col("doc_id").alias("id"), "n", *PLANES)

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotlake.llm.common import body, lists, span_hashes, text_slices, word_spans
+from annotlake.llm.common import body, lists, small_batches, span_hashes, text_slices, word_spans
 from annotlake.llm.labelled import remainder, training_rows
 
 BUCKET_BITS = 16
@@ -117,37 +117,34 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
-def _scorer(odds: np.ndarray, bias: float):
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            others = [c for c in part.schema.names if c != "body"]
-            for first, last, raw, offsets in text_slices(part.column("body")):
-                sums, counts = np.zeros(last - first), np.zeros(last - first)
-                for ids, at in buckets(raw, offsets):
-                    run = np.concatenate([[0.0], np.cumsum(odds[ids])])
-                    edge = np.searchsorted(at, offsets)
-                    sums += np.diff(run[edge])
-                    counts += np.diff(edge)
-                score = 1 / (1 + np.exp(-np.clip(sums / np.maximum(counts, 1) + bias, -500, 500)))
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c).slice(first, last - first) for c in others], pa.array(score)], names=[*others, "score"]
-                )
+def score_of(text: str, odds: np.ndarray, bias: float) -> Column:
+    """The score of a text column; only the text travels to Python, only the score comes back."""
 
-    return batches
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        found = [np.zeros(0)]
+        for first, last, raw, offsets in text_slices(column):
+            sums, counts = np.zeros(last - first), np.zeros(last - first)
+            for ids, at in buckets(raw, offsets):
+                run = np.concatenate([[0.0], np.cumsum(odds[ids])])
+                edge = np.searchsorted(at, offsets)
+                sums += np.diff(run[edge])
+                counts += np.diff(edge)
+            found.append(1 / (1 + np.exp(-np.clip(sums / np.maximum(counts, 1) + bias, -500, 500))))
+        return pa.array(np.concatenate(found))
 
-
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, score`` for every row of ``docs``: how likely label 1 is, from 0 to 1.
-
-    A null or empty text has no features and gets the score of the bias alone. Only the text
-    is read for a score.
-    """
-    return docs.select("doc_id", body()).mapInArrow(_scorer(*train(docs, labels)), "doc_id long, score double")
+    return score(body(text))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row; a null doc_id counts as held out."""
-    return scored(docs, labels).select(
+    """``doc_id, held_out, score, predicted`` for every row; a null doc_id counts as held out.
+
+    ``score`` says how likely label 1 is, from 0 to 1. A null or empty text has no features
+    and gets the score of the bias alone. Only the text is read for a score.
+    """
+    small_batches(docs.sparkSession)
+    scored = docs.select("doc_id", score_of("text", *train(docs, labels)).alias("score"))
+    return scored.select(
         "doc_id",
         F.coalesce(remainder(FOLD[0]) == FOLD[1], F.lit(True)).alias("held_out"),
         "score",
@@ -157,9 +154,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns, in one pass over the texts."""
-    columns = [f"`{c}`" for c in docs.columns]
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    flat = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], body())
-    schema = flat.drop("body").schema.add("score", "double")
-    judged = flat.mapInArrow(_scorer(*train(docs, labels)), schema).where(F.col("score") >= CUT)
-    return judged.select(*[F.col(names[c.strip("`")]).alias(c.strip("`")) for c in columns])
+    small_batches(docs.sparkSession)
+    return docs.where(score_of("text", *train(docs, labels)) >= CUT)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotlake.llm.common import _Powers, body, mix, sized_broadcast, text_slices
+from annotlake.llm.common import _Powers, body, mix, sized_broadcast, small_batches, text_slices
 from annotlake.plans.durable import cut
 
 LENGTH = 400
@@ -247,6 +247,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ``LENGTH`` stay; repeated rows repeat each other; a null doc_id is carried; an empty
     table gives an empty result. ``kept`` may cut a character in two.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body()).withColumn("h", F.xxhash64("body"))
     ranges = repeated_windows(texts.where(F.octet_length("body") >= LENGTH))
     by_doc = cut(ranges.groupBy("doc_id", "h").agg(F.collect_list(F.struct("p1", "p2")).alias("ranges")))

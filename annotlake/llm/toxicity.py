@@ -6,20 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotlake.llm.common import body, lists, lower, span_hashes, text_slices, word_spans
+from annotlake.llm.common import body, lists, lower, small_batches, span_hashes, text_slices, word_spans
 from annotlake.llm.labelled import remainder, training_rows
 
 BUCKET_BITS = 15
 DIM = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-PER_CLASS = 2000
-EPOCHS = 10
+PER_CLASS = 3000
+EPOCHS = 8
 RATE = 0.1
-MIN_DOCS = 3
+MIN_SHARE = 0.01
+SIGMAS = 4.0
 FOLD = (3, 1)
 CUT = 0.7
 LANGUAGES = 256
@@ -55,7 +56,7 @@ class Network:
     """Embeddings, one bank of filters a width, max pooling over the text and a logistic output."""
 
     def __init__(self, rng: np.random.Generator):
-        self.words = rng.normal(0, 0.3, (1 << BUCKET_BITS, DIM))
+        self.words = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIM))
         self.words[PAD] = 0
         self.banks = [rng.normal(0, 1 / np.sqrt(w * DIM), (w, DIM, FILTERS)) for w in WIDTHS]
         self.lift = [np.zeros(FILTERS) for _ in WIDTHS]
@@ -99,14 +100,26 @@ class Network:
 
 
 def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[Network, np.ndarray]:
-    """The trained network and the map from buckets to the embeddings that training has seen often enough."""
-    seen = np.zeros(1 << BUCKET_BITS, np.int64)
-    for ids, _ in rows:
-        seen[np.unique(ids)] += 1
-    known = np.where(seen >= MIN_DOCS, np.arange(1 << BUCKET_BITS), RARE)
+    """The trained network and the map from buckets to those that at least ``MIN_SHARE`` of the texts hold.
+
+    Rarer words share one embedding, so that texts can't be learned by heart, unless they
+    tell the labels apart: an embedding's first place starts from how many standard errors
+    a word is commoner in texts of label 1.
+    """
+    seen = np.zeros((2, 1 << BUCKET_BITS))
+    for ids, y in rows:
+        seen[y, np.unique(ids)] += 1
+    n = np.bincount([y for _, y in rows], minlength=2)
+    both = seen.sum(axis=0)
+    share = both / len(rows)
+    gap = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12)
+    telling = np.clip((gap - SIGMAS) / SIGMAS, 0, 1) * (seen[1] >= 2)
+    known = np.where((both >= max(2.0, MIN_SHARE * len(rows))) | (telling > 0), np.arange(1 << BUCKET_BITS), RARE)
     known[PAD] = PAD
     rng = np.random.default_rng(SEED)
     net = Network(rng)
+    net.words[:, 0] = telling
+    net.words[RARE, 0] = 0
     steps, done = max(1, EPOCHS * len(rows)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
@@ -154,29 +167,29 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[list[np.ndarray]], l
     return answers, net.lift, net.out, net.bias, cuts
 
 
-def _scorer(answers, lift, out, bias):
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            others = [c for c in part.schema.names if c != "body"]
-            for first, last, raw, offsets in text_slices(part.column("body"), 1 << 18):
-                ids, begin = word_ids(raw, offsets)
-                n = max(1, len(ids) - max(WIDTHS) + 1)
-                pooled = []
-                for bank, up in zip(answers, lift, strict=True):
-                    z = bank[0][ids[:n]]
-                    for j in range(1, len(bank)):
-                        z += bank[j][ids[j : j + n]]
-                    # windows that start in the pads of a text see only pads or the next text; stop before them
-                    z = np.concatenate([z, np.zeros((len(ids) - n, FILTERS), np.float32)])
-                    edges = np.stack([begin[:-1], np.maximum(begin[1:] - max(WIDTHS), begin[:-1] + 1)], 1).ravel()
-                    pooled.append(np.maximum.reduceat(z, edges, axis=0)[::2] + up)
-                logit = np.maximum(np.concatenate(pooled, axis=1), 0) @ out + bias
-                score = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c).slice(first, last - first) for c in others], pa.array(score)], names=[*others, "score"]
-                )
-
-    return batches
+def score_of(text: str, answers: list[list[np.ndarray]], lift: list[np.ndarray], out: np.ndarray, bias: float) -> Column:
+    """The score of a text column; only the text travels to Python, only the score comes back."""
+
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        found = [np.zeros(0)]
+        for _, _, raw, offsets in text_slices(column, 1 << 18):
+            ids, begin = word_ids(raw, offsets)
+            n = max(1, len(ids) - max(WIDTHS) + 1)
+            pooled = []
+            for bank, up in zip(answers, lift, strict=True):
+                z = bank[0][ids[:n]]
+                for j in range(1, len(bank)):
+                    z += bank[j][ids[j : j + n]]
+                # windows that start in the pads of a text see only pads or the next text; stop before them
+                z = np.concatenate([z, np.zeros((len(ids) - n, FILTERS), np.float32)])
+                edges = np.stack([begin[:-1], np.maximum(begin[1:] - max(WIDTHS), begin[:-1] + 1)], 1).ravel()
+                pooled.append(np.maximum.reduceat(z, edges, axis=0)[::2] + up)
+            logit = np.maximum(np.concatenate(pooled, axis=1), 0) @ out + bias
+            found.append(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
+        return pa.array(np.concatenate(found))
+
+    return score(body(text))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -186,9 +199,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     calibrated threshold of the row's language, 0.7 for a language without one. A null or
     empty text is scored as pads alone. A null doc_id counts as held out.
     """
+    small_batches(docs.sparkSession)
     *net, cuts = train(docs, labels)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", lang.alias("lang"), body()).mapInArrow(_scorer(*net), "doc_id long, lang string, score double")
+    rows = docs.select("doc_id", lang.alias("lang"), score_of("text", *net).alias("score"))
     known = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]) if cuts else F.lit(None).cast("map<string,double>")
     threshold = F.coalesce(F.try_element_at(known, F.coalesce("lang", F.lit(""))), F.lit(CUT))
     return rows.select(

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annotlake.llm.common import remove_folder, sized_broadcast
+from annotlake.llm.common import remove_folder, sized_broadcast, small_batches
 from annotlake.plans.durable import cut, shared_folder
 
 SEGMENT_BYTES = 1 << 15
@@ -258,6 +258,7 @@ def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     revisit takes from the response it refers to), ``record_type, refers_to, whole``. The
     archives are removed once the description is written.
     """
+    small_batches(pages.sparkSession)
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, min_bytes)
