@@ -322,15 +322,40 @@ def _(t):
     return m.select("registration_id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in m.columns if c != "registration_id"])
 
 
-@query("fit_homography")
+FITTED = "select registration_id, n from {stats} where n >= 4 and s_ref is not null and s_moving is not null"
+
+
+def shifted_rmse(t):
+    """RMSE of the best plain shift of each registration's points, which a fitted matrix must not exceed."""
+    mean = t.keypoint_pairs.groupBy("registration_id").agg(
+        F.avg(F.col("ref_x") - F.col("moving_x")).alias("dx"), F.avg(F.col("ref_y") - F.col("moving_y")).alias("dy")
+    )
+    off = F.pow(F.col("ref_x") - F.col("moving_x") - F.col("dx"), 2) + F.pow(F.col("ref_y") - F.col("moving_y") - F.col("dy"), 2)
+    return t.keypoint_pairs.join(mean, "registration_id").groupBy("registration_id").agg(F.sqrt(F.avg(off)).alias("shifted"))
+
+
+@query("fit_homography", "select registration_id, true as scaled, true as finite from {fitted}", {**REG_EXTRA, "fitted": FITTED})
 def _(t):
-    return G.fit_homography(t.keypoint_pairs)
+    """Fitted matrices have a last element of one and no element that is not a number."""
+    fitted = G.fit_homography(t.keypoint_pairs)
+    numbers = [F.abs(F.col(h)) < float("inf") for h in G.H]
+    finite = numbers[0]
+    for n in numbers[1:]:
+        finite = finite & n
+    return fitted.select("registration_id", (F.abs(F.col("h8") - 1) < 1e-9).alias("scaled"), finite.alias("finite"))
 
 
-@query("fitted_residuals")
+@query(
+    "fitted_residuals",
+    "select f.registration_id, f.n, true as ordered, true as better from {fitted} f join {registrations} r on r.id = f.registration_id",
+    {**REG_EXTRA, "fitted": FITTED},
+)
 def _(t):
-    """Residuals of the fitted matrices."""
-    return G.fit_residuals(t.registrations, t.keypoint_pairs, G.fit_homography(t.keypoint_pairs))
+    """Residuals of the fitted matrices lie below those of the best plain shift."""
+    found = G.fit_residuals(t.registrations, t.keypoint_pairs, G.fit_homography(t.keypoint_pairs)).join(shifted_rmse(t), "registration_id")
+    return found.select(
+        "registration_id", "n", (F.col("rmse") <= F.col("max_error") + 1e-9).alias("ordered"), (F.col("rmse") <= F.col("shifted") + 1e-6).alias("better")
+    )
 
 
 STORED = """select id as registration_id, string_split(substr(homography, 2, length(homography) - 2), ',')::double[] as h
