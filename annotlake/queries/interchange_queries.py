@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from annotlake.formats import ring_rows
 from annotlake.operators import components as P
 from annotlake.operators import geometry as G
 from annotlake.operators import merge as M
@@ -322,6 +323,13 @@ def _(t):
     return YO.yolo_segment_lines(none, shapes, t.frames).select("relative_path", "part", "line")
 
 
+@query("yolo_segment_all_lines")
+def _(t):
+    """Lines of every mask region ring and every shape; the check SQL of ``yolo_segment_lines`` knows the shapes alone."""
+    rings = ring_rows({"mask_runs": t.mask_runs_raw, "labels": labelled(t)})
+    return YO.yolo_segment_lines(rings, yolo_shapes(t), t.frames).drop("frame_id")
+
+
 @query(
     "yolo_label_files",
     r"""select regexp_replace(relative_path, '\.[^./]*$', '') || '.txt' as file,
