@@ -13,14 +13,19 @@ def remainder(divisor: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor)).cast("int")
 
 
+def known_labels(labels: DataFrame, target: str, fold: tuple[int, int]) -> DataFrame:
+    """``doc_id, y`` outside the held-out fold, one row a document; where labels disagree the smaller one."""
+    known = labels.where(F.col(target).isin(0, 1) & (remainder(fold[0]) != fold[1]))
+    return known.groupBy("doc_id").agg(F.min(target).cast("int").alias("y"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, fold: tuple[int, int], per_class: int) -> DataFrame:
     """``doc_id, y, body, lang`` of at most ``per_class`` documents of each label, outside the held-out fold.
 
     ``fold`` is (divisor, held-out remainder). Rows are taken in the order of a hash of the
     doc_id, so reruns agree. A document whose labels disagree takes the smaller one.
     """
-    known = labels.where(F.col(target).isin(0, 1) & (remainder(fold[0]) != fold[1]))
-    known = known.groupBy("doc_id").agg(F.min(target).cast("int").alias("y"))
+    known = known_labels(labels, target, fold)
     present = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
     known = known.join(present, F.col("doc_id") == F.col("_id"), "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annotlake.llm.common import body, lists, lower, small_batches, span_hashes, text_slices, word_spans
-from annotlake.llm.labelled import remainder, training_rows
+from annotlake.llm.common import body, lists, lower, sized_broadcast, small_batches, span_hashes, text_slices, word_spans
+from annotlake.llm.labelled import known_labels, remainder, training_rows
+from annotlake.plans.durable import cut
 
 BUCKET_BITS = 15
 DIM = 16
@@ -23,7 +24,7 @@ MIN_SHARE = 0.01
 SIGMAS = 4.0
 FOLD = (3, 1)
 CUT = 0.7
-LANGUAGES = 256
+BINS = 64
 SEED = 5
 
 PAD, RARE = 0, 1
@@ -48,8 +49,8 @@ def _sequences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for first, last, raw, offsets in text_slices(part.column("body")):
             ids, begin = word_ids(raw, offsets)
-            keep = [part.column(c).slice(first, last - first) for c in ("doc_id", "y", "lang")]
-            yield pa.RecordBatch.from_arrays([*keep, lists(ids.astype(np.int32), np.diff(begin), pa.int32())], names=["doc_id", "y", "lang", "ids"])
+            keep = [part.column(c).slice(first, last - first) for c in ("doc_id", "y")]
+            yield pa.RecordBatch.from_arrays([*keep, lists(ids.astype(np.int32), np.diff(begin), pa.int32())], names=["doc_id", "y", "ids"])
 
 
 class Network:
@@ -129,42 +130,60 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[Network, np.ndarray]:
     return net, known
 
 
-def thresholds(scores: list[float], truth: list[int], langs: list[str | None]) -> dict[str, float]:
-    """Per language the cut with the best F1 on the training rows, halfway to the next lower score; CUT where a language lacks either label."""
-    found = {}
-    for lang in sorted({x for x in langs if x is not None})[:LANGUAGES]:
-        s = np.array([a for a, x in zip(scores, langs, strict=True) if x == lang])
-        y = np.array([b for b, x in zip(truth, langs, strict=True) if x == lang])
-        if y.min() == y.max():
-            continue
-        order = np.argsort(-s, kind="stable")
-        s, y = s[order], y[order]
-        hits = np.cumsum(y)
-        f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-        f1[:-1][s[:-1] == s[1:]] = -1
-        k = int(f1.argmax())
-        found[lang] = float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
-    return found
+def thresholds(rows: DataFrame) -> DataFrame:
+    """``lang, cut``: per language the cut with the best F1 over all of ``lang, score, y``, halfway to the next lower score.
+
+    Languages that lack either label, and rows without a language, give none; of equal F1 the
+    highest cut counts. Equal scores are counted together. Scores are laid into at most 3,600
+    bins of log odds a language: sums over the bins lead to running sums inside each of them,
+    so no language is ordered in one task.
+    """
+    score = F.round("score", 12)
+    odds = F.log((score + F.lit(1e-12)) / (F.lit(1 + 1e-12) - score))
+    counted = rows.where(F.col("lang").isNotNull()).groupBy("lang", score.alias("score"), F.floor(odds * F.lit(BINS)).alias("bin"))
+    counted = cut(counted.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits")))
+    above = Window.partitionBy("lang").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("lang")
+    bins = counted.groupBy("lang", "bin").agg(F.sum("n").alias("_n"), F.sum("hits").alias("_hits"))
+    bins = cut(
+        bins.select(
+            "lang",
+            "bin",
+            F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("n_above"),
+            F.coalesce(F.sum("_hits").over(above), F.lit(0)).alias("hits_above"),
+            F.sum("_n").over(whole).alias("rows"),
+            F.sum("_hits").over(whole).alias("toxic"),
+        ).where("toxic > 0 and toxic < rows")
+    )
+    inside = Window.partitionBy("lang", "bin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.join(bins, ["lang", "bin"]).select(
+        "lang",
+        "score",
+        (F.lit(2) * (F.sum("hits").over(inside) + F.col("hits_above")) / (F.sum("n").over(inside) + F.col("n_above") + F.col("toxic"))).alias("f1"),
+    )
+    ranked = cut(ranked)
+    best = cut(ranked.groupBy("lang").agg(F.max(F.struct("f1", "score"))["score"].alias("best")))
+    lower = ranked.join(sized_broadcast(best), "lang").where(F.col("score") < F.col("best")).groupBy("lang").agg(F.max("score").alias("next"))
+    return cut(best.join(lower, "lang", "left").select("lang", F.coalesce((F.col("best") + F.col("next")) / 2, F.col("best") - F.lit(1e-9)).alias("cut")))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[list[list[np.ndarray]], list[np.ndarray], np.ndarray, float, dict[str, float]]:
-    """Per width and place in it the filters' answer to every bucket, their offsets, output weights, bias and language cuts.
+def train(docs: DataFrame, labels: DataFrame) -> tuple[list[list[np.ndarray]], list[np.ndarray], np.ndarray, float]:
+    """Per width and place in it the filters' answer to every bucket, their offsets, output weights and bias.
 
     Fitted on at most ``PER_CLASS`` documents of each label; without labels of both kinds
     every score is 0.5.
     """
-    sample = training_rows(docs, labels, "toxic", FOLD, PER_CLASS)
-    got = sample.mapInArrow(_sequences, "doc_id long, y int, lang string, ids array<int>").toArrow().sort_by("doc_id")
+    sample = training_rows(docs, labels, "toxic", FOLD, PER_CLASS).select("doc_id", "y", "body")
+    got = sample.mapInArrow(_sequences, "doc_id long, y int, ids array<int>").toArrow().sort_by("doc_id")
     ids = [got["ids"][i].values.to_numpy().astype(np.int64) for i in range(got.num_rows)]
-    y, langs = got["y"].to_pylist(), got["lang"].to_pylist()
+    y = got["y"].to_pylist()
     if len(set(y)) < 2:
-        net, known, cuts = Network(np.random.default_rng(SEED)), np.zeros(1 << BUCKET_BITS, np.int64), {}
+        net, known = Network(np.random.default_rng(SEED)), np.zeros(1 << BUCKET_BITS, np.int64)
         net.out[:] = 0
     else:
         net, known = fit(list(zip(ids, y, strict=True)))
-        cuts = thresholds([net.score(known[x]) for x in ids], y, langs)
     answers = [[(net.words[known] @ bank[j]).astype(np.float32) for j in range(len(bank))] for bank in net.banks]
-    return answers, net.lift, net.out, net.bias, cuts
+    return answers, net.lift, net.out, net.bias
 
 
 def score_of(text: str, answers: list[list[np.ndarray]], lift: list[np.ndarray], out: np.ndarray, bias: float) -> Column:
@@ -196,15 +215,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted, threshold, flagged`` for every row of ``docs``.
 
     ``score`` (0 to 1) sees the text alone; ``predicted`` cuts it at 0.7, ``flagged`` at the
-    calibrated threshold of the row's language, 0.7 for a language without one. A null or
+    threshold of the row's language, calibrated on all its labelled rows outside the held-out
+    fold, 0.7 for a null language and one without both labels there. A null or
     empty text is scored as pads alone. A null doc_id counts as held out.
     """
     small_batches(docs.sparkSession)
-    *net, cuts = train(docs, labels)
+    net = train(docs, labels)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", lang.alias("lang"), score_of("text", *net).alias("score"))
-    known = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]) if cuts else F.lit(None).cast("map<string,double>")
-    threshold = F.coalesce(F.try_element_at(known, F.coalesce("lang", F.lit(""))), F.lit(CUT))
+    rows = cut(docs.select("doc_id", lang.alias("lang"), score_of("text", *net).alias("score")))
+    known = cut(known_labels(labels, "toxic", FOLD))
+    cuts = thresholds(rows.join(sized_broadcast(known), "doc_id").select("lang", "score", "y")).withColumnRenamed("lang", "_lang")
+    rows = rows.join(sized_broadcast(cuts), F.col("lang") == F.col("_lang"), "left")
+    threshold = F.coalesce("cut", F.lit(CUT))
     return rows.select(
         "doc_id",
         F.coalesce(remainder(FOLD[0]) == FOLD[1], F.lit(True)).alias("held_out"),
