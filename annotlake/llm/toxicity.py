@@ -64,19 +64,22 @@ class Network:
         self.out = rng.normal(0, 0.3, len(WIDTHS) * FILTERS)
         self.bias = 0.0
 
-    def forward(self, ids: np.ndarray):
+    def forward(self, ids: np.ndarray, shift: np.ndarray):
         n = max(1, len(ids) - max(WIDTHS))
+        x = self.words[ids]
+        x[:, 0] += shift
         tops, peaks = [], []
         for w, bank, lift in zip(WIDTHS, self.banks, self.lift, strict=True):
-            z = sum(self.words[ids[j : j + n]] @ bank[j] for j in range(w)) + lift
+            z = sum(x[j : j + n] @ bank[j] for j in range(w)) + lift
             peak = z.argmax(axis=0)
             peaks.append(peak)
             tops.append(z[peak, np.arange(FILTERS)])
         pooled = np.maximum(np.concatenate(tops), 0)
-        return pooled, peaks
+        return pooled, peaks, x
 
-    def step(self, ids: np.ndarray, y: int, rate: float) -> None:
-        pooled, peaks = self.forward(ids)
+    def step(self, ids: np.ndarray, shift: np.ndarray, y: int, rate: float) -> None:
+        """One descent step; ``shift`` is added to the first place of each word's embedding and isn't learned."""
+        pooled, peaks, x = self.forward(ids, shift)
         g = 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.bias, -30, 30))) - y
         back = g * self.out * (pooled > 0)
         self.out -= rate * g * pooled
@@ -88,46 +91,75 @@ class Network:
                 continue
             self.lift[k][on] -= rate * gz[on]
             for j in range(w):
-                at = ids[peak[on] + j]
-                x = self.words[at]
+                at = peak[on] + j
                 gx = bank[j][:, on].T * gz[on, None]
-                bank[j][:, on] -= rate * (x * gz[on, None]).T
-                np.subtract.at(self.words, at, rate * gx)
+                bank[j][:, on] -= rate * (x[at] * gz[on, None]).T
+                np.subtract.at(self.words, ids[at], rate * gx)
         self.words[PAD] = 0
 
-    def score(self, ids: np.ndarray) -> float:
-        pooled, _ = self.forward(ids)
-        return float(1 / (1 + np.exp(-np.clip(pooled @ self.out + self.bias, -500, 500))))
 
+def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's texts of each label, how many hold each bucket; bucket ``PAD`` counts the texts."""
+    seen = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+    for part in parts:
+        y = part.column("y").to_numpy()
+        for first, _, raw, offsets in text_slices(part.column("body")):
+            ids, begin = word_ids(raw, offsets)
+            for i in range(len(begin) - 1):
+                seen[y[first + i], np.unique(ids[begin[i] : begin[i + 1]])] += 1
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "n": pa.array(seen.ravel()[at], pa.int64())})
 
-def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[Network, np.ndarray]:
-    """The trained network and the map from buckets to those that at least ``MIN_SHARE`` of the texts hold.
 
-    Rarer words share one embedding, so that texts can't be learned by heart, unless they
-    tell the labels apart: an embedding's first place starts from how many standard errors
-    a word is commoner in texts of label 1.
+def texts_with_words(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Texts of each label outside the held-out fold that hold each bucket, over all labelled rows; bucket ``PAD`` has all texts."""
+    known = cut(known_labels(labels, "toxic", FOLD))
+    rows = docs.select("doc_id", body()).join(sized_broadcast(known), "doc_id").select("y", "body")
+    got = rows.mapInArrow(_counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(2 << BUCKET_BITS)
+    seen[got["at"].to_numpy()] = got["n"].to_numpy()
+    return seen.reshape(2, -1)
+
+
+def evidence(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """From 0 to 1, how far each word's texts lean to label 1: the signed root of the deviance over ``SIGMAS``."""
+    clean, toxic = np.maximum(seen, 0)
+    both, share = clean + toxic, n[1] / n.sum()
+    part = lambda k, mean: k * np.log(np.maximum(k, 1) / np.maximum(mean, 1e-300))
+    deviance = 2 * (part(toxic, both * share) + part(clean, both * (1 - share)))
+    return np.where((toxic > both * share) & (both >= 2), np.clip(np.sqrt(np.maximum(deviance, 0)) / SIGMAS, 0, 1), 0.0)
+
+
+def fit(rows: list[tuple[np.ndarray, int]], seen: np.ndarray) -> tuple[Network, np.ndarray, np.ndarray]:
+    """The trained network, the map from buckets to learned embeddings, and what each bucket adds to the first place of its one.
+
+    ``seen`` counts the texts of each label, the fitted ones among them, that hold each bucket.
+    Words of at least ``MIN_SHARE`` of the texts, or clearly commoner in texts of label 1, learn an embedding
+    each; its first place starts from how many standard errors a word is commoner there. The
+    others share one that is learned and differ by their evidence, however rare they are.
+    While a text is fitted its own count is left out of that evidence, so that texts can't be learned by heart.
     """
-    seen = np.zeros((2, 1 << BUCKET_BITS))
-    for ids, y in rows:
-        seen[y, np.unique(ids)] += 1
-    n = np.bincount([y for _, y in rows], minlength=2)
+    n = seen[:, PAD]
     both = seen.sum(axis=0)
-    share = both / len(rows)
+    share = both / n.sum()
     gap = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12)
     telling = np.clip((gap - SIGMAS) / SIGMAS, 0, 1) * (seen[1] >= 2)
-    known = np.where((both >= max(2.0, MIN_SHARE * len(rows))) | (telling > 0), np.arange(1 << BUCKET_BITS), RARE)
+    firm = (both >= max(2.0, MIN_SHARE * n.sum())) | (telling > 0)
+    known = np.where(firm, np.arange(1 << BUCKET_BITS), RARE)
     known[PAD] = PAD
+    own = np.eye(2)[:, :, None]
+    shift, *others = [np.where(known == RARE, evidence(s, n), 0.0) for s in (seen, seen - own[0], seen - own[1])]
     rng = np.random.default_rng(SEED)
     net = Network(rng)
     net.words[:, 0] = telling
-    net.words[RARE, 0] = 0
+    net.words[[PAD, RARE], 0] = 0
     steps, done = max(1, EPOCHS * len(rows)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
             ids, y = rows[i]
-            net.step(known[ids], y, RATE * (1 - done / steps))
+            net.step(known[ids], others[y][ids], y, RATE * (1 - done / steps))
             done += 1
-    return net, known
+    return net, known, shift
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
@@ -170,7 +202,7 @@ def thresholds(rows: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame) -> tuple[list[list[np.ndarray]], list[np.ndarray], np.ndarray, float]:
     """Per width and place in it the filters' answer to every bucket, their offsets, output weights and bias.
 
-    Fitted on at most ``PER_CLASS`` documents of each label; without labels of both kinds
+    Fitted on at most ``PER_CLASS`` documents of each label, words judged by all labelled ones outside the held-out fold; without labels of both kinds
     every score is 0.5.
     """
     sample = training_rows(docs, labels, "toxic", FOLD, PER_CLASS).select("doc_id", "y", "body")
@@ -178,11 +210,13 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[list[np.ndarray]], l
     ids = [got["ids"][i].values.to_numpy().astype(np.int64) for i in range(got.num_rows)]
     y = got["y"].to_pylist()
     if len(set(y)) < 2:
-        net, known = Network(np.random.default_rng(SEED)), np.zeros(1 << BUCKET_BITS, np.int64)
+        net, known, shift = Network(np.random.default_rng(SEED)), np.zeros(1 << BUCKET_BITS, np.int64), 0.0
         net.out[:] = 0
     else:
-        net, known = fit(list(zip(ids, y, strict=True)))
-    answers = [[(net.words[known] @ bank[j]).astype(np.float32) for j in range(len(bank))] for bank in net.banks]
+        net, known, shift = fit(list(zip(ids, y, strict=True)), texts_with_words(docs, labels))
+    words = net.words[known]
+    words[:, 0] += shift
+    answers = [[(words @ bank[j]).astype(np.float32) for j in range(len(bank))] for bank in net.banks]
     return answers, net.lift, net.out, net.bias
 
 

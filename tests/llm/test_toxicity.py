@@ -1,7 +1,9 @@
 """Language thresholds of the toxicity classifier against plain Python."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 from annotlake.llm import toxicity
@@ -49,3 +51,37 @@ def test_thresholds_use_rows_outside_the_sample(spark, monkeypatch):
         flat = [(round(s, 12), y) for s, y in rows]
         assert cuts[c] == pytest.approx(best_cut(flat) if c in both else 0.7, abs=1e-8)
     assert all(r["flagged"] == (r["score"] >= r["threshold"]) for r in got)
+
+
+def test_rare_words_tell_labels_apart():
+    """Every toxic word occurs in ten texts of 1,200, as does every word of the clean texts' own."""
+    rng = np.random.default_rng(1)
+
+    def text(word):
+        w = rng.integers(2, 402, rng.integers(20, 80))
+        w[rng.integers(len(w))] = word
+        return np.concatenate([w, [0, 0, 0]])
+
+    make = lambda n: [(text((1000, 5000)[k % 2] + k // 2 % 60), 1 - k % 2) for k in range(n)]
+    rows, fresh = make(1200), make(400)
+    seen = np.zeros((2, 1 << toxicity.BUCKET_BITS))
+    for ids, y in rows:
+        seen[y, np.unique(ids)] += 1
+    net, known, shift = toxicity.fit(rows, seen)
+    right = 0
+    for ids, y in fresh:
+        pooled, *_ = net.forward(known[ids], shift[ids])
+        right += (pooled @ net.out + net.bias >= 0) == y
+    assert right >= 0.97 * len(fresh)
+
+
+def test_words_are_counted_over_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PER_CLASS", 5)
+    docs = spark.createDataFrame([(k, "vile word word" if k % 2 else "word") for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(280)], "doc_id long, toxic int")
+    seen = toxicity.texts_with_words(docs, labels)
+    fit = [k for k in range(280) if zlib.crc32(str(k).encode()) % 3 != 1]
+    odd = sum(k % 2 for k in fit)
+    vile, word = (toxicity.word_ids(np.frombuffer(w, np.uint8), np.array([0, 4]))[0][0] for w in (b"vile", b"word"))
+    assert seen[:, vile].tolist() == [0, odd]
+    assert seen[:, word].tolist() == seen[:, toxicity.PAD].tolist() == [len(fit) - odd, odd]
