@@ -91,13 +91,13 @@ def _letters(seed: Column, length: Column) -> Column:
     return F.substr(F.translate(F.sha2(seed, 512), "0123456789", "ghijkmnpqr"), F.lit(1), length)
 
 
-def core_of(kind: Column, form: Column, gender: Column, key: str, attempt: Column) -> Column:
+def core_of(kind: Column, form: Column, gender: Column, key: str, attempt: Column, family: Column | None = None) -> Column:
     """The surrogate of a canonical entity, before it is laid out like a mention of it.
 
     Cards keep sixteen digits, their first digit and the Luhn rule; phones keep length and,
     for ten digits, exchange 555; addresses lie in 10.0.0.0/8; e-mails keep the
     length class and script and move to a reserved domain; secrets keep length, prefix and
-    alphabet; names keep gender, script and the number of words.
+    alphabet; names keep gender, script and the number of words, and end in ``family`` where it is given.
     """
     seed = F.concat_ws("/", F.lit(key), kind, form, attempt.cast("string"))
     digits = _stream(seed)
@@ -128,10 +128,13 @@ def core_of(kind: Column, form: Column, gender: Column, key: str, attempt: Colum
     key_text = F.concat(prefix, plain)
     iban = F.concat(F.substring(form, 1, 2), F.substr(digits, F.lit(1), F.greatest(n - 2, F.lit(0))))
 
-    def names(female: list[str], male: list[str], family: list[str]) -> Column:
+    def names(female: list[str], male: list[str], families: list[str]) -> Column:
         first = F.when(gender == "f", _pick(female, seed)).when(gender == "m", _pick(male, seed)).otherwise(_pick(female + male, seed))
-        last = F.concat(_pick(family, F.concat(seed, F.lit("+"))), F.when(attempt > 0, F.initcap(_letters(seed, attempt * 2))).otherwise(F.lit("")))
-        return F.when(form.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last)
+        more = F.when(attempt > 0, F.initcap(_letters(seed, attempt * 2))).otherwise(F.lit(""))
+        if family is not None:
+            return F.concat(first, more, F.lit(" "), family)
+        last = F.concat(_pick(families, F.concat(seed, F.lit("+"))), more)
+        return last
 
     name = F.when(cyrillic, names(FEMALE_CYRILLIC, MALE_CYRILLIC, FAMILY_CYRILLIC)).otherwise(names(FEMALE, MALE, FAMILY))
     return (
@@ -152,12 +155,30 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     Surrogates come from a keyed hash of the entity and an attempt number. Entities whose
     surrogate another entity drew (the smallest form keeps it) or that is itself an entity
     of the corpus draw again, until none is left; each round only looks at those still open.
+    A surname has one surrogate wherever it occurs, and full names end in the one of theirs.
     """
-    known = entities.select(F.col("kind").alias("kind"), F.col("form").alias("core"))
+    full = (F.col("kind") == "name") & F.col("form").contains(" ")
+    named = entities.where(full).withColumn("surname", _surname(F.col("form")))
+    single = entities.where(~full).unionByName(named.select("kind", F.col("surname").alias("form"), F.lit("u").alias("gender")))
+    single = cut(single.groupBy("kind", "form").agg(F.min("gender").alias("gender")))
+    known = cut(entities.select("kind", "form").unionByName(single.select("kind", "form")).distinct().select("kind", F.col("form").alias("core")))
+    cores = _drawn(single, known, key)
+    families = cores.where("kind = 'name'").select(F.col("form").alias("surname"), F.col("core").alias("family"))
+    whole = _drawn(cut(named.join(families, "surname").drop("surname")), known, key)
+    return cut(cores.join(entities.select("kind", "form"), ["kind", "form"], "left_semi").unionByName(whole))
+
+
+def _surname(form: Column) -> Column:
+    return F.regexp_extract(form, r"(\S+)$", 1)
+
+
+def _drawn(entities: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``kind, form, core`` by rounds of draws; ``known`` are the cores not to be used."""
+    family = F.col("family") if "family" in entities.columns else None
     open_ = entities.withColumn("attempt", F.lit(0))
     settled = None
     while True:
-        drawn = open_.withColumn("core", core_of(F.col("kind"), F.col("form"), F.col("gender"), key, F.col("attempt")))
+        drawn = open_.withColumn("core", core_of(F.col("kind"), F.col("form"), F.col("gender"), key, F.col("attempt"), family))
         drawn = drawn.join(known.withColumn("taken", F.lit(True)), ["kind", "core"], "left")
         if settled is not None:
             drawn = drawn.join(settled.select("kind", "core", F.lit(True).alias("used")), ["kind", "core"], "left")
@@ -170,7 +191,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         )
         won = judged.where("good").select("kind", "form", "core")
         settled = won if settled is None else settled.unionByName(won)
-        open_ = judged.where("not good").select("kind", "form", "gender", (F.col("attempt") + 1).alias("attempt"))
+        open_ = judged.where("not good").select(*entities.columns, (F.col("attempt") + 1).alias("attempt"))
         if open_.isEmpty():
             return cut(settled)
 
@@ -224,7 +245,39 @@ def _replacements(docs: DataFrame, key: str) -> DataFrame:
     spelled = found.select("kind", "form", "entity").distinct().join(cores, ["kind", "form"])
     spelled = cut(spelled.select("kind", "form", "entity", laid_out(F.col("kind"), F.col("entity"), F.col("core")).alias("surrogate")))
     placed = found.join(spelled, ["kind", "form", "entity"]).select("t1", "t2", "place", "kind", "surrogate")
-    return cut(placed.groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("place", "surrogate"))).alias("put"), F.count(F.lit(1)).cast("int").alias("n")))
+    put = placed.groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("place", "surrogate"))).alias("put"), F.count(F.lit(1)).cast("int").alias("n"))
+    return cut(put.join(_repeats(found.join(cores, ["kind", "form"]).select("t1", "t2", "kind", "form", "core").distinct()), ["t1", "t2"], "left"))
+
+
+def _repeats(found: DataFrame) -> DataFrame:
+    """For each text with names, phones or social security numbers: ``pattern`` of mentions in other forms, and ``again``: their kind and core by form."""
+    names = found.where("kind = 'name'")
+    entry = found.where(F.col("kind").isin("name", "phone", "ssn")).unionByName(
+        names.withColumns({"form": _surname(F.col("form")), "core": _surname(F.col("core"))})
+    )
+    entry = entry.groupBy("t1", "t2", "form").agg(F.min(F.struct("kind", "core")).alias("core"))
+    number = F.concat(F.when(F.length("form") == 10, F.lit(r"(?:\+?1[ .-]{0,2})?")).otherwise(F.lit(r"\+?")), F.lit(r"\(?"), F.regexp_replace("form", r"(\d)(?=\d)", "$1[ ./()-]{0,2}"))
+    pattern = F.when(F.col("core.kind") == "name", F.col("form")).otherwise(number)
+    listed = entry.groupBy("t1", "t2").agg(
+        F.map_from_entries(F.collect_list(F.struct("form", "core"))).alias("again"),
+        F.array_sort(F.collect_list(F.struct((-F.length("form")).alias("order"), pattern.alias("pattern")))).alias("patterns"),
+    )
+    either = F.array_join(F.transform("patterns", lambda p: p["pattern"]), "|")
+    return listed.select("t1", "t2", "again", F.concat(F.lit(f"({_NOT_WORD}(?:"), either, F.lit(f"){_END})")).alias("pattern"))
+
+
+def _again(part: Column, pattern: Column, again: Column) -> Column:
+    """Text between mentions with surrogates for untitled or differently spaced repeats of the text's entities."""
+
+    def surrogate(mention: Column) -> Column:
+        digits = F.regexp_replace(mention, r"\D", "")
+        short = F.when(F.length(digits) == 11, F.regexp_replace(digits, "^1", "")).otherwise(digits)
+        met = F.try_element_at(again, F.when(digits == "", mention).otherwise(short))
+        return F.when(met["kind"] == "name", met["core"]).otherwise(F.coalesce(laid_out(met["kind"], mention, met["core"]), mention))
+
+    own = F.regexp_extract_all(part, pattern, F.lit(1))
+    filled = F.transform(F.split(part, pattern, F.lit(-1)), lambda x, i: F.concat(x, F.coalesce(surrogate(F.try_element_at(own, i + 1)), F.lit(""))))
+    return F.when(pattern.isNull(), part).otherwise(F.array_join(filled, ""))
 
 
 def _text_key() -> list[Column]:
@@ -235,18 +288,22 @@ def replace_entities(docs: DataFrame, key: str = "surrogates", count: str | None
     """``docs`` with every detected entity of ``text`` replaced by its surrogate; with ``count``, also the number replaced.
 
     One entity has one surrogate in all documents and spellings, two entities never share
-    one, and no surrogate is an entity of the corpus. A null or empty text, and a text
+    one, and no surrogate is an entity of the corpus. A surname has one too, in full names and alone. In a text
+    that holds a titled name, the name and its surname are also replaced where no title stands
+    before them, and phone and social security numbers in any spacing. A null or empty text, and a text
     without entities, stays as it is; equal texts get equal results; other columns and
     repeated rows are untouched. The same key gives the same surrogates on the same corpus.
     """
     put = _replacements(docs, key)
-    line = put.select(F.struct("t1", "t2", "put", "n").alias("_put"))
+    line = put.select(F.struct("t1", "t2", "put", "n", "pattern", "again").alias("_put"))
     t1, t2 = (F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
     met = docs.join(sized_broadcast(line, 100_000), (t1 == F.col("_put.t1")) & (t2 == F.col("_put.t2")), "left")
     between = F.split("text", F.lit(ANY), F.lit(-1))
     own = F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))
-    filled = F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.try_element_at(F.col("_put.put"), i), F.try_element_at(own, i + 1), F.lit(""))))
+    pattern = F.col("_put.pattern")
+    filled = F.transform(between, lambda x, i: F.concat(_again(x, pattern, F.col("_put.again")), F.coalesce(F.try_element_at(F.col("_put.put"), i), F.try_element_at(own, i + 1), F.lit(""))))
     text = F.when(F.col("_put").isNull(), F.col("text")).otherwise(F.array_join(filled, ""))
-    extra = [F.coalesce("_put.n", F.lit(0)).alias(count)] if count else []
+    repeats = F.aggregate(between, F.lit(0), lambda a, x: a + F.coalesce(F.regexp_count(x, pattern), F.lit(0)))
+    extra = [F.coalesce(F.col("_put.n") + F.coalesce(repeats, F.lit(0)), F.lit(0)).alias(count)] if count else []
     return met.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *extra)
 
