@@ -21,7 +21,7 @@ BLOCK_WORDS = 2_000_000
 FILTER_BITS = 22
 
 _EDGES = np.linspace(0, 64, BLOCKS + 1).astype(int)
-MATCHES = "doc_id long, item_id long, start_word long, n_words long, similarity double"
+FOUND = "item_id long, start_word long, n_words long, similarity double"
 
 
 def simhash(shingles: np.ndarray) -> np.uint64:
@@ -159,7 +159,7 @@ def best_of_stretches(found: list[tuple[int, int, int, float]]) -> list[tuple[in
     return sorted(best)
 
 
-def _finder(items: list[tuple[int, bytes]], percent: int):
+def _finder(items: list[tuple[int, bytes]], percent: int, keys: list[str]):
     index: list[Index] = []
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +181,11 @@ def _finder(items: list[tuple[int, bytes]], percent: int):
                     for size in ix.short:
                         found += ix.short_matches(words[at[i] : at[i + 1]], size)
                     if found:
-                        doc = part.column("doc_id")[first + i].as_py()
-                        rows += [(doc, ix.ids[k], p, n, s) for k, p, n, s in best_of_stretches(found)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int64()] * 4 + [pa.float64()]
-            names = ["doc_id", "item_id", "start_word", "n_words", "similarity"]
+                        doc = [part.column(c)[first + i].as_py() for c in keys]
+                        rows += [(*doc, ix.ids[k], p, n, s) for k, p, n, s in best_of_stretches(found)]
+            names = [*keys, "item_id", "start_word", "n_words", "similarity"]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            kinds = [pa.int64()] * (len(names) - 1) + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return batches
@@ -204,23 +204,31 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERC
     place. Null or empty texts on either side match nothing; an item of fewer than five words
     must occur word by word; equal items all match; a null item_id or doc_id is carried.
     """
-    small_batches(docs.sparkSession)
+    return _matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), body()), ["doc_id"], benchmark, percent)
+
+
+def _matches(texts: DataFrame, keys: list[str], benchmark: DataFrame, percent: int) -> DataFrame:
+    """The matches of ``texts``: ``keys`` (numbers) and body."""
+    small_batches(texts.sparkSession)
     sized = cut(benchmark.select(F.col("item_id").cast("long").alias("item_id"), body(), words_in(F.col("text")).alias("n")).where("n > 0"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body())
+    schema = ", ".join([*[f"{c} long" for c in keys], FOUND])
     found = None
     for b in range(blocks):
         block = sized.where(F.pmod(F.xxhash64("body"), F.lit(blocks)) == b) if blocks > 1 else sized
         items = [(r["item_id"], bytes(r["body"])) for r in block.select("item_id", "body").orderBy("item_id", "body").collect()]
-        got = texts.mapInArrow(_finder(items, percent), MATCHES)
+        got = texts.mapInArrow(_finder(items, percent, keys), schema)
         found = got if found is None else found.unionByName(got)
     return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns. Rows without doc_id stay."""
-    found = cut(benchmark_matches(docs.where(F.col("doc_id").isNotNull()), benchmark, percent).select(F.col("doc_id").alias("_hit")).distinct())
-    nameless = docs.where(F.col("doc_id").isNull())
-    kept = docs.join(sized_broadcast(found), F.col("doc_id") == F.col("_hit"), "left_anti").where(F.col("doc_id").isNotNull())
-    return kept.unionByName(nameless)
+    """The rows of ``docs`` that hold no benchmark item, with all their columns.
+
+    Every row is judged by its text, whatever its doc_id: null and repeated ones too.
+    """
+    hashes = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    texts = docs.where(F.col("text").isNotNull()).select(hashes[0].alias("t1"), hashes[1].alias("t2"), body())
+    found = cut(_matches(texts, ["t1", "t2"], benchmark, percent).select(F.struct("t1", "t2").alias("_hit")).distinct())
+    return docs.join(sized_broadcast(found), (hashes[0] == F.col("_hit.t1")) & (hashes[1] == F.col("_hit.t2")), "left_anti")
