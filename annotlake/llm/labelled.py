@@ -23,7 +23,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, fold: tuple[i
     """``doc_id, y, body, lang`` of at most ``per_class`` documents of each label, outside the held-out fold.
 
     ``fold`` is (divisor, held-out remainder). Rows are taken in the order of a hash of the
-    doc_id, so reruns agree. A document whose labels disagree takes the smaller one.
+    doc_id, so reruns agree. A document whose labels disagree takes the smaller one; of rows
+    that share a doc_id the one with the smallest hash of its text is taken.
     """
     known = known_labels(labels, target, fold)
     present = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
@@ -31,4 +32,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, fold: tuple[i
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("y = 0").orderBy(*order).limit(per_class).unionByName(known.where("y = 1").orderBy(*order).limit(per_class))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select("doc_id", body(), lang.alias("lang")).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "body", "lang")
+    found = docs.select("doc_id", body(), lang.alias("lang")).join(F.broadcast(picked), "doc_id")
+    one = F.min_by(F.struct("y", "body", "lang"), F.struct(F.xxhash64("body"), F.col("lang")))
+    return found.groupBy("doc_id").agg(one.alias("r")).select("doc_id", "r.y", "r.body", "r.lang")
