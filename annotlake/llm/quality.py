@@ -153,6 +153,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns, in one pass over the texts."""
+    """The rows of ``docs`` that the classifier accepts, with all their columns, in one pass over the texts.
+
+    Without labels of both kinds outside the held-out fold no classifier can be fitted, and all rows stay.
+    """
     small_batches(docs.sparkSession)
-    return docs.where(score_of("text", *train(docs, labels)) >= CUT)
+    odds, bias = train(docs, labels)
+    if not odds.any():
+        return docs
+    return docs.where(score_of("text", odds, bias) >= CUT)
