@@ -127,6 +127,16 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def span_values(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of the spans, which follow each other without overlap, as an Arrow column."""
+    if not len(starts):
+        return pa.array([], pa.large_binary())
+    edges = np.empty(2 * len(starts), np.int64)
+    edges[::2], edges[1::2] = starts, ends
+    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(raw)])
+    return pieces.take(pa.array(np.arange(0, len(edges) - 1, 2)))
+
+
 def lower(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
