@@ -226,27 +226,69 @@ def rasterize_filled(shapes: DataFrame, frames: DataFrame) -> DataFrame:
     return sweep(flips, keys, ["odd"], F.when(F.col("odd") % 2 == 1, F.lit(1)), "_in").drop("_in")
 
 
+def _capsule_span(r: float) -> Column:
+    """lo, hi: where the row centre ``_yc`` cuts the capsule of radius ``r`` around the edge of the row; null where it doesn't.
+
+    A capsule is convex, so the cut is one interval: the hull of what its two disks and the
+    strip between them leave of the row. ``flat`` marks a level edge whose side lies on the row
+    centre: there rounding decides for each pixel.
+    """
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    up, size = F.col("_yc") - F.col("y1"), dx * dx + dy * dy
+    by_x, by_y = F.when(dx != 0, dx), F.when(dy != 0, dy)
+    spans = []
+    for i in ("1", "2"):
+        inside = F.lit(r * r) - (F.col("_yc") - F.col(f"y{i}")) * (F.col("_yc") - F.col(f"y{i}"))
+        half = F.when(inside >= 0, F.sqrt(inside))
+        spans.append((F.col(f"x{i}") - half, F.col(f"x{i}") + half))
+    # The strip: between the two ends, and within r to either side.
+    along = [F.col("x1") - up * dy / by_x, F.col("x1") + (size - up * dy) / by_x]
+    across = [F.col("x1") + (up * dx + F.lit(k * r) * F.sqrt(size)) / by_y for k in (-1, 1)]
+    between = (F.least(*along), F.greatest(*along))
+    beside = (F.least(*across), F.greatest(*across))
+    low = F.when(dy == 0, between[0]).when(dx == 0, beside[0]).otherwise(F.greatest(between[0], beside[0]))
+    high = F.when(dy == 0, between[1]).when(dx == 0, beside[1]).otherwise(F.least(between[1], beside[1]))
+    met = F.when(dy == 0, F.abs(up) <= r).when(dx == 0, (up * dy >= 0) & (up * dy <= size)).otherwise(low <= high)
+    spans.append((F.when((size > 0) & met, low), F.when((size > 0) & met, high)))
+    flat = (F.abs(dy) <= F.abs(dx) * F.lit(1e-9)) & (F.abs(F.abs(up) - F.lit(r)) <= F.lit(1e-6)) & (dx != 0)
+    spans.append((F.when(flat, F.least("x1", "x2") - 1), F.when(flat, F.greatest("x1", "x2") + 1)))
+    return F.struct(F.least(*[lo for lo, _ in spans]).alias("lo"), F.greatest(*[hi for _, hi in spans]).alias("hi"), flat.alias("flat"))
+
+
+def _squared_distance(px: Column, py: Column) -> Column:
+    """As ``with_distance``, in one expression for use inside array functions."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    size = dx * dx + dy * dy
+    t = F.when(size > 0, ((px - F.col("x1")) * dx + (py - F.col("y1")) * dy) / size).otherwise(F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    ex, ey = px - (F.col("x1") + t * dx), py - (F.col("y1") + t * dy)
+    return ex * ex + ey * ey
+
+
 def rasterize_stroked(shapes: DataFrame, frames: DataFrame, radius: float = STROKE_RADIUS) -> DataFrame:
-    """Other shapes: pixels whose centre lies within ``radius`` of the outline, as runs per shape."""
+    """Other shapes: pixels whose centre lies within ``radius`` of the outline, as runs per shape.
+
+    Each segment gives one run an image row, solved from the segment; only the pixels at the
+    two ends of a run are measured, and those along a side that lies on a row centre, so that
+    ties at the radius fall as they do for single pixels.
+    """
     keys = [*FRAME_LABEL, "shape_id"]
     edges = outline_edges(_sized(shapes.where(~(F.col("closed") & F.col("filled"))), frames))
     r = F.lit(radius)
-    bounds = {
-        "_x0": F.greatest(F.floor(F.least("x1", "x2") - r), F.lit(0)),
-        "_x1": F.least(F.ceil(F.greatest("x1", "x2") + r), F.col("width") - 1),
-        "_y0": F.greatest(F.floor(F.least("y1", "y2") - r), F.lit(0)),
-        "_y1": F.least(F.ceil(F.greatest("y1", "y2") + r), F.col("height") - 1),
-    }
-    rows = (
-        edges.withColumns(bounds)
-        .where((F.col("_x0") <= F.col("_x1")) & (F.col("_y0") <= F.col("_y1")))
-        .withColumn("y", F.explode(F.sequence("_y0", "_y1")))
-    )
-    pixels = rows.withColumn("x", F.explode(F.sequence("_x0", "_x1")))
-    hit = with_distance(pixels, F.col("x") + 0.5, F.col("y") + 0.5).where(F.col("d2") <= radius * radius)
-    return normalize_runs(
-        hit.select(*keys, "y", F.col("x").alias("x0"), (F.col("x") + 1).alias("x1")), keys
-    )
+    first = F.greatest(F.floor(F.least("y1", "y2") - r), F.lit(0))
+    last = F.least(F.ceil(F.greatest("y1", "y2") + r), F.col("height") - 1)
+    rows = edges.withColumn("y", F.explode(F.when(first <= last, F.sequence(first, last)))).withColumn("_yc", F.col("y") + F.lit(0.5))
+    spans = rows.withColumn("_s", F.explode(F.array(_capsule_span(radius)))).where("_s.lo is not null")
+    left = F.greatest(F.ceil(F.col("_s.lo") - F.lit(0.5)), F.lit(0)).cast("long")
+    right = F.least(F.floor(F.col("_s.hi") - F.lit(0.5)), F.col("width") - 1).cast("long")
+    outer = F.array(*[end + F.lit(k) for end in (left, right) for k in (-1, 0, 1)])
+    ends = spans.withColumn("_ends", F.when(F.col("_s.flat") & (left <= right), F.sequence(left, right)).otherwise(outer))
+    near = lambda x: (x >= 0) & (x < F.col("width")) & (_squared_distance(x + F.lit(0.5), F.col("_yc")) <= F.lit(radius * radius))
+    held = ends.withColumn("_held", F.filter("_ends", near)).where(F.size("_held") > 0)
+    whole = F.array(F.struct(F.array_min("_held").alias("x0"), (F.array_max("_held") + 1).alias("x1")))
+    single = F.transform("_held", lambda x: F.struct(x.alias("x0"), (x + 1).alias("x1")))
+    runs = held.select(*keys, F.col("y").cast("long").alias("y"), F.explode(F.when(F.col("_s.flat"), single).otherwise(whole)).alias("run"))
+    return normalize_runs(runs.select(*keys, "y", "run.x0", "run.x1"), keys)
 
 
 def with_distance(df: DataFrame, px: Column, py: Column) -> DataFrame:

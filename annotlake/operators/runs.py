@@ -69,6 +69,22 @@ def intersect_runs(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
     return _two_sided(left, right, keys, inside, "_in").drop("_in")
 
 
+def transposed_ends(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The ends of disjoint runs after rows and columns change places: keys, y (the old x), x (the old y), ``cover`` 1 or -1.
+
+    A column begins where the row above lacks the pixel and stops where only the row above has
+    it, so only the upper and lower edge of the mask become rows, never its inside.
+    """
+    here = F.struct(F.col("y"), F.lit(1).alias("own"), F.lit(0).alias("above"))
+    below = F.struct((F.col("y") + 1).alias("y"), F.lit(0).alias("own"), F.lit(1).alias("above"))
+    each = runs.select(*keys, "x0", "x1", F.explode(F.array(here, below)).alias("r")).select(*keys, "r.y", "x0", "x1", "r.own", "r.above")
+    ends = run_ends(each, keys, {"own": F.col("own"), "above": F.col("above")})
+    begins, stops = (F.col("own") > 0) & (F.col("above") == 0), (F.col("above") > 0) & (F.col("own") == 0)
+    edge = sweep(ends, keys, ["own", "above"], F.when(begins, F.lit(1)).when(stops, F.lit(-1)), "cover")
+    turned = edge.withColumn("_x", F.explode(F.sequence("x0", F.col("x1") - 1)))
+    return turned.select(*keys, F.col("_x").alias("y"), F.col("y").alias("x"), F.col("cover").cast("long").alias("cover"))
+
+
 def _valued_sweep(runs: DataFrame, stroke: DataFrame, state: Column) -> DataFrame:
     """Sweep a disjoint valued mask against stroke runs keyed by frame and label."""
     mask = run_ends(runs, FRAME_LABEL, {"held": F.col("value"), "stroke": F.lit(0)})

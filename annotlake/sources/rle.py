@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annotlake.operators.runs import FRAME_LABEL, normalize_runs, presence
+from annotlake.operators.runs import FRAME_LABEL, normalize_runs, presence, transposed_ends
 from annotlake.plans.sweep import run_ends, sweep
 
 
@@ -73,16 +73,12 @@ def read_runs_rle(masks: DataFrame, frames: DataFrame, encoding: str | None = "r
     records = _records(_sized(masks, frames, encoding), 4).withColumn("count", _uint(F.col("mask_data"), at, 4))
     ranges = _offsets(records.drop("mask_data")).where((F.col("i") % 2 == 1) & (F.col("p1") > F.col("p0")))
     h = F.col("height").cast("long")
-    columns = ranges.withColumn(
-        "x0", F.explode(F.sequence(F.floor(F.col("p0") / h), F.floor((F.col("p1") - 1) / h)))
-    )
-    top = F.col("x0") * h
-    pixels = columns.withColumn(
-        "y",
-        F.explode(F.sequence(F.greatest(F.col("p0") - top, F.lit(0)), F.least(F.col("p1") - top, h) - 1)),
-    )
-    runs = normalize_runs(pixels.withColumn("x1", F.col("x0") + 1), FRAME_LABEL)
-    return runs.select(*FRAME_LABEL, F.lit(1).alias("value"), "y", "x0", "x1")
+    column = F.floor(F.col("p0") / h), F.floor((F.col("p1") - 1) / h)
+    upright = ranges.withColumn("y", F.explode(F.sequence(*column)))
+    top = F.col("y") * h
+    upright = upright.select(*FRAME_LABEL, "y", F.greatest(F.col("p0") - top, F.lit(0)).alias("x0"), F.least(F.col("p1") - top, h).alias("x1"))
+    runs = sweep(transposed_ends(upright, FRAME_LABEL), FRAME_LABEL, ["cover"], F.when(F.col("cover") > 0, F.lit(1)))
+    return runs.select(*FRAME_LABEL, "value", "y", "x0", "x1")
 
 
 def read_instances_png(pixels: DataFrame) -> DataFrame:
@@ -134,20 +130,18 @@ def _le32(count: Column) -> Column:
     return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in (3, 2, 1, 0)])
 
 
-def _linear(runs: DataFrame, frames: DataFrame, base: str, extent: str) -> DataFrame:
-    """Runs laid end to end: one maximal range per value, background included, per mask."""
-    sizes = frames.select(F.col("id").alias("frame_id"), "width", "height")
-    sized = runs.join(sizes, "frame_id")
-    offset = F.col(base) * F.col(extent)
-    laid = sized.select(
-        *FRAME_LABEL, "value", F.lit(0).alias("y"), (F.col("x0") + offset).alias("x0"), (F.col("x1") + offset).alias("x1")
-    )
+def _with_size(df: DataFrame, frames: DataFrame) -> DataFrame:
+    return df.join(frames.select(F.col("id").alias("frame_id"), "width", "height"), "frame_id")
+
+
+def _ranges(ends: DataFrame, masks: DataFrame, frames: DataFrame) -> DataFrame:
+    """Maximal ranges of one value, background included, of every mask (a row of ``masks``); ``ends``: place x and change ``held`` of the value."""
     area = F.col("width").cast("long") * F.col("height")
-    whole = sized.select(*FRAME_LABEL, F.lit(0).alias("value"), F.lit(0).alias("y"), F.lit(0).alias("x0"), area.alias("x1"))
-    ends = run_ends(laid, FRAME_LABEL, {"held": F.col("value"), "open": F.lit(0)}).unionByName(
-        run_ends(whole.distinct(), FRAME_LABEL, {"held": F.lit(0), "open": F.lit(1)})
-    )
-    return sweep(ends, FRAME_LABEL, ["held", "open"], F.when(F.col("open") > 0, F.col("held")))
+    zero = F.lit(0).cast("long")
+    whole = _with_size(masks.distinct(), frames).select(*FRAME_LABEL, F.lit(0).alias("value"), zero.alias("y"), zero.alias("x0"), area.alias("x1"))
+    laid = ends.select(*FRAME_LABEL, zero.alias("y"), "x", "held", zero.alias("open"))
+    laid = laid.unionByName(run_ends(whole, FRAME_LABEL, {"held": F.lit(0), "open": F.lit(1)}))
+    return sweep(laid, FRAME_LABEL, ["held", "open"], F.when(F.col("open") > 0, F.col("held")))
 
 
 def _packed(records: DataFrame, encoding: str, lead: Column | None = None) -> DataFrame:
@@ -163,7 +157,9 @@ def write_runs_rle8(runs: DataFrame, frames: DataFrame) -> DataFrame:
 
     A record holds one byte of value, so values over 255 are written as 255; ``saturated`` lists them.
     """
-    ranges = _linear(runs, frames, "y", "width")
+    offset = F.col("y") * F.col("width")
+    laid = _with_size(runs, frames).select(*FRAME_LABEL, "value", F.lit(0).alias("y"), (F.col("x0") + offset).alias("x0"), (F.col("x1") + offset).alias("x1"))
+    ranges = _ranges(run_ends(laid, FRAME_LABEL, {"held": F.col("value")}), runs.select(*FRAME_LABEL), frames)
     record = F.concat(F.lpad(F.hex(F.least("value", F.lit(255))), 2, "0"), _le32(F.col("x1") - F.col("x0")))
     return _packed(ranges.withColumn("rec", record), "rle8")
 
@@ -176,10 +172,9 @@ def saturated(runs: DataFrame) -> DataFrame:
 def write_runs_rle(runs: DataFrame, frames: DataFrame) -> DataFrame:
     """Presence to binary column-major masks; a leading 0 when the first pixel is set."""
     flat = presence(runs, FRAME_LABEL)
-    upright = flat.select(
-        *FRAME_LABEL, F.lit(1).alias("value"), F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), "y"
-    ).select(*FRAME_LABEL, "value", F.col("x").alias("column"), F.col("y").alias("x0"), (F.col("y") + 1).alias("x1"))
-    ranges = _linear(upright, frames, "column", "height")
+    place = F.col("y") * F.col("height") + F.col("x")
+    ends = _with_size(transposed_ends(flat, FRAME_LABEL), frames).select(*FRAME_LABEL, place.alias("x"), F.col("cover").alias("held"))
+    ranges = _ranges(ends, flat.select(*FRAME_LABEL), frames)
     lead = F.when(F.element_at("l", 1)["value"] == 1, "00000000").otherwise("")
     return _packed(ranges.withColumn("rec", _le32(F.col("x1") - F.col("x0"))), "rle", lead)
 

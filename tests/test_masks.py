@@ -157,3 +157,56 @@ def test_index_map_with_many_labels(spark, masks):
             want[x] = i
     got = {x: r["value"] for r in R.combined_index_map(runs, index).collect() for x in range(r["x0"], r["x1"])}
     assert got == want
+
+
+def test_strokes_are_runs_solved_per_row(spark):
+    from annotlake import schema
+    from annotlake.operators import geometry as G
+
+    rng = random.Random(8)
+    shapes, want, radius = [], {}, 2.5
+    for k in range(40):
+        n = 1 if k == 0 else rng.randrange(1, 5)
+        nodes = [(rng.randrange(-12, 100) / 2, rng.randrange(-8, 80) / 2) for _ in range(n)]
+        if k % 7 == 3:
+            nodes.append(nodes[0])
+        shapes.append((k, 1, 5, False, False, [(x, y, x, y, x, y, False) for x, y in nodes]))
+        hit = set()
+        for (x1, y1), (x2, y2) in zip(nodes, nodes[1:] if n > 1 or len(nodes) > 1 else nodes, strict=False):
+            size = (x2 - x1) ** 2 + (y2 - y1) ** 2
+            for py in range(30):
+                for px in range(40):
+                    t = max(0.0, min(1.0, ((px + 0.5 - x1) * (x2 - x1) + (py + 0.5 - y1) * (y2 - y1)) / size)) if size else 0.0
+                    if (px + 0.5 - x1 - t * (x2 - x1)) ** 2 + (py + 0.5 - y1 - t * (y2 - y1)) ** 2 <= radius * radius:
+                        hit.add((py, px))
+        want[k] = hit
+    frames_ = spark.createDataFrame([(1, 1, 1, "a.png", 40, 30, False), (2, 1, 2, "b.png", 20_000, 10_000, False)], schema.FRAMES)
+    table = spark.createDataFrame(shapes, schema.SHAPES)
+    edged = {r["shape_id"] for r in G.outline_edges(table).select("shape_id").distinct().collect()}
+    got = {}
+    for k, y, x in pixel_set(G.rasterize_stroked(table, frames_, radius), "shape_id"):
+        got.setdefault(k, set()).add((y, x))
+    assert len(edged) >= 25
+    assert {k: got.get(k, set()) for k in edged} == {k: want[k] for k in edged}
+    long = spark.createDataFrame([(1, 2, 5, False, False, [(0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False), (2e4, 1e4, 2e4, 1e4, 2e4, 1e4, False)])], schema.SHAPES)
+    runs = G.rasterize_stroked(long, frames_)
+    assert runs.groupBy("y").count().agg(F.max("count"), F.count("*")).first()[:] == (1, 10_000)
+    assert runs.agg(F.max(F.col("x1") - F.col("x0"))).first()[0] <= 9
+
+
+def test_column_encoding_of_a_large_image_in_edge_rows(spark):
+    """Work follows the edge of a mask, not its area."""
+    from annotlake import schema
+
+    side = 6000
+    runs = spark.range(side - 200).selectExpr("1L as frame_id", "1L as label_id", "1 as value", "id + 100 as y", "50L as x0", f"{side - 50}L as x1")
+    holes = runs.where("y between 1000 and 1100").selectExpr("frame_id", "label_id", "value", "y", "700L as x0", "900L as x1")
+    runs = R.difference_runs(runs, holes, ["frame_id", "label_id", "value"])
+    size = spark.createDataFrame([(1, 1, 1, "a.png", side, side, False)], schema.FRAMES)
+    edge = R.transposed_ends(runs, ["frame_id", "label_id"])
+    assert edge.count() == 2 * (side - 100) + 2 * 200
+    stored = rle.write_runs_rle(runs, size)
+    counts = struct.unpack(f"<{stored.selectExpr('length(mask_data) div 4').first()[0]}I", bytes(stored.first()["mask_data"]))
+    assert sum(counts) == side * side and sum(counts[1::2]) == (side - 200) * (side - 100) - 101 * 200
+    back = rle.read_runs_rle(stored, size)
+    assert back.select("y", "x0", "x1").exceptAll(runs.select("y", "x0", "x1")).isEmpty() and back.count() == runs.count()

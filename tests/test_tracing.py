@@ -163,3 +163,31 @@ def test_superpixels_are_connected_and_not_small(spark, frames):
                 reached.add((y, x))
                 stack += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
         assert reached == cells
+
+
+def test_thinning_across_tiles(masks):
+    """Shapes larger than a tile, against one whole-image pass after the other."""
+
+    rng = random.Random(12)
+    disk = ["".join("1" if (x - 95) ** 2 + (y - 90) ** 2 <= 85**2 else "." for x in range(200)) for y in range(180)]
+    frame = ["1" * 190 if y < 25 or y >= 145 else "1" * 20 + "." * 140 + "1" * 30 for y in range(170)]
+    noise = ["".join("1" if rng.random() < 0.93 else "." for _ in range(150)) for _ in range(140)]
+    keys = ["frame_id", "label_id"]
+    want = set()
+    for k, picture in enumerate((disk, frame, noise, ["11", "11"], ["1" * 140]), 1):
+        a = np.array([[c == "1" for c in line] for line in picture])
+        a = np.pad(a, 1)
+        while True:
+            before = a
+            for step in range(2):
+                ring = [np.roll(a, (-dy, -dx), (0, 1)) for dy, dx in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))]
+                count, turns = sum(r.astype(int) for r in ring), sum((~ring[i] & ring[(i + 1) % 8]).astype(int) for i in range(8))
+                n, _, e, _, s, _, w, _ = ring
+                blocked = (n & e & s) | (e & s & w) if step == 0 else (n & e & w) | (n & s & w)
+                a = a & ~((count >= 2) & (count <= 6) & (turns == 1) & ~blocked)
+            if (a == before).all():
+                break
+        want |= {(k, x - 1, y - 1) for y, x in zip(*np.nonzero(a), strict=True)}
+    runs = masks(disk, frame, noise, ["11", "11"], ["1" * 140])
+    got = {(r["frame_id"], r["x"], r["y"]) for r in S.thin_components(runs, keys).collect()}
+    assert got == want
