@@ -32,6 +32,16 @@ def body(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")
 
 
+def packed(docs: DataFrame, *derived: Column) -> DataFrame:
+    """Each row of ``docs`` as the struct ``row`` beside derived columns, so that no helper column meets a name of theirs; ``row.*`` unpacks it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *derived)
+
+
+def text_key() -> list[Column]:
+    """A pair of hashes of a row's text, by which rows are judged whatever their ids."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+
+
 def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a written table of ids for broadcasting only if it has at most ``limit`` rows; else it is joined by a shuffle."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

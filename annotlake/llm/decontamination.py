@@ -10,7 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annotlake.llm.common import body, lower, mix, shingle_hashes, sized_broadcast, small_batches, span_hashes, text_slices, word_spans, words_in
+from annotlake.llm.common import (
+    body,
+    lower,
+    mix,
+    packed,
+    shingle_hashes,
+    sized_broadcast,
+    small_batches,
+    span_hashes,
+    text_key,
+    text_slices,
+    word_spans,
+    words_in,
+)
 from annotlake.plans.durable import cut
 
 WIDTH = 5
@@ -228,7 +241,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
 
     Every row is judged by its text, whatever its doc_id: null and repeated ones too.
     """
-    hashes = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
-    texts = docs.where(F.col("text").isNotNull()).select(hashes[0].alias("t1"), hashes[1].alias("t2"), body())
-    found = cut(_matches(texts, ["t1", "t2"], benchmark, percent).select(F.struct("t1", "t2").alias("_hit")).distinct())
-    return docs.join(sized_broadcast(found), (hashes[0] == F.col("_hit.t1")) & (hashes[1] == F.col("_hit.t2")), "left_anti")
+    texts = docs.where(F.col("text").isNotNull()).select(*text_key(), body())
+    found = cut(_matches(texts, ["t1", "t2"], benchmark, percent).select("t1", "t2").distinct())
+    return packed(docs, *text_key()).join(sized_broadcast(found), ["t1", "t2"], "left_anti").select("row.*")

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotlake.llm.common import body, lists, lower, mix, shingle_hashes, sized_broadcast, small_batches, span_hashes, text_slices, word_spans
+from annotlake.llm.common import (
+    body,
+    lists,
+    lower,
+    mix,
+    packed,
+    shingle_hashes,
+    sized_broadcast,
+    small_batches,
+    span_hashes,
+    text_key,
+    text_slices,
+    word_spans,
+)
 from annotlake.plans.durable import cut
 from annotlake.plans.graph import star_components
 
@@ -26,7 +39,7 @@ _FLIP = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint3
 _FOLD = _rng.integers(1, 1 << 62, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
-_FEATURES = ", ".join(["doc_id long", "n long", "hi long", "lo long", *[f"{p} long" for p in PLANES], "bands array<long>"])
+_FEATURES = ", ".join(["n long", "hi long", "lo long", *[f"{p} long" for p in PLANES], "bands array<long>"])
 
 
 def _shingles(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -48,7 +61,7 @@ def _minima(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def _features(width: int):
+def _features(width: int, keys: list[str]):
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for first, sets in _shingles(part.column("body"), width):
@@ -69,7 +82,7 @@ def _features(width: int):
                     planes |= {f"p{b}_{i}": packed[:, i] for i in range(LONGS)}
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": part.column("doc_id").slice(first, len(sets)),
+                        **{c: part.column(c).slice(first, len(sets)) for c in keys},
                         "n": n,
                         "hi": hi.view(np.int64),
                         "lo": lo.view(np.int64),
@@ -86,15 +99,17 @@ def _sets(width: int):
         for part in parts:
             for first, sets in _shingles(part.column("body"), width):
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-                ids = part.column("doc_id").slice(first, len(sets))
+                ids = part.column("id").slice(first, len(sets))
                 yield pa.RecordBatch.from_pydict({"id": ids, "shingles": lists(flat, [len(s) for s in sets])})
 
     return batches
 
 
-def features(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``doc_id``, set size ``n``, a 128-bit fingerprint of the set (hi, lo), packed low bits of the minima, band keys."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body()).mapInArrow(_features(width), _FEATURES)
+def features(docs: DataFrame, width: int = 5, by_text: bool = False) -> DataFrame:
+    """``doc_id`` (and the hashes of the text), set size ``n``, a 128-bit fingerprint of the set (hi, lo), packed low bits of the minima, band keys."""
+    keys = ["doc_id", *(["t1", "t2"] if by_text else [])]
+    schema = ", ".join([*[f"{c} long" for c in keys], _FEATURES])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(text_key() if by_text else []), body()).mapInArrow(_features(width, keys), schema)
 
 
 def estimate(a: str, b: str) -> Column:
@@ -173,40 +188,14 @@ def _joined(roots: DataFrame, late: DataFrame) -> DataFrame:
     return cut(moved.unionByName(linked))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
-
-    Texts are lower-cased (A-Z) and cut into words at white space; a document's set holds its
-    distinct runs of ``width`` words, or the whole sequence where it has fewer. Two documents
-    are linked when ``100 * intersection >= percent * union``; ``component_id`` is the smallest
-    doc_id that links reach, ``kept`` marks it.
-
-    Equal sets are folded into one class first, so copies are never paired. Classes that share
-    a band of minima are compared inside their band bucket: first against a few centres, which
-    settles every pair with a centre, then, where components still meet, against the member
-    with the fewest shingles of its own, and what then still lies in different components and
-    has room for a link, against each other. A bucket
-    whose members lie in one component is finished, so groups of any size cost a few rows a
-    member. Aggregates are written before they meet hot keys, so that both sides of such joins
-    are plain shuffles that adaptive execution can split. Estimates from packed bits thin the pairs; whole sets decide.
-
-    No words or a null text: the empty set, linked with nothing. A null doc_id: its row comes
-    back with a null component, kept. Rows that share a doc_id are one document. An empty
-    table gives an empty result; other columns are ignored.
-    """
-    small_batches(docs.sparkSession)
-    found = cut(features(docs, width))
-    full = found.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    sketch = F.struct(F.col("doc_id").alias("id"), "n", *PLANES)
-    classes = full.groupBy("hi", "lo", "n").agg(F.min(F.struct(F.col("doc_id").alias("id"), *PLANES, "bands")).alias("r"))
-    classes = cut(classes.select("hi", "lo", F.col("r.id").alias("doc_id"), "n", *[f"r.{p}" for p in PLANES], "r.bands"))
+def _roots(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, width: int) -> DataFrame:
+    """``u, root`` of the linked classes among ``id, n``, signatures and bands; ``texts_of`` gives ``id, body`` of a table of ``_id``."""
+    sketch = F.struct("id", "n", *PLANES)
     shared = cut(classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
     live = cut(classes.select(F.explode("bands").alias("key"), sketch.alias("s")).join(shared, "key").select("key", "s", F.col("s.id").alias("comp")))
 
     needed = cut(live.select(F.col("s.id").alias("_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(sized_broadcast(needed), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", body())
-    sets = cut(texts.mapInArrow(_sets(width), "id long, shingles array<long>"))
+    sets = cut(texts_of(needed).mapInArrow(_sets(width), "id long, shingles array<long>"))
 
     chosen = [F.min_by("s", F.xxhash64(F.lit(k), F.col("s.id"))) for k in range(CENTRES)]
     mixed = live.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.array(*chosen).alias("centres"))
@@ -228,16 +217,49 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
         roots.select(F.col("u").alias("comp"), F.col("root").alias("_root")), "comp", "left"
     )
     left = _mixed(cut(left.select("key", "s", F.coalesce("_root", "comp").alias("comp"), "own")))
-    left = cut(left.join(classes.select(F.col("doc_id").alias("_id"), "bands"), F.col("s.id") == F.col("_id")).drop("_id"))
+    left = cut(left.join(classes.select(F.col("id").alias("_id"), "bands"), F.col("s.id") == F.col("_id")).drop("_id"))
     other = left.select("key", F.col("s").alias("y"), F.col("comp").alias("other"), F.col("own").alias("own_y"), F.col("bands").alias("bands_y"))
     most = F.least(F.col("x.n") - F.col("own"), F.col("y.n") - F.col("own_y"))
     may = (F.col("comp") < F.col("other")) & (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent)
     once = F.array_intersect("bands", "bands_y")[0] == F.col("key")  # a pair that shares several bands meets in the first
     pairs = left.select("key", F.col("s").alias("x"), "comp", "own", "bands").join(other, "key").where(may & once).select("x", "y")
-    roots = _joined(roots, cut(_confirmed(cut(_candidates(pairs, percent)), sets, percent)))
-    result = classes.select("hi", "lo", "doc_id")
-    result = result.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left")
-    result = cut(result.groupBy("hi", "lo").agg(F.min(F.coalesce("root", "doc_id")).alias("root")))
+    return _joined(roots, cut(_confirmed(cut(_candidates(pairs, percent)), sets, percent)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Texts are lower-cased (A-Z) and cut into words at white space; a document's set holds its
+    distinct runs of ``width`` words, or the whole sequence where it has fewer. Two documents
+    are linked when ``100 * intersection >= percent * union``; ``component_id`` is the smallest
+    doc_id that links reach, ``kept`` marks it.
+
+    Equal sets are folded into one class first, so copies are never paired. Classes that share
+    a band of minima are compared inside their band bucket: first against a few centres, which
+    settles every pair with a centre, then, where components still meet, against the member
+    with the fewest shingles of its own, and what then still lies in different components and
+    has room for a link, against each other. A bucket
+    whose members lie in one component is finished, so groups of any size cost a few rows a
+    member. Aggregates are written before they meet hot keys, so that both sides of such joins
+    are plain shuffles that adaptive execution can split. Estimates from packed bits thin the pairs; whole sets decide.
+
+    No words or a null text: the empty set, linked with nothing. A null doc_id: its row comes
+    back with a null component, kept. Rows that share a doc_id are one document. An empty
+    table gives an empty result; other columns are ignored.
+    """
+    small_batches(docs.sparkSession)
+    found = cut(features(docs, width))
+    full = found.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    classes = full.groupBy("hi", "lo", "n").agg(F.min(F.struct(F.col("doc_id").alias("id"), *PLANES, "bands")).alias("r"))
+    classes = cut(classes.select("hi", "lo", F.col("r.id").alias("id"), "n", *[f"r.{p}" for p in PLANES], "r.bands"))
+
+    def texts_of(needed: DataFrame) -> DataFrame:
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+        return texts.join(sized_broadcast(needed), F.col("id") == F.col("_id"), "left_semi").select("id", body())
+
+    roots = _roots(classes, texts_of, percent, width)
+    result = classes.select("hi", "lo", "id").join(roots.withColumnRenamed("u", "id"), "id", "left")
+    result = cut(result.groupBy("hi", "lo").agg(F.min(F.coalesce("root", "id")).alias("root")))
     out = found.select("doc_id", "n", "hi", "lo").join(result, ["hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("root"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
@@ -245,8 +267,44 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     )
 
 
+def _doomed(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """By ``doc_id, t1, t2``: the rows that go, and those that stay but occur more than once."""
+    found = cut(features(docs, width, by_text=True))
+    full = found.where(F.col("n") > 0)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    classes = full.groupBy("hi", "lo", "n").agg(F.min(F.struct(row.alias("row"), *PLANES, "bands")).alias("r"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "n", "r.row", *[f"r.{p}" for p in PLANES], "r.bands"))
+
+    def texts_of(needed: DataFrame) -> DataFrame:
+        chosen = needed.join(classes.select(F.col("id").alias("_id"), "row.t1", "row.t2"), "_id")
+        texts = docs.select("text", F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(1), "text").alias("_t2"))
+        met = texts.join(sized_broadcast(cut(chosen)), (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")))
+        return met.groupBy(F.col("_id").alias("id")).agg(F.first("text").alias("text")).select("id", body())
+
+    roots = _roots(classes, texts_of, percent, width)
+    named = cut(classes.select("id", "hi", "lo", "row").join(roots.withColumnRenamed("u", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    best = cut(named.groupBy("root").agg(F.min("row").alias("best")))
+    best = cut(named.join(best, "root").select("hi", "lo", "best"))
+    judged = full.select("doc_id", "t1", "t2", "hi", "lo", row.alias("row")).join(best, ["hi", "lo"]).withColumn("stays", F.col("row") == F.col("best"))
+    judged = cut(judged.groupBy("doc_id", "t1", "t2", "stays").agg(F.count(F.lit(1)).alias("m")).where("not stays or m > 1"))
+    return judged.where("not stays").drop("stays", "m"), judged.where("stays").drop("stays", "m")
+
+
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose document stays: one of each group of near duplicates, with all their columns."""
-    found = near_duplicates(docs, percent, width)
-    gone = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(sized_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each group of near duplicates, with all its columns, and every row without words.
+
+    Rows are judged by their text, whatever their doc_id: of a group the row with the smallest
+    doc_id stays, nulls last, then by a hash of the text; of rows equal in both, one, chosen
+    by a hash of all columns. Texts are read whole; an empty table gives an empty result.
+    """
+    small_batches(docs.sparkSession)
+    gone, many = _doomed(docs, percent, width)
+    rows = packed(docs, F.col("doc_id").cast("long").alias("id"), *text_key())
+    line = lambda df, name: sized_broadcast(df.select(F.struct("doc_id", "t1", "t2").alias(name)))
+    on = lambda name: F.col("id").eqNullSafe(F.col(f"{name}.doc_id")) & (F.col("t1") == F.col(f"{name}.t1")) & (F.col("t2") == F.col(f"{name}.t2"))
+    kept = rows.join(line(gone, "gone"), on("gone"), "left_anti")
+    if many.isEmpty():
+        return kept.select("row.*")
+    repeated = kept.join(line(many, "many"), on("many"), "left_semi")
+    one = repeated.groupBy("id", "t1", "t2").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.join(line(many, "many"), on("many"), "left_anti").select("row.*").unionByName(one.select("row.*"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annotlake.llm.common import sized_broadcast, words_in
+from annotlake.llm.common import packed, sized_broadcast, words_in
 from annotlake.plans.durable import cut
 from annotlake.plans.numbering import number_rows
 
@@ -170,6 +170,6 @@ def mix_sources(docs: DataFrame, seed: str = "mix", max_epochs: int = 3, cycle:
     """
     sized = cut(docs.select("source", words_in(F.col("text")).alias("size"), seeded_order(seed).alias("place")))
     plan = source_plan(sized, max_epochs, cycle)
-    met = _with_repeats(docs, plan, seeded_order(seed))
+    met = _with_repeats(packed(docs, F.col("source"), seeded_order(seed).alias("place")), plan, F.col("place"))
     epochs = F.when(F.col("_repeats") > 0, F.sequence(F.lit(1), F.col("_repeats")))
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns if c != "epoch"], F.explode(epochs).alias("epoch"))
+    return met.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "epoch"], F.explode(epochs).alias("epoch"))

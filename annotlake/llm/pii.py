@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotlake.llm.common import sized_broadcast
+from annotlake.llm.common import packed, sized_broadcast, text_key
 from annotlake.plans.durable import cut
 
 # Names by gender and script, from which surrogates of names are drawn.
@@ -238,7 +238,7 @@ def mentions(docs: DataFrame, row: str) -> DataFrame:
 
 def _replacements(docs: DataFrame, key: str) -> DataFrame:
     """For each text that holds entities: its hash pair and its replacements by place."""
-    texts = docs.where(F.col("text").rlike(HINT)).select("text", *_text_key()).groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    texts = docs.where(F.col("text").rlike(HINT)).select("text", *text_key()).groupBy("t1", "t2").agg(F.first("text").alias("text"))
     found = cut(mentions(texts.withColumn("row", F.struct("t1", "t2")), "row").select("row.t1", "row.t2", "place", "entity", "kind", "form", "gender"))
     entities = found.groupBy("kind", "form").agg(F.min("gender").alias("gender"))
     cores = surrogates(cut(entities), key)
@@ -280,10 +280,6 @@ def _again(part: Column, pattern: Column, again: Column) -> Column:
     return F.when(pattern.isNull(), part).otherwise(F.array_join(filled, ""))
 
 
-def _text_key() -> list[Column]:
-    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
-
-
 def replace_entities(docs: DataFrame, key: str = "surrogates", count: str | None = None) -> DataFrame:
     """``docs`` with every detected entity of ``text`` replaced by its surrogate; with ``count``, also the number replaced.
 
@@ -296,8 +292,8 @@ def replace_entities(docs: DataFrame, key: str = "surrogates", count: str | None
     """
     put = _replacements(docs, key)
     line = put.select(F.struct("t1", "t2", "put", "n", "pattern", "again").alias("_put"))
-    t1, t2 = (F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
-    met = docs.join(sized_broadcast(line, 100_000), (t1 == F.col("_put.t1")) & (t2 == F.col("_put.t2")), "left")
+    rows = packed(docs, F.col("text"), *text_key())
+    met = rows.join(sized_broadcast(line, 100_000), (F.col("t1") == F.col("_put.t1")) & (F.col("t2") == F.col("_put.t2")), "left")
     between = F.split("text", F.lit(ANY), F.lit(-1))
     own = F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))
     pattern = F.col("_put.pattern")
@@ -305,5 +301,5 @@ def replace_entities(docs: DataFrame, key: str = "surrogates", count: str | None
     text = F.when(F.col("_put").isNull(), F.col("text")).otherwise(F.array_join(filled, ""))
     repeats = F.aggregate(between, F.lit(0), lambda a, x: a + F.coalesce(F.regexp_count(x, pattern), F.lit(0)))
     extra = [F.coalesce(F.col("_put.n") + F.coalesce(repeats, F.lit(0)), F.lit(0)).alias(count)] if count else []
-    return met.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *extra)
+    return met.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], *extra)
 

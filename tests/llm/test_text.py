@@ -6,7 +6,7 @@ import pytest
 from brute import contaminated, near_duplicates, removed
 from pyspark.sql import functions as F
 
-from annotlake.llm import decontamination, minhash, repeats
+from annotlake.llm import decontamination, minhash, mixing, pii, repeats
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,10 +50,39 @@ def test_near_duplicates_edge_rows(spark):
     got = sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
     assert got == [("1", 1, True), ("1", 1, True), ("2", 1, False), ("None", None, True)]
     assert minhash.near_duplicates(docs.where("false")).count() == 0
-    assert sorted(str(r["doc_id"]) for r in minhash.drop_near_duplicates(docs).collect()) == ["1", "1", "None"]
+    assert [r["doc_id"] for r in minhash.drop_near_duplicates(docs).collect()] == [1]
     assert minhash.drop_near_duplicates(docs).columns == docs.columns
 
 
+def test_near_duplicate_rows_are_judged_by_their_text(spark):
+    long = " ".join(f"w{k}" for k in range(200))
+    near = long.replace("w7 ", "x ")
+    rows = [(None, long), (None, long), (None, near), (5, "other words that stand here alone"), (5, long), (5, near), (4, "p q"), (4, "p q"), (4, "r s"), (None, None), (None, None), (9, ""), (9, "")]
+    rows += [(None, "six words without any id here")] * 3 + [(k, "copy of one text many times over") for k in range(30, 60)]
+    docs = table(spark, rows).withColumns({c: F.lit(1) for c in ("_gone", "row", "gone", "many", "id", "t1", "t2", "_id", "_t1", "_put", "_plan", "_repeats", "_hit")})
+    kept = minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect())
+    (winner,) = [t for i, t in got if i == "5" and t in (long, near)]
+    want = [("5", winner), ("5", "other words that stand here alone"), ("4", "p q"), ("4", "r s"), ("None", "None"), ("None", "None"), ("9", ""), ("9", "")]
+    want += [("None", "six words without any id here"), ("30", "copy of one text many times over")]
+    assert got == sorted(want)
+    again = sorted((str(r["doc_id"]), str(r["text"])) for r in minhash.drop_near_duplicates(docs.repartition(5)).collect())
+    assert again == got
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ("_gone", "row", "gone", "many", "id", "t1", "t2", "_id", "_put", "_plan", "_repeats", "_hit", "place", "put", "n", "target", "whole", "body")
+    docs = table(spark, [(k, f"Mrs Anna Smith wrote {k} {k + 1} {k + 2}") for k in range(8)]).withColumns({c: F.lit(c) for c in names})
+    bench = spark.createDataFrame([(1, "wrote 3 4 5")], "item_id long, text string").withColumns({c: F.lit(c) for c in names})
+    clean = decontamination.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [0, 1, 2, 4, 5, 6, 7]
+    made = pii.replace_entities(docs)
+    assert made.columns == docs.columns and all("Smith" not in r["text"] and r["_put"] == "_put" and r["row"] == "row" for r in made.collect())
+    mixed = mixing.mix_sources(docs)
+    assert mixed.columns == [*docs.columns, "epoch"] and {r["_plan"] for r in mixed.collect()} == {"_plan"}
+
+
 def test_members_without_room_leave_before_pairing(spark):
     """A group whose members mostly miss the threshold still gives every link."""
     rng = random.Random(7)
