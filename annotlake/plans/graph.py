@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from annotlake.plans.durable import cut
@@ -24,26 +24,25 @@ def star_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     on = [*keys, "u"]
     cols = [*keys, "u", "v"]
-    stars = cut(
+    stars, seen = _written(
         edges.where("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    seen = _fingerprint(stars)
     while seen[0]:
         both = stars.unionByName(stars.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*on).agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = (
-            both.join(least, on).where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        large = both.join(least, on).where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy(*on).agg(F.min("v").alias("m"))
         inner = large.join(least, on).where("v > m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
         own = least.select(*keys, "u", F.col("m").alias("v"))
-        stars = cut(inner.unionByName(own).select(*cols).distinct())
-        now = _fingerprint(stars)
-        if now == seen:
+        before = seen
+        stars, seen = _written(inner.unionByName(own).select(*cols).distinct())
+        if seen == before:
             break
-        seen = now
     return stars.withColumnRenamed("v", "root")
 
 
-def _fingerprint(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns))).first())
+def _written(df: DataFrame) -> tuple[DataFrame, tuple]:
+    """The rows, cut, with their count and a fingerprint that were taken while they were written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("x")))
+    return out, (seen.get["n"], seen.get["x"])
