@@ -161,7 +161,6 @@ def _peeled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     against the smallest set of its bucket that bounds its similarity. Members that can't
     reach it leave, which may leave others more shingles of their own, so this is done twice.
     """
-    rest = cut(rest)
     for _ in range(2):
         ids = rest.select(F.col("s.id").alias("id")).distinct()
         token = sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("token"))
@@ -207,7 +206,12 @@ def _roots(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], perce
 
     rest = met.where(~F.exists("centres", lambda c: c["id"] == F.col("s.id"))).select("key", "s")
     rest = rest.join(roots.withColumnRenamed("u", "_u"), F.col("s.id") == F.col("_u"), "left").select("key", "s", F.coalesce("root", "s.id").alias("comp"))
-    rest = _peeled(_mixed(cut(rest)), sets, percent)
+    rest = cut(_mixed(cut(rest)))
+    if rest.isEmpty():
+        return roots
+    rest = _peeled(rest, sets, percent)
+    if rest.isEmpty():
+        return roots
     hub = cut(rest.groupBy("key").agg(F.min_by(F.struct("s", "comp"), F.struct("own", "s.id")).alias("hub")))
     met = cut(rest.join(hub, "key"))
     pairs = met.where("comp <> hub.comp").select(F.col("s").alias("x"), F.col("hub.s").alias("y"))
@@ -216,7 +220,9 @@ def _roots(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], perce
     left = met.where("s.id <> hub.s.id").select("key", "s", "comp", "own").join(
         roots.select(F.col("u").alias("comp"), F.col("root").alias("_root")), "comp", "left"
     )
-    left = _mixed(cut(left.select("key", "s", F.coalesce("_root", "comp").alias("comp"), "own")))
+    left = cut(_mixed(cut(left.select("key", "s", F.coalesce("_root", "comp").alias("comp"), "own"))))
+    if left.isEmpty():
+        return roots
     left = cut(left.join(classes.select(F.col("id").alias("_id"), "bands"), F.col("s.id") == F.col("_id")).drop("_id"))
     other = left.select("key", F.col("s").alias("y"), F.col("comp").alias("other"), F.col("own").alias("own_y"), F.col("bands").alias("bands_y"))
     most = F.least(F.col("x.n") - F.col("own"), F.col("y.n") - F.col("own_y"))
