@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annotlake.functions.paths import file_name
-from annotlake.plans.numbering import number_rows, number_within
+from annotlake.plans.numbering import number_rows, number_with_neighbours, number_within
 
 PAGE = 64
 
@@ -182,44 +182,23 @@ def sequence_fully_reviewed(frames: DataFrame) -> DataFrame:
 def frame_neighbours(sequences: DataFrame, frames: DataFrame) -> DataFrame:
     """Previous and next frame over the whole project order, crossing sequences.
 
-    Neighbours meet on the position: each frame is also sent to the positions before and
-    after it, and one combined aggregation per position replaces an unpartitioned window.
+    One range shuffle brings neighbours side by side; partitions exchange their first and last frame.
     """
     order = sequences.select(
         F.col("id").alias("sequence_id"), F.col("sort_order").alias("seq_order"), F.col("name").alias("seq_name")
     )
     slim = frames.select("sequence_id", F.col("id").alias("frame_id"), "frame_index").join(order, "sequence_id")
-    numbered = number_rows(
-        slim, [F.col(c) for c in ("seq_order", "seq_name", "frame_index", "frame_id")], "position"
+    met = number_with_neighbours(
+        slim, [F.col(c) for c in ("seq_order", "seq_name", "frame_index", "frame_id")], "frame_id", "position"
     )
-    roles = F.explode(
-        F.array(
-            *[
-                F.struct((F.col("position") + step).alias("at"), F.lit(role).alias("role"))
-                for step, role in ((0, "self"), (1, "previous"), (-1, "next"))
-            ]
-        )
-    )
-    sent = numbered.select("frame_id", "sequence_id", roles.alias("r"))
-    met = sent.groupBy(F.col("r.at").alias("position")).agg(
-        *[
-            F.max(F.when(F.col("r.role") == role, F.col(column))).alias(name)
-            for role, column, name in (
-                ("self", "frame_id", "frame_id"),
-                ("self", "sequence_id", "sequence_id"),
-                ("previous", "frame_id", "previous_id"),
-                ("next", "frame_id", "next_id"),
-            )
-        ]
-    )
-    return met.where(F.col("frame_id").isNotNull()).select(
+    return met.select(
         "frame_id",
         "sequence_id",
         "position",
-        "previous_id",
-        "next_id",
-        F.col("previous_id").isNull().alias("is_first"),
-        F.col("next_id").isNull().alias("is_last"),
+        F.col("previous").alias("previous_id"),
+        F.col("next").alias("next_id"),
+        F.col("previous").isNull().alias("is_first"),
+        F.col("next").isNull().alias("is_last"),
     )
 
 

@@ -353,22 +353,68 @@ def bbox_intersects(boxes: DataFrame, windows: DataFrame, size: int = GRID) -> D
     return a.join(b, ["frame_id", "gx", "gy"]).where(meets).drop("gx", "gy")
 
 
+# Cell borders lie off the places where nodes and clicks usually are, so that no outline touches a corner of a cell.
+GRID_X, GRID_Y = 0.3712345, 0.2718281
+
+
+def _column(x: Column, size: int) -> Column:
+    """The cell whose right border is the first at or after ``x``."""
+    return F.ceil((x - F.lit(GRID_X)) / F.lit(size))
+
+
+def _band(y: Column, size: int) -> Column:
+    """The cell whose upper border is the last at or before ``y``."""
+    return F.floor((y - F.lit(GRID_Y)) / F.lit(size))
+
+
+def _crossing(y: Column) -> Column:
+    """Where the edge of the row meets the height ``y``; edges that are level there have no place."""
+    return (F.col("x1") - F.col("x2")) * (y - F.col("y2")) / F.nullif(F.col("y1") - F.col("y2"), F.lit(0.0)) + F.col("x2")
+
+
+def edge_cells(edges: DataFrame, size: int) -> DataFrame:
+    """One row per grid cell (gx, gy) an edge passes through: at most one more than it crosses borders."""
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    banded = edges.withColumn("gy", F.explode(F.sequence(_band(low, size), _band(high, size))))
+    top = F.col("gy") * F.lit(size) + F.lit(GRID_Y)
+    ends = [F.coalesce(_crossing(F.greatest(low, top)), F.col("x1")), F.coalesce(_crossing(F.least(high, top + size)), F.col("x2"))]
+    slack = F.lit(1e-6)
+    return banded.withColumn("gx", F.explode(F.sequence(_column(F.least(*ends) - slack, size), _column(F.greatest(*ends) + slack, size))))
+
+
+def corner_parity(edges: DataFrame, size: int) -> DataFrame:
+    """frame_id, shape_id, gx, gy of the cells whose upper right corner lies inside, by the outline's crossings of the upper border."""
+    lines = F.sequence(_band(F.least("y1", "y2"), size), _band(F.greatest("y1", "y2"), size) + 1)
+    rows = edges.withColumn("gy", F.explode(lines)).withColumn("_line", F.col("gy") * F.lit(size) + F.lit(GRID_Y))
+    rows = rows.where((F.col("y1") > F.col("_line")) != (F.col("y2") > F.col("_line")))
+    keys = ["frame_id", "shape_id"]
+    flips = rows.select(*keys, F.col("gy").alias("y"), _column(_crossing(F.col("_line")), size).alias("x"), F.lit(1).cast("long").alias("odd"))
+    spans = sweep(flips, keys, ["odd"], F.when(F.col("odd") % 2 == 1, F.lit(1)), "_in")
+    return spans.select(*keys, F.explode(F.sequence("x0", F.col("x1") - 1)).alias("gx"), F.col("y").alias("gy"))
+
+
 def point_in_polygon(shapes: DataFrame, points: DataFrame, size: int = GRID) -> DataFrame:
     """(shape_id, point_id) where a point lies inside a closed shape, even-odd.
 
-    Only edges whose y range holds the point can cross its ray, so points meet edges on
-    frame and row band. Crossings are counted per pair with a map-side combine.
+    A parity grid: of every cell it is known whether its upper right corner lies inside. From
+    there a path runs down the right border to the point's height and left to the point;
+    every edge of the cell that crosses it flips the answer. So a point meets the edges of one
+    cell, and one row for each shape around the cell, however many edges the shapes have.
     """
     closed = shapes.where("closed").select("frame_id", "shape_id", "closed", "nodes")
-    edges = outline_edges(spread(closed, "frame_id", "shape_id")).where("y1 <> y2").drop("closed")
-    banded = edges.withColumn(
-        "band", F.explode(F.sequence(cell_of(F.least("y1", "y2"), size), cell_of(F.greatest("y1", "y2"), size)))
-    )
-    placed = points.select("frame_id", "point_id", "px", "py", cell_of(F.col("py"), size).alias("band"))
-    met = banded.join(placed, ["frame_id", "band"]).where((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py")))
-    cross = (F.col("x1") - F.col("x2")) * (F.col("py") - F.col("y2")) / (F.col("y1") - F.col("y2")) + F.col("x2")
-    right = met.where(F.col("px") < cross)
-    odd = right.groupBy("frame_id", "shape_id", "point_id").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    edges = outline_edges(spread(closed, "frame_id", "shape_id")).drop("closed")
+    cell = ["frame_id", "gx", "gy"]
+    placed = points.select("frame_id", "point_id", "px", "py", _column(F.col("px"), size).alias("gx"), _band(F.col("py"), size).alias("gy"))
+    border, top = F.col("gx") * F.lit(size) + F.lit(GRID_X), F.col("gy") * F.lit(size) + F.lit(GRID_Y)
+    cross = _crossing(F.col("py"))
+    left = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("px") < cross) & (cross <= border)
+    fall = (F.col("y1") - F.col("y2")) * (border - F.col("x2")) / F.nullif(F.col("x1") - F.col("x2"), F.lit(0.0)) + F.col("y2")
+    down = ((F.col("x1") > border) != (F.col("x2") > border)) & (fall > top) & (fall <= F.col("py"))
+    flips = F.coalesce(left, F.lit(False)).cast("int") + F.coalesce(down, F.lit(False)).cast("int")
+    pair = ["frame_id", "shape_id", "point_id"]
+    met = edge_cells(edges, size).join(placed, cell).select(*pair, flips.alias("n")).where("n > 0")
+    around = corner_parity(edges, size).join(placed, cell).select(*pair, F.lit(1).alias("n"))
+    odd = met.unionByName(around).groupBy(*pair).agg(F.sum("n").alias("n")).where("n % 2 = 1")
     return odd.drop("n")
 
 

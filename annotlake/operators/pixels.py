@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from annotlake.functions.color import luma709, rgb_to_lab, with_delta_e
 from annotlake.operators.components import components_at, components_of, largest_component
 from annotlake.operators.runs import close_mask, normalize_runs
+from annotlake.plans.overlap import cell_of, with_cells
 
 CHANNELS = ("r", "g", "b", "luma")
 
@@ -239,9 +241,11 @@ def mean_intensity(pixels: DataFrame) -> DataFrame:
 
 
 def masked_pixels(pixels: DataFrame, mask: DataFrame) -> DataFrame:
-    """Pixels inside the mask runs of their frame (runs become pixels; masks are regions)."""
-    inside = mask.select("frame_id", "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x")).distinct()
-    return pixels.join(inside, ["frame_id", "y", "x"], "left_semi")
+    """Pixels inside the mask runs of their frame. Runs stay runs: a pixel meets the disjoint runs of its row's cell only."""
+    runs = normalize_runs(mask, ["frame_id"]).select(F.col("frame_id"), F.col("y"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"))
+    pieces = with_cells(runs, F.col("_x0"), F.col("_x1") - 1, name="_cell")
+    met = pixels.withColumn("_cell", cell_of(F.col("x"))).join(pieces, ["frame_id", "y", "_cell"])
+    return met.where((F.col("x") >= F.col("_x0")) & (F.col("x") < F.col("_x1"))).select(*pixels.columns)
 
 
 def otsu_threshold(values: DataFrame) -> DataFrame:
@@ -316,20 +320,31 @@ def with_lab(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("_lab", F.explode(F.array(lab))).select(*pixels.columns, "_lab.l", "_lab.a", F.col("_lab.b").alias("lab_b"))
 
 
+# The lightness weight of the difference is 1 + 0.015 d^2 / sqrt(20 + d^2) for a mean lightness d away from 50; this is its largest value, at 0 and 100.
+LIGHTNESS_WEIGHT = 1 + 0.015 * 50**2 / math.sqrt(20 + 50**2)
+LIGHTNESS_CELL = 4
+
+
 def color_fill(pixels: DataFrame, seeds: DataFrame, tolerance: float) -> DataFrame:
     """Runs 8-connected to each seed whose colour differs from the seed's by at most ``tolerance``.
 
     ``seeds``: frame_id, seed_id, x, y. Filtering by colour and taking the component under the
     seed gives the set a flood fill reaches; the seed itself differs by 0.
+
+    Each distinct colour of a frame is compared once. A difference is at least the difference in
+    lightness over ``LIGHTNESS_WEIGHT`` (what the other terms add is never negative), so seeds meet
+    only colours in cells of lightness within reach; pixels then meet the seeds their colour suits.
     """
-    lab = with_lab(pixels)
-    origin = lab.join(seeds, ["frame_id", "y", "x"]).select(
-        "frame_id", "seed_id", F.col("l").alias("l1"), F.col("a").alias("a1"), F.col("lab_b").alias("b1")
-    )
-    pairs = lab.select(
-        "frame_id", "y", "x", F.col("l").alias("l2"), F.col("a").alias("a2"), F.col("lab_b").alias("b2")
-    ).join(origin, "frame_id")
-    alike = with_delta_e(pairs).where(F.round("delta_e", 6) <= tolerance)
+    rgb = ["r", "g", "b"]
+    colours = with_lab(pixels.select("frame_id", *rgb).distinct())
+    wide = F.lit(tolerance * LIGHTNESS_WEIGHT + 1e-3)
+    at = pixels.join(seeds, ["frame_id", "y", "x"]).select("frame_id", "seed_id", *rgb)
+    origin = with_lab(at).select("frame_id", "seed_id", F.col("l").alias("l1"), F.col("a").alias("a1"), F.col("lab_b").alias("b1"))
+    origin = with_cells(origin, F.col("l1") - wide, F.col("l1") + wide, LIGHTNESS_CELL)
+    targets = colours.select("frame_id", *rgb, F.col("l").alias("l2"), F.col("a").alias("a2"), F.col("lab_b").alias("b2"), cell_of(F.col("l"), LIGHTNESS_CELL).alias("cell"))
+    pairs = targets.join(origin, ["frame_id", "cell"])
+    suits = with_delta_e(pairs).where(F.round("delta_e", 6) <= tolerance).select("frame_id", "seed_id", *rgb)
+    alike = pixels.join(suits, ["frame_id", *rgb])
     keys = ["frame_id", "seed_id"]
     runs = normalize_runs(
         alike.select(*keys, "y", F.col("x").alias("x0"), (F.col("x") + 1).alias("x1")), keys

@@ -25,3 +25,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written copy."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the file system that ``path`` names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def shared_names(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern on the file system that it names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [f.getPath().toString() for f in found] if found else []

@@ -1,8 +1,8 @@
-"""Streams of edits and of frames, kept current as small per-batch deltas.
+"""Streams of edits and of frames, kept current as few reduced parts.
 
-A micro-batch is reduced to its last write per key and written under its batch id, replacing
-whatever an earlier attempt of the same batch left there, so a repeated batch changes nothing.
-Readers reduce the deltas once more; nothing rewrites the whole table per batch.
+A micro-batch is reduced to its last write per key and added to the parts under its batch id;
+parts of like size are reduced into one, so that a reader meets at most a few rows a key after
+any number of batches. A repeated batch replaces what an earlier attempt of it left.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from annotlake.operators.merge import upsert_latest
+from annotlake.sinks.versions import append_reduced, read_parts
 
 EDIT_KEYS = ("frame_id", "field")
 
@@ -22,7 +23,7 @@ def delta_writer(folder: str, keys: Sequence[str], order: Sequence[str]):
     """foreachBatch function writing the last write per key of a batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_latest(batch, keys, order).write.mode("overwrite").parquet(f"{folder}/deltas/batch={batch_id}")
+        append_reduced(upsert_latest(batch, keys, order), folder, batch_id, lambda rows: upsert_latest(rows, keys, order))
 
     return write
 
@@ -39,7 +40,7 @@ def stream_latest_edits(
 
 def latest_edits(spark: SparkSession, folder: str, keys: Sequence[str] = EDIT_KEYS) -> DataFrame:
     """Current state of a stream started by ``stream_latest_edits``."""
-    return upsert_latest(spark.read.parquet(f"{folder}/deltas").drop("batch"), keys)
+    return upsert_latest(read_parts(spark, folder), keys)
 
 
 def review_counts(frames: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def stream_review_progress(frames: DataFrame, folder: str, available_now: bool =
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stamped = batch.withColumn("batch_no", F.lit(batch_id).cast("long"))
-        stamped.write.mode("overwrite").parquet(f"{folder}/deltas/batch={batch_id}")
+        append_reduced(stamped, folder, batch_id, _last_counts)
 
     writer = (
         review_counts(frames)
@@ -71,5 +72,8 @@ def stream_review_progress(frames: DataFrame, folder: str, available_now: bool =
 
 def review_progress_now(spark: SparkSession, folder: str) -> DataFrame:
     """Last counts written per sequence."""
-    updates = spark.read.parquet(f"{folder}/deltas").drop("batch")
-    return upsert_latest(updates, ["sequence_id"], ["batch_no"]).drop("batch_no")
+    return _last_counts(read_parts(spark, folder)).drop("batch_no")
+
+
+def _last_counts(updates: DataFrame) -> DataFrame:
+    return upsert_latest(updates, ["sequence_id"], ["batch_no"])
