@@ -38,3 +38,9 @@ def shared_names(spark: SparkSession, pattern: str) -> list[str]:
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
     return [f.getPath().toString() for f in found] if found else []
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of its file system, Spark's default one where it names none."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(named).toString()

@@ -65,8 +65,9 @@ def coco_annotations(
                 *[c.alias(name) for name, c in boxes.items()], polygon_area().alias("area"), F.array(flat).alias("segmentation"),
             )
         )
-    numbered = number_rows(rows, [F.col(c) for c in order], "id")
-    return numbered.withColumn("iscrowd", F.lit(0)).drop("part")
+    # Only the four keys are sorted and written; rings and boxes meet their number by one join.
+    numbers = number_rows(rows.select(*order), [F.col(c) for c in order], "id")
+    return rows.join(numbers, order).withColumn("iscrowd", F.lit(0)).drop("part")
 
 
 def coco_documents(keyed: DataFrame, images: DataFrame, categories: DataFrame, annotations: DataFrame) -> DataFrame:

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from annotlake.functions.paths import IMAGE_PATTERN, below, file_name, sequence_name, sniff_mime
 from annotlake.plans.numbering import number_rows, number_within
+from annotlake.sinks.files import sharded_files
 
 
 def read_folder(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """path (relative), content and length of every file below ``root``."""
+    kept = sharded_files(spark, root)
+    if kept is not None:
+        shown = kept if recursive else kept.where(~F.contains(F.col("path"), F.lit("/")))
+        return shown.select("path", "content", F.length("content").cast("long").alias("length"))
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     )
@@ -23,12 +28,24 @@ def image_sizes(spark: SparkSession, root: str) -> DataFrame:
     PNG, GIF and BMP files state their size at a fixed place of the header. Only the others
     are decoded.
     """
+    return _decoded_sizes(spark, root, with_header_sizes(read_folder(spark, root)).select("path", "width", "height"))
+
+
+def with_header_sizes(files: DataFrame) -> DataFrame:
+    """Add width and height as the header in ``content`` states them, else null."""
     width, height = header_size(F.col("content"))
-    told = read_folder(spark, root).select("path", width.alias("width"), height.alias("height"))
+    return files.withColumns({"width": width, "height": height})
+
+
+def _decoded_sizes(spark: SparkSession, root: str, told: DataFrame) -> DataFrame:
+    """Fill width and height of the kinds that only a decoder can tell; -1 where none can."""
+    either = lambda a, b: F.coalesce(a, b, F.lit(-1)).cast("int")
+    if sharded_files(spark, root) is not None:  # the decoder reads files only
+        return told.withColumns({c: either(F.col(c), F.lit(None)) for c in ("width", "height")})
     images = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,jpeg,JPG,JPEG,tif,tiff}").load(root)
     decoded = images.select(below(F.col("image.origin"), root).alias("path"), F.col("image.width").alias("_w"), F.col("image.height").alias("_h"))
-    either = lambda a, b: F.coalesce(a, b, F.lit(-1)).cast("int").alias(a)
-    return told.join(decoded, "path", "left").select("path", either("width", "_w"), either("height", "_h"))
+    met = told.join(decoded, "path", "left")
+    return met.withColumns({"width": either(F.col("width"), F.col("_w")), "height": either(F.col("height"), F.col("_h"))}).drop("_w", "_h")
 
 
 def header_size(content: Column) -> tuple[Column, Column]:
@@ -50,10 +67,9 @@ def header_size(content: Column) -> tuple[Column, Column]:
 
 
 def scan_folder(spark: SparkSession, root: str, embed_images: bool = False, threshold_kb: int = 100) -> DataFrame:
-    """Frames of an image folder: read, matched by name, sized by header or decoder, hashed."""
-    files = scan_images(read_folder(spark, root))
-    sized = files.join(image_sizes(spark, root), "path")
-    return import_frames(sized, embed_images, threshold_kb)
+    """Frames of an image folder: each file read once, matched by name, sized by header, hashed; only kinds without a plain header are decoded."""
+    files = with_header_sizes(scan_images(read_folder(spark, root)))
+    return import_frames(_decoded_sizes(spark, root, files), embed_images, threshold_kb)
 
 
 def scan_images(files: DataFrame, pattern: str = IMAGE_PATTERN) -> DataFrame:
