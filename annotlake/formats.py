@@ -100,7 +100,7 @@ def format_infos() -> list[dict[str, Any]]:
 
 # ── built-in formats ────────────────────────────────────────────────────────
 # Exports take: frames, labels (label_id, label_index, name, color, is_instance), mask_runs,
-# shapes (nodes). Imports take the tables their readers return.
+# shapes (nodes), and where they are wanted classifications and tasks. Imports take the tables their readers return.
 
 
 def _export_coco(t: TableSet, settings: dict[str, Any]) -> TableSet:
@@ -166,22 +166,46 @@ def _export_yolo(t: TableSet, settings: dict[str, Any]) -> TableSet:
 
 
 def _export_masks(t: TableSet, settings: dict[str, Any]) -> TableSet:
-    from annotlake.operators import exports, runs
-    from annotlake.operators.geometry import flatten_shapes
+    """Masks, maps and vector documents of the frames that have a path, and the errors of the others.
+
+    Instance mode writes the ids of every label and nothing that mixes labels or draws into
+    masks. Baking draws each frame's shapes into its masks first; vector documents hold the
+    shapes either way.
+    """
+    from pyspark.sql import functions as F
 
+    from annotlake.operators import exports, runs
+    from annotlake.operators.geometry import flatten_shapes, rasterize_shapes
+
+    frames = t["frames"].where("reviewed") if settings["only_reviewed"] else t["frames"]
+    shown = frames.where(F.col("relative_path").isNotNull())
+    chosen = shown.select(F.col("id").alias("frame_id"))
+    of_frames = lambda df: df.join(chosen, "frame_id", "left_semi")
+    masks, shapes = of_frames(t["mask_runs"]), of_frames(t["shapes"])
+    single = settings["instance"]
+    if settings["bake"] and not single:
+        drawn = shapes.select("frame_id").distinct()
+        baked = runs.bake_shapes(masks.join(drawn, "frame_id", "left_semi"), rasterize_shapes(shapes, shown))
+        plain = masks.join(drawn, "frame_id", "left_anti")
+        masks = plain.select(*runs.FRAME_LABEL, "value", "y", "x0", "x1").unionByName(baked.withColumn("value", F.lit(1)))
     index = t["labels"].select("label_id", "label_index")
-    out: TableSet = {}
-    if settings["individual"]:
-        out["individual_masks"] = runs.individual_masks(t["mask_runs"], t["labels"])
-    if settings["combined"]:
-        out["combined_masks"] = runs.combined_index_map(t["mask_runs"], index)
-    if settings["colormap"]:
-        out["colormap"] = runs.colormap_map(
-            runs.combined_index_map(t["mask_runs"], index), exports.map_colors(t["labels"])
-        )
+    out: TableSet = {"errors": exports.export_errors(frames)}
+    if settings["individual"] or single:
+        out["individual_masks"] = exports.mask_files(runs.individual_masks(masks, t["labels"], single), shown)
+    if (settings["combined"] or settings["colormap"]) and not single:
+        combined = runs.combined_index_map(masks, index)
+        if settings["combined"]:
+            out["combined_masks"] = combined.join(exports.frame_files(shown, "combined_masks", ".png"), "frame_id")
+        if settings["colormap"]:
+            painted = runs.colormap_map(combined, exports.map_colors(t["labels"]))
+            out["colormap"] = painted.join(exports.frame_files(shown, "colormap", ".png"), "frame_id")
     if settings["vectors"]:
-        names = t["labels"].selectExpr("label_id", "name as label_name")
-        out["vector"] = exports.vector_json(flatten_shapes(t["shapes"]), names)
+        out["vector"] = exports.vector_documents(flatten_shapes(shapes), t["labels"], shown)
+    if settings["classifications"] and "classifications" in t:
+        out["classifications"] = exports.classifications_long_csv(frames, t["classifications"])
+        for name, classes, several in [tuple(r) for r in t["tasks"].select("name", "classes", "is_multilabel").collect()] if "tasks" in t else []:
+            table = exports.task_csv_multilabel if several else exports.task_csv_multiclass
+            out[f"task_{name}"] = table(frames, t["classifications"], name, classes)
     return out
 
 
@@ -218,6 +242,7 @@ register_export(
         description="Label masks as runs, colour maps and vector JSON.",
         masks=True,
         polygons=True,
+        classifications=True,
         instances=True,
         run=_export_masks,
         options=[
@@ -225,6 +250,10 @@ register_export(
             Option("combined", "Label index map", "bool", True),
             Option("colormap", "Colour map", "bool", False),
             Option("vectors", "Vector shapes", "bool", True),
+            Option("instance", "Instance ids only", "bool", False),
+            Option("bake", "Draw shapes into masks", "bool", False),
+            Option("only_reviewed", "Reviewed frames only", "bool", False),
+            Option("classifications", "Classifications as CSV tables", "bool", False),
         ],
     ),
 )

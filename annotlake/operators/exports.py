@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annotlake.functions.color import map_rgb, table_rgb
+from annotlake.functions.paths import bare_path
 from annotlake.operators.catalog import label_index
 
 
@@ -98,6 +99,35 @@ def vector_json(flattened: DataFrame, label_names: DataFrame) -> DataFrame:
     )
 
 
+def frame_files(frames: DataFrame, folder: str, ending: str) -> DataFrame:
+    """``frame_id, file``: where each frame with a path is written below ``folder``, its own folders kept and its ending replaced."""
+    named = frames.where(F.col("relative_path").isNotNull())
+    file = F.concat(F.lit(f"{folder}/"), bare_path(F.col("relative_path")), F.lit(ending))
+    return named.select(F.col("id").alias("frame_id"), file.alias("file"))
+
+
+def mask_files(masks: DataFrame, frames: DataFrame) -> DataFrame:
+    """Individual masks with their ``file``: a folder for each label, the frame's folders below it."""
+    rest = frame_files(frames, "", ".png")
+    return masks.join(rest, "frame_id").withColumn("file", F.concat(F.lit("individual_masks/"), F.col("label_name"), F.col("file")))
+
+
+def vector_documents(flattened: DataFrame, labels: DataFrame, frames: DataFrame) -> DataFrame:
+    """``file, json``: one JSON array for each frame with shapes, in shape order.
+
+    Every shape carries its label's name and id, its exact nodes with handles, and its outline
+    as a polygon. A document holds the shapes of one frame.
+    """
+    handles = {"x": "x", "y": "y", "inX": "in_x", "inY": "in_y", "outX": "out_x", "outY": "out_y", "smooth": "smooth"}
+    nodes = F.transform("nodes", lambda n: F.struct(*[n[c].alias(key) for key, c in handles.items()]))
+    polygon = F.transform("points", lambda p: F.array(p["x"], p["y"]))
+    names = labels.select("label_id", F.col("name").alias("label"))
+    shape = F.struct(F.coalesce("label", F.lit("")).alias("label"), "label_id", "closed", "filled", nodes.alias("nodes"), polygon.alias("polygon"))
+    listed = flattened.join(names, "label_id", "left").groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("shape_id", shape.alias("shape")))).alias("l"))
+    written = listed.join(frame_files(frames, "vector", ".json"), "frame_id")
+    return written.select("file", F.to_json(F.transform("l", lambda s: s["shape"])).alias("json"))
+
+
 def export_errors(frames: DataFrame) -> DataFrame:
     """Frames an export skips because they have no path."""
     return frames.where(F.col("relative_path").isNull()).select(

@@ -169,9 +169,9 @@ def colormap_map(index_runs: DataFrame, colors: DataFrame) -> DataFrame:
     )
 
 
-def individual_masks(runs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Exported mask per label: instance ids kept, semantic presence as 255."""
-    flags = labels.select("label_id", F.col("name").alias("label_name"), "is_instance")
+def individual_masks(runs: DataFrame, labels: DataFrame, all_ids: bool = False) -> DataFrame:
+    """Exported mask per label: instance ids kept (``all_ids``: those of every label), semantic presence as 255."""
+    flags = labels.select("label_id", F.col("name").alias("label_name"), F.lit(True).alias("is_instance") if all_ids else F.col("is_instance"))
     shown = runs.where(F.col("value") != 0).join(flags, "label_id").withColumn(
         "value", F.when(F.col("is_instance"), F.col("value")).otherwise(F.lit(255)).cast("int")
     )

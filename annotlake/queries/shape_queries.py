@@ -10,6 +10,7 @@ from annotlake.operators import runs as R
 from annotlake.queries.mask_queries import EXTRA as MASKS
 from annotlake.queries.mask_queries import to_runs
 from annotlake.queries.registry import query
+from annotlake.schema import NODE_JSON
 
 NEXT = """select *, lead(node) over w is null as is_end, count(*) over (partition by shape_id) as n,
      coalesce(lead(x) over w, first_value(x) over w) as bx, coalesce(lead(y) over w, first_value(y) over w) as by_,
@@ -284,3 +285,73 @@ def _(t):
         F.size("d.polygon").cast("long").alias("points"),
         F.round(F.aggregate("d.polygon", F.lit(0.0), lambda acc, p: acc + p[0]), 3).alias("sum_x"),
     )
+
+
+# ── the export dispatcher ───────────────────────────────────────────────────
+
+# Frames that are reviewed and have a path, with the path without its ending.
+SHOWN = "select id as frame_id, regexp_replace(relative_path, '([^/])[.][^./]*$', '\\1') as bare from {frames} where relative_path is not null"
+EXPORTED = {
+    **EXTRA,
+    "shown": SHOWN,
+    "reviewed_files": SHOWN + " and reviewed",
+    "own_value": """select distinct frame_id, l.name as label_name, value, y, x from {value_px} join {label_defs} l on l.id = label_id""",
+    "drawn_frames": "select distinct frame_id from {shape_nodes}",
+    "baked_px": """select frame_id, label_id, y, x from {label_px} union select frame_id, label_id, y, x from {fill_px}
+                   union select frame_id, label_id, y, x from {stroke_shape_px}""",
+    "baked_map": """select frame_id, y, x, cast(max(label_index) as int) as value from {baked_px} join {label_idx} using (label_id) group by all""",
+}
+
+
+def exported(t, table: str, **options):
+    from annotlake.formats import run_export
+    from annotlake.queries.component_queries import labelled
+
+    tables = {"frames": t.frames, "labels": labelled(t), "mask_runs": t.mask_runs_raw, "shapes": t.shapes}
+    return run_export("masks", tables, options)[table]
+
+
+@query(
+    "export_masks_instance",
+    to_runs(
+        """select 'individual_masks/' || label_name || '/' || bare || '.png' as file, value, y, x
+           from {own_value} join {reviewed_files} using (frame_id)""",
+        "file, value",
+    ),
+    EXPORTED,
+)
+def _(t):
+    return exported(t, "individual_masks", instance=True, bake=True, only_reviewed=True).select("file", "value", "y", "x0", "x1")
+
+
+@query(
+    "export_masks_baked",
+    to_runs("select 'combined_masks/' || bare || '.png' as file, value, y, x from {baked_map} join {shown} using (frame_id)", "file, value"),
+    EXPORTED,
+)
+def _(t):
+    return exported(t, "combined_masks", bake=True).select("file", "value", "y", "x0", "x1")
+
+
+@query(
+    "vector_documents",
+    """select 'vector/' || bare || '.json' as file, count(*)::int as shapes, sum(nodes)::bigint as nodes, sum(points)::bigint as points,
+              round(sum(handles), 3) as handles, string_agg(name, ',' order by shape_id) as labels
+       from (select shape_id, frame_id, label_id, count(*) as nodes, sum(in_x - out_y) as handles from {shape_nodes} group by all) n
+       join (select shape_id, count(*) as points from {flat} group by 1) f using (shape_id)
+       join {label_defs} l on l.id = n.label_id join {shown} using (frame_id) group by all""",
+    EXPORTED,
+)
+def _(t):
+    kind = f"array<struct<label:string,label_id:long,closed:boolean,filled:boolean,nodes:array<{NODE_JSON}>,polygon:array<array<double>>>>"
+    docs = exported(t, "vector").select("file", F.from_json("json", kind).alias("d"))
+    total = lambda f: F.aggregate("d", F.lit(0), lambda a, s: a + f(s)).cast("long")
+    handles = F.flatten(F.transform("d", lambda s: F.transform(s["nodes"], lambda n: n["inX"] - n["outY"])))
+    return docs.select(
+        "file",
+        F.size("d").alias("shapes"),
+        total(lambda s: F.size(s["nodes"])).alias("nodes"),
+        total(lambda s: F.size(s["polygon"])).alias("points"),
+        F.round(F.aggregate(handles, F.lit(0.0), lambda a, h: a + h), 3).alias("handles"),
+        F.array_join(F.transform("d", lambda s: s["label"]), ",").alias("labels"),
+    )
