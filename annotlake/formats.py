@@ -166,7 +166,7 @@ def _export_yolo(t: TableSet, settings: dict[str, Any]) -> TableSet:
 
 
 def _export_masks(t: TableSet, settings: dict[str, Any]) -> TableSet:
-    """Masks, maps and vector documents of the frames that have a path, and the errors of the others.
+    """Masks, maps and vector documents of the frames that have a path; ``export_errors`` lists the others.
 
     Instance mode writes the ids of every label and nothing that mixes labels or draws into
     masks. Baking draws each frame's shapes into its masks first; vector documents hold the
@@ -189,7 +189,7 @@ def _export_masks(t: TableSet, settings: dict[str, Any]) -> TableSet:
         plain = masks.join(drawn, "frame_id", "left_anti")
         masks = plain.select(*runs.FRAME_LABEL, "value", "y", "x0", "x1").unionByName(baked.withColumn("value", F.lit(1)))
     index = t["labels"].select("label_id", "label_index")
-    out: TableSet = {"errors": exports.export_errors(frames)}
+    out: TableSet = {}
     if settings["individual"] or single:
         out["individual_masks"] = exports.mask_files(runs.individual_masks(masks, t["labels"], single), shown)
     if (settings["combined"] or settings["colormap"]) and not single:

@@ -167,3 +167,29 @@ def test_export_registry(spark, masks, frames):
     lines = run_export("yolo", tables, {"task": "detect"})["labels"].orderBy("line_no").collect()
     assert [r["line"] for r in lines] == ["0 0.300000 0.300000 0.400000 0.400000", "0 0.250000 0.250000 0.400000 0.400000"]
     assert set(run_export("masks", tables)) == {"individual_masks", "combined_masks", "vector"}
+
+
+def test_mask_export_modes(spark, masks):
+    sizes = spark.createDataFrame([(1, 1, 1, "d/f.1.png", 12, 6, True), (2, 1, 2, "g.png", 12, 6, False), (3, 1, 3, None, 12, 6, True)], schema.FRAMES)
+    row = ["." * 12]
+    tables = {
+        "frames": sizes,
+        "labels": spark.createDataFrame(
+            [(1, 1, "cell", "#ff0000", False), (2, 2, "rim", "#00ff00", True)], "label_id long, label_index long, name string, color string, is_instance boolean"
+        ),
+        "mask_runs": masks(["....33......", *row * 5], ["2" * 12, *row * 5], ["1" * 12, *row * 5]),
+        "shapes": spark.createDataFrame([(7, 1, 2, True, True, [(float(x), float(y), float(x), float(y), float(x), float(y), False) for x, y in ((0, 3), (4, 3), (4, 6), (0, 6))])], schema.SHAPES),
+        "classifications": spark.createDataFrame([(1, "kind", ["a"], False), (2, "kind", ["b"], False)], schema.CLASSIFICATIONS),
+        "tasks": spark.createDataFrame([("kind", ["a", "b"], False)], "name string, classes array<string>, is_multilabel boolean"),
+    }
+    single = run_export("masks", tables, {"instance": True, "bake": True, "colormap": True, "only_reviewed": True})
+    assert set(single) == {"individual_masks", "vector"}
+    assert [(r["file"], r["value"], r["y"], r["x0"], r["x1"]) for r in single["individual_masks"].collect()] == [("individual_masks/cell/d/f.1.png", 3, 0, 4, 6)]
+    assert [r["file"] for r in single["vector"].collect()] == ["vector/d/f.1.json"]
+    baked = run_export("masks", tables, {"bake": True, "colormap": True, "classifications": True})
+    assert set(baked) == {"individual_masks", "combined_masks", "colormap", "vector", "classifications", "task_kind"}
+    combined = sorted((r["file"], r["value"], r["y"], r["x0"], r["x1"]) for r in baked["combined_masks"].collect())
+    assert combined == [("combined_masks/d/f.1.png", 1, 0, 4, 6), *[("combined_masks/d/f.1.png", 2, y, 0, 4) for y in (3, 4, 5)], ("combined_masks/g.png", 1, 0, 0, 12)]
+    plain = {(r["file"], r["value"]) for r in run_export("masks", tables)["individual_masks"].collect()}
+    assert plain == {("individual_masks/cell/d/f.1.png", 255), ("individual_masks/cell/g.png", 255)}
+    assert sorted((r["image_path"], r["class_index"]) for r in baked["task_kind"].collect()) == [("d/f.1.png", 0), ("g.png", 1)]
