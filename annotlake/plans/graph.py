@@ -20,7 +20,8 @@ from annotlake.plans.durable import cut
 def star_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys, u, root`` for every vertex that is not its component's smallest.
 
-    ``edges``: keys, u, v with vertices that order; keys keep separate graphs apart.
+    ``edges``: keys, u, v with vertices that order; keys keep separate graphs apart. Joins keep
+    to the shuffles made for them: a broadcast a round would only fill the driver.
     """
     on = [*keys, "u"]
     cols = [*keys, "u", "v"]
@@ -30,9 +31,11 @@ def star_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     while seen[0]:
         both = stars.unionByName(stars.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*on).agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = both.join(least, on).where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+        large = (
+            both.join(least.hint("merge"), on).where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        )
         least = large.groupBy(*on).agg(F.min("v").alias("m"))
-        inner = large.join(least, on).where("v > m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+        inner = large.join(least.hint("merge"), on).where("v > m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
         own = least.select(*keys, "u", F.col("m").alias("v"))
         before = seen
         stars, seen = _written(inner.unionByName(own).select(*cols).distinct())
