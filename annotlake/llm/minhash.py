@@ -132,6 +132,11 @@ def slack(percent: int, sigmas: float = 6.0) -> float:
     return s - sigmas * (p * (1 - p) / (BANDS * ROWS)) ** 0.5 / (1 - chance)
 
 
+def by_key(side: DataFrame) -> DataFrame:
+    """Join this side by a shuffle on the key, whatever its size: dozens of small broadcasts would only fill the driver."""
+    return side.hint("merge")
+
+
 def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (x, y) with signatures, the ids that may reach the similarity by set size and estimate."""
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
@@ -145,13 +150,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= union * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return pairs.join(by_key(left), "a").join(by_key(right), "b").where(both * 100 >= union * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _mixed(rest: DataFrame) -> DataFrame:
     """Members of buckets in which more than one component is left."""
     keys = rest.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    return rest.join(cut(keys), "key")
+    return rest.join(by_key(cut(keys)), "key")
 
 
 def _peeled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,15 +168,15 @@ def _peeled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     for _ in range(2):
         ids = rest.select(F.col("s.id").alias("id")).distinct()
-        token = sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("token"))
+        token = sets.join(by_key(ids), "id", "left_semi").select("id", F.explode("shingles").alias("token"))
         alone = token.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("_id")).where("m = 1")
         own = cut(alone.groupBy("_id").agg(F.count(F.lit(1)).alias("own")))
-        members = rest.drop("own").join(own, F.col("s.id") == F.col("_id"), "left").select("key", "s", "comp", F.coalesce("own", F.lit(0)).alias("own"))
+        members = rest.drop("own").join(by_key(own), F.col("s.id") == F.col("_id"), "left").select("key", "s", "comp", F.coalesce("own", F.lit(0)).alias("own"))
         members = cut(members)
         smallest = cut(members.groupBy("key").agg(F.min("s.n").alias("least")))
         shared = F.col("s.n") - F.col("own")
         may = shared * 100 >= (F.col("s.n") + F.greatest(F.col("least"), shared) - shared) * percent
-        rest = cut(_mixed(cut(members.join(smallest, "key").where(may).select("key", "s", "comp", "own"))))
+        rest = cut(_mixed(cut(members.join(by_key(smallest), "key").where(may).select("key", "s", "comp", "own"))))
     return rest
 
 
@@ -180,10 +185,10 @@ def _joined(roots: DataFrame, late: DataFrame) -> DataFrame:
     if late.isEmpty():
         return roots
     short = lambda side: roots.select(F.col("u").alias(side), F.col("root").alias(f"_{side}"))
-    linked = late.join(short("u"), "u", "left").join(short("v"), "v", "left")
+    linked = late.join(by_key(short("u")), "u", "left").join(by_key(short("v")), "v", "left")
     linked = star_components(linked.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")), [])
     above = linked.select(F.col("u").alias("root"), F.col("root").alias("top"))
-    moved = roots.join(above, "root", "left").select("u", F.coalesce("top", "root").alias("root"))
+    moved = roots.join(by_key(above), "root", "left").select("u", F.coalesce("top", "root").alias("root"))
     return cut(moved.unionByName(linked))
 
 
@@ -191,7 +196,7 @@ def _roots(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], perce
     """``u, root`` of the linked classes among ``id, n``, signatures and bands; ``texts_of`` gives ``id, body`` of a table of ``_id``."""
     sketch = F.struct("id", "n", *PLANES)
     shared = cut(classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
-    live = cut(classes.select(F.explode("bands").alias("key"), sketch.alias("s")).join(shared, "key").select("key", "s", F.col("s.id").alias("comp")))
+    live = cut(classes.select(F.explode("bands").alias("key"), sketch.alias("s")).join(by_key(shared), "key").select("key", "s", F.col("s.id").alias("comp")))
 
     needed = cut(live.select(F.col("s.id").alias("_id")).distinct())
     sets = cut(texts_of(needed).mapInArrow(_sets(width), "id long, shingles array<long>"))
@@ -199,13 +204,13 @@ def _roots(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], perce
     chosen = [F.min_by("s", F.xxhash64(F.lit(k), F.col("s.id"))) for k in range(CENTRES)]
     mixed = live.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.array(*chosen).alias("centres"))
     mixed = cut(mixed.where("c0 <> c1").select("key", "centres"))
-    met = cut(live.join(mixed, "key").select("key", "s", "centres"))
+    met = cut(live.join(by_key(mixed), "key").select("key", "s", "centres"))
     pairs = met.select(F.col("s").alias("x"), F.explode("centres").alias("y")).where("x.id <> y.id")
     links = cut(_confirmed(cut(_candidates(pairs, percent)), sets, percent))
     roots = star_components(links, [])
 
     rest = met.where(~F.exists("centres", lambda c: c["id"] == F.col("s.id"))).select("key", "s")
-    rest = rest.join(roots.withColumnRenamed("u", "_u"), F.col("s.id") == F.col("_u"), "left").select("key", "s", F.coalesce("root", "s.id").alias("comp"))
+    rest = rest.join(by_key(roots.withColumnRenamed("u", "_u")), F.col("s.id") == F.col("_u"), "left").select("key", "s", F.coalesce("root", "s.id").alias("comp"))
     rest = cut(_mixed(cut(rest)))
     if rest.isEmpty():
         return roots
@@ -213,22 +218,22 @@ def _roots(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], perce
     if rest.isEmpty():
         return roots
     hub = cut(rest.groupBy("key").agg(F.min_by(F.struct("s", "comp"), F.struct("own", "s.id")).alias("hub")))
-    met = cut(rest.join(hub, "key"))
+    met = cut(rest.join(by_key(hub), "key"))
     pairs = met.where("comp <> hub.comp").select(F.col("s").alias("x"), F.col("hub.s").alias("y"))
     roots = _joined(roots, cut(_confirmed(cut(_candidates(pairs, percent)), sets, percent)))
 
     left = met.where("s.id <> hub.s.id").select("key", "s", "comp", "own").join(
-        roots.select(F.col("u").alias("comp"), F.col("root").alias("_root")), "comp", "left"
+        by_key(roots.select(F.col("u").alias("comp"), F.col("root").alias("_root"))), "comp", "left"
     )
     left = cut(_mixed(cut(left.select("key", "s", F.coalesce("_root", "comp").alias("comp"), "own"))))
     if left.isEmpty():
         return roots
-    left = cut(left.join(classes.select(F.col("id").alias("_id"), "bands"), F.col("s.id") == F.col("_id")).drop("_id"))
+    left = cut(left.join(by_key(classes.select(F.col("id").alias("_id"), "bands")), F.col("s.id") == F.col("_id")).drop("_id"))
     other = left.select("key", F.col("s").alias("y"), F.col("comp").alias("other"), F.col("own").alias("own_y"), F.col("bands").alias("bands_y"))
     most = F.least(F.col("x.n") - F.col("own"), F.col("y.n") - F.col("own_y"))
     may = (F.col("comp") < F.col("other")) & (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent)
     once = F.array_intersect("bands", "bands_y")[0] == F.col("key")  # a pair that shares several bands meets in the first
-    pairs = left.select("key", F.col("s").alias("x"), "comp", "own", "bands").join(other, "key").where(may & once).select("x", "y")
+    pairs = left.select("key", F.col("s").alias("x"), "comp", "own", "bands").join(by_key(other), "key").where(may & once).select("x", "y")
     return _joined(roots, cut(_confirmed(cut(_candidates(pairs, percent)), sets, percent)))
 
 
@@ -264,9 +269,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
         return texts.join(sized_broadcast(needed), F.col("id") == F.col("_id"), "left_semi").select("id", body())
 
     roots = _roots(classes, texts_of, percent, width)
-    result = classes.select("hi", "lo", "id").join(roots.withColumnRenamed("u", "id"), "id", "left")
+    result = classes.select("hi", "lo", "id").join(by_key(roots.withColumnRenamed("u", "id")), "id", "left")
     result = cut(result.groupBy("hi", "lo").agg(F.min(F.coalesce("root", "id")).alias("root")))
-    out = found.select("doc_id", "n", "hi", "lo").join(result, ["hi", "lo"], "left")
+    out = found.select("doc_id", "n", "hi", "lo").join(by_key(result), ["hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("root"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
@@ -282,16 +287,16 @@ def _doomed(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataF
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "n", "r.row", *[f"r.{p}" for p in PLANES], "r.bands"))
 
     def texts_of(needed: DataFrame) -> DataFrame:
-        chosen = needed.join(classes.select(F.col("id").alias("_id"), "row.t1", "row.t2"), "_id")
+        chosen = needed.join(by_key(classes.select(F.col("id").alias("_id"), "row.t1", "row.t2")), "_id")
         texts = docs.select("text", F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(1), "text").alias("_t2"))
         met = texts.join(sized_broadcast(cut(chosen)), (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")))
         return met.groupBy(F.col("_id").alias("id")).agg(F.first("text").alias("text")).select("id", body())
 
     roots = _roots(classes, texts_of, percent, width)
-    named = cut(classes.select("id", "hi", "lo", "row").join(roots.withColumnRenamed("u", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    named = cut(classes.select("id", "hi", "lo", "row").join(by_key(roots.withColumnRenamed("u", "id")), "id", "left").withColumn("root", F.coalesce("root", "id")))
     best = cut(named.groupBy("root").agg(F.min("row").alias("best")))
-    best = cut(named.join(best, "root").select("hi", "lo", "best"))
-    judged = full.select("doc_id", "t1", "t2", "hi", "lo", row.alias("row")).join(best, ["hi", "lo"]).withColumn("stays", F.col("row") == F.col("best"))
+    best = cut(named.join(by_key(best), "root").select("hi", "lo", "best"))
+    judged = full.select("doc_id", "t1", "t2", "hi", "lo", row.alias("row")).join(by_key(best), ["hi", "lo"]).withColumn("stays", F.col("row") == F.col("best"))
     judged = cut(judged.groupBy("doc_id", "t1", "t2", "stays").agg(F.count(F.lit(1)).alias("m")).where("not stays or m > 1"))
     return judged.where("not stays").drop("stays", "m"), judged.where("stays").drop("stays", "m")
 
