@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from annotlake.functions.color import IMPORT_PALETTE
 from annotlake.formats import ring_rows
 from annotlake.operators import components as P
 from annotlake.operators import geometry as G
@@ -197,8 +198,7 @@ def _(t):
     return I.resolve_image_source(t.frames, blobs, "/data/images")
 
 
-PALETTE = ["#e6194b", "#3cb44b", "#4363d8", "#f58231", "#911eb4", "#46f0f0", "#f032e6", "#bcf60c", "#fabebe", "#008080"]
-COLOR = f"list_extract({PALETTE!r}, (i % 10 + 1)::int)"
+COLOR = f"list_extract({IMPORT_PALETTE!r}, (i % 10 + 1)::int)"
 
 
 @query("default_label_color", f"select p_partkey as i, {COLOR.replace('i %', 'p_partkey %')} as color from {{part}}")
@@ -307,7 +307,7 @@ def _(t):
 
 
 @query(
-    "yolo_segment_lines",
+    "yolo_shape_lines",
     """select relative_path, part, c || ' ' || coords as line from (
          select coalesce(relative_path, concat('frame_', f.id)) as relative_path, s.shape_id as part,
                 (l.label_index - 1)::varchar as c, string_agg(printf('%.6f %.6f', s.x / 256, s.y / 128), ' ' order by s.p) as coords
@@ -316,16 +316,13 @@ def _(t):
     YOLO,
 )
 def _(t):
-    shapes = yolo_shapes(t)
-    none = shapes.where(F.lit(False)).select(
-        "frame_id", "label_index", F.col("shape_id").alias("part"), F.lit(0).alias("ring"), "points"
-    )
-    return YO.yolo_segment_lines(none, shapes, t.frames).select("relative_path", "part", "line")
+    return YO.yolo_shape_lines(yolo_shapes(t), t.frames).select("relative_path", "part", "line")
 
 
+@query("yolo_segment_lines")
 @query("yolo_segment_all_lines")
 def _(t):
-    """Lines of every mask region ring and every shape; the check SQL of ``yolo_segment_lines`` knows the shapes alone."""
+    """Lines of every mask region ring and every shape; ``yolo_shape_lines`` has the lines of shapes with their check SQL."""
     rings = ring_rows({"mask_runs": t.mask_runs_raw, "labels": labelled(t)})
     return YO.yolo_segment_lines(rings, yolo_shapes(t), t.frames).drop("frame_id")
 
@@ -369,7 +366,7 @@ def _(t):
 
 @query(
     "read_yolo_names",
-    "select label_index::int as label_index, name, list_extract(" + repr(PALETTE) + ", ((label_index - 1) % 10 + 1)::int) as color, false as is_instance from {label_idx}",
+    "select label_index::int as label_index, name, list_extract(" + repr(IMPORT_PALETTE) + ", ((label_index - 1) % 10 + 1)::int) as color, false as is_instance from {label_idx}",
     EXTRA,
 )
 def _(t):

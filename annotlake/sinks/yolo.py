@@ -69,10 +69,14 @@ def yolo_segment_lines(rings: DataFrame, shapes: DataFrame, frames: DataFrame) -
 
     ``rings``: frame_id, label_index, part, ring, points.
     """
+    of_rings = _lines(_framed(rings, frames), 0, F.col("part"), F.col("ring"), _ring_line())
+    return of_rings.unionByName(yolo_shape_lines(shapes, frames))
+
+
+def yolo_shape_lines(shapes: DataFrame, frames: DataFrame) -> DataFrame:
+    """The lines of shapes alone."""
     drawn = shapes.where(F.size("points") >= 3)
-    return _lines(_framed(rings, frames), 0, F.col("part"), F.col("ring"), _ring_line()).unionByName(
-        _lines(_framed(drawn, frames), 1, F.col("shape_id"), F.lit(0), _ring_line())
-    )
+    return _lines(_framed(drawn, frames), 1, F.col("shape_id"), F.lit(0), _ring_line())
 
 
 def yolo_label_files(lines: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from check import compare, connect
 
 import __spark_entry__ as entry
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01" if os.environ.get("ANNOTLAKE_ALL_QUERIES") else "/root/testdata/sf0.001"
 CHECKED = entry.oracle_sql()
 SAMPLE = [
     "gallery_listing", "frame_neighbours", "label_tree", "match_frames", "upsert_latest", "sync_labels", "replace_pairs",

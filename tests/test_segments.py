@@ -102,4 +102,4 @@ def test_segment_query_against_plain_regions(spark):
         xs, ys = [x for x, _ in border], [y for _, y in border]
         assert min(max(xs) - min(xs), max(ys) - min(ys)) <= 3 or len(border) < math.hypot(max(xs) - min(xs), max(ys) - min(ys)) * 3
     shapes = sorted((r["relative_path"], r["part"], r["line"]) for r in lines if r["kind"] == 1)
-    assert shapes == sorted(map(tuple, entry.queries()["yolo_segment_lines"](spark, folder).collect()))
+    assert shapes == sorted(map(tuple, entry.queries()["yolo_shape_lines"](spark, folder).collect()))
