@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -59,6 +60,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{most}b")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished work left behind: plans, broadcasts, shuffles and checkpoints.
+
+    Spark removes those from executors and the shared folder once the driver's collectors find
+    that nothing refers to them, which left alone may be long after the next stage began.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of the file system that ``path`` names."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
