@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annotlake.llm.common import remove_folder
+from annotlake.llm.common import release, remove_folder
 from annotlake.llm.decontamination import decontaminate
 from annotlake.llm.minhash import drop_near_duplicates
 from annotlake.llm.mixing import mix_sources
@@ -56,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each one's rows are written to the shared folder and read back; a stage's input goes once its output is written."""
+    """Apply the stages to ``documents``; each one's rows are written to the shared folder and read back; a stage's input, plans, shuffles and checkpoints go once its output is written."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
@@ -64,4 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
             remove_folder(spark, f"{folder}/{k - 1}")
+        release(spark)
     return docs
