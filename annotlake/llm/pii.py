@@ -404,6 +404,7 @@ def replace_entities(docs: DataFrame, key: str = "surrogates", count: str | None
     filled = F.transform(between, lambda x, i: F.concat(_again(x, pattern, F.col("_put.again")), F.coalesce(F.try_element_at(F.col("_put.put"), i), F.try_element_at(own, i + 1), F.lit(""))))
     text = F.when(F.col("_put").isNull(), F.col("text")).otherwise(F.array_join(filled, ""))
     repeats = F.aggregate(between, F.lit(0), lambda a, x: a + F.coalesce(F.regexp_count(x, pattern), F.lit(0)))
-    extra = [(F.coalesce(F.col("_put.n"), F.lit(0)) + F.coalesce(repeats, F.lit(0))).alias(count)] if count else []
+    replaced = F.when(F.col("_put").isNull(), F.lit(0)).otherwise(F.coalesce(F.col("_put.n"), F.lit(0)) + F.coalesce(repeats, F.lit(0)))
+    extra = [replaced.alias(count)] if count else []
     return met.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], *extra)
 
