@@ -15,6 +15,7 @@ from annotlake.llm.common import (
     lower,
     mix,
     packed,
+    release,
     shingle_hashes,
     sized_broadcast,
     small_batches,
@@ -202,7 +203,9 @@ def _roots(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], perce
     met = cut(live.join(mixed, "key").select("key", "s", "centres"))
     pairs = met.select(F.col("s").alias("x"), F.explode("centres").alias("y")).where("x.id <> y.id")
     links = cut(_confirmed(cut(_candidates(pairs, percent)), sets, percent))
+    release(classes.sparkSession)
     roots = star_components(links, [])
+    release(classes.sparkSession)
 
     rest = met.where(~F.exists("centres", lambda c: c["id"] == F.col("s.id"))).select("key", "s")
     rest = rest.join(roots.withColumnRenamed("u", "_u"), F.col("s.id") == F.col("_u"), "left").select("key", "s", F.coalesce("root", "s.id").alias("comp"))
@@ -216,6 +219,7 @@ def _roots(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], perce
     met = cut(rest.join(hub, "key"))
     pairs = met.where("comp <> hub.comp").select(F.col("s").alias("x"), F.col("hub.s").alias("y"))
     roots = _joined(roots, cut(_confirmed(cut(_candidates(pairs, percent)), sets, percent)))
+    release(classes.sparkSession)
 
     left = met.where("s.id <> hub.s.id").select("key", "s", "comp", "own").join(
         roots.select(F.col("u").alias("comp"), F.col("root").alias("_root")), "comp", "left"

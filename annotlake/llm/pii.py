@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotlake.llm.common import packed, sized_broadcast, text_key
+from annotlake.llm.common import packed, release, sized_broadcast, text_key
 from annotlake.plans.durable import cut
 
 # First names by gender and script; a surrogate's first name comes from them while they last.
@@ -395,6 +395,7 @@ def replace_entities(docs: DataFrame, key: str = "surrogates", count: str | None
     other columns and repeated rows are untouched. The same key gives the same surrogates on the same corpus.
     """
     put = _replacements(docs, key, evidence)
+    release(docs.sparkSession)
     line = put.select(F.struct("t1", "t2", "put", "n", "pattern", "again").alias("_put"))
     rows = packed(docs, F.col("text"), *text_key())
     met = rows.join(sized_broadcast(line, 100_000), (F.col("t1") == F.col("_put.t1")) & (F.col("t2") == F.col("_put.t2")), "left")

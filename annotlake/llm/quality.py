@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotlake.llm.common import body, lists, small_batches, span_hashes, text_slices, word_spans
+from annotlake.llm.common import body, lists, release, small_batches, span_hashes, text_slices, word_spans
 from annotlake.llm.labelled import remainder, training_rows
 
 BUCKET_BITS = 16
@@ -159,6 +159,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     odds, bias = train(docs, labels)
+    release(docs.sparkSession)
     if not odds.any():
         return docs
     return docs.where(score_of("text", odds, bias) >= CUT)
