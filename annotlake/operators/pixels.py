@@ -199,6 +199,8 @@ def channel_lut(adjustments: DataFrame, curve: DataFrame) -> DataFrame:
     """Lookup table of each (frame, channel): brightness, contrast, gamma, then the curve.
 
     ``adjustments``: frame_id, channel, brightness, contrast, gamma; ``curve``: a curve table.
+    Both sides hold 256 rows a channel that Spark's size estimate doesn't see, so they are
+    merged by key and never broadcast.
     """
     keys = ["frame_id", "channel"]
     spread = adjustments.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(255))))
@@ -208,7 +210,7 @@ def channel_lut(adjustments: DataFrame, curve: DataFrame) -> DataFrame:
     value = F.pow(value / 255.0, F.lit(1.0) / F.greatest(F.lit(0.01), F.col("gamma"))) * 255.0
     bent = spread.select(*keys, "v", clamp(round_half_up(clamp(value, 0.0, 255.0)), 0, 255).cast("int").alias("mid"))
     looked = curve.select(*keys, F.col("v").alias("mid"), "out")
-    return bent.join(looked, [*keys, "mid"]).select(*keys, "v", "out")
+    return bent.join(looked.hint("merge"), [*keys, "mid"]).select(*keys, "v", "out")
 
 
 def lut_arrays(lut: DataFrame) -> DataFrame:
@@ -223,8 +225,11 @@ def lut_arrays(lut: DataFrame) -> DataFrame:
 
 
 def apply_lut(pixels: DataFrame, lut: DataFrame) -> DataFrame:
-    """Map r, g, b through their tables and the luma table on top; alpha is not touched."""
-    joined = pixels.join(lut_arrays(lut), "frame_id")
+    """Map r, g, b through their tables and the luma table on top; alpha is not touched.
+
+    Tables meet pixels by key: 4 KB a frame, or the pixels, are too much for a broadcast.
+    """
+    joined = pixels.join(lut_arrays(lut).hint("merge"), "frame_id")
 
     def mapped(c: str) -> Column:
         own = F.element_at(f"lut_{c}", F.col(c).cast("int") + 1)
