@@ -3,8 +3,10 @@
 import contextlib
 import io
 
+from pixels import pixel_set
 from pyspark.sql import functions as F
 
+from annotlake.operators import geometry as G
 from annotlake.operators import pixels as X
 
 
@@ -27,3 +29,30 @@ def test_lookup_tables_are_not_broadcast(spark):
     mapped = X.apply_lut(pixels, lut)
     assert "BroadcastHashJoin" not in plan_of(mapped)
     assert {(r.r, r.g, r.b) for r in mapped.collect()} == {(10, 200, 90)}
+
+
+def test_strokes_are_measured_in_batches(spark):
+    """Against every pixel's distance, with level, upright, slanted, single and outlying segments, a repeated shape and one without a place."""
+    lines = {
+        1: [(2.0, 3.5), (9.0, 3.5)], 2: [(4.0, -1.0), (4.0, 30.0)], 3: [(0.5, 0.5), (13.25, 9.75), (20.0, 9.75)],
+        4: [(5.0, 5.0), (5.0, 5.0)], 5: [(-6.0, 2.0), (-1.5, 2.0)], 6: [(15.5, 4.0), (40.0, 4.0)], 7: [(1.0, 2.0), (float("nan"), 4.0)],
+    }
+    node = "x double, y double, in_x double, in_y double, out_x double, out_y double, smooth boolean"
+    rows = [(k, 1, 7, False, False, [(x, y, x, y, x, y, False) for x, y in p]) for k, p in lines.items()]
+    rows.append((1, 1, 7, False, False, [(x + 12.0, 3.5, x + 12.0, 3.5, x + 12.0, 3.5, False) for x in (0.0, 1.0)]))
+    shapes = spark.createDataFrame(rows, f"shape_id long, frame_id long, label_id int, closed boolean, filled boolean, nodes array<struct<{node}>>")
+    frames = spark.createDataFrame([(1, 16, 12)], "id long, width int, height int")
+    drawn = G.rasterize_stroked(shapes, frames)
+    assert "MapInArrow" in plan_of(drawn)
+
+    def near(px, py, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        size = dx * dx + dy * dy
+        t = max(0.0, min(1.0, ((px - a[0]) * dx + (py - a[1]) * dy) / size)) if size > 0 else 0.0
+        return (px - (a[0] + t * dx)) ** 2 + (py - (a[1] + t * dy)) ** 2 <= 2.25
+
+    parts = [(k, p[i], p[i + 1]) for k, p in lines.items() if k != 7 for i in range(len(p) - 1)] + [(1, (12.0, 3.5), (13.0, 3.5))]
+    wanted = {(k, y, x) for k, a, b in parts for y in range(12) for x in range(16) if near(x + 0.5, y + 0.5, a, b)}
+    assert pixel_set(drawn, "shape_id") == wanted
+    found = [(r.shape_id, r.y, x) for r in drawn.collect() for x in range(r.x0, r.x1)]
+    assert len(found) == len(set(found)) and {r.label_id for r in drawn.collect()} == {7}
