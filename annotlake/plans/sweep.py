@@ -1,8 +1,8 @@
 """Row sweep: every set operation on runs as one running sum over run ends.
 
-A run adds its measures at ``x0`` and takes them away at ``x1``. Ends at the same pixel are
-summed before the shuffle to the row, so one row group never holds more than ``width + 1``
-rows however many runs were laid over it.
+A run adds its measures at ``x0`` and takes them away at ``x1``. Ends are dealt by their row
+once, to partitions whose number follows the input; there ends at the same pixel are summed, so
+one row group never holds more than ``width + 1`` rows however many runs were laid over it.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annotlake.plans.spread import spread
+
 
 def run_ends(runs: DataFrame, keys: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
     """``keys, y, x`` and the signed measures, two rows per run."""
@@ -36,7 +38,7 @@ def sweep(
     ends: DataFrame, keys: Sequence[str], measures: Sequence[str], state: Column, out: str = "value"
 ) -> DataFrame:
     """Maximal runs of equal non-null ``state``, an expression over the running measures."""
-    points = ends.groupBy(*keys, "y", "x").agg(*[F.sum(m).alias(m) for m in measures])
+    points = spread(ends, *keys, "y").groupBy(*keys, "y", "x").agg(*[F.sum(m).alias(m) for m in measures])
     row = Window.partitionBy(*keys, "y").orderBy("x")
     upto = row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = points.select(*keys, "y", "x", *[F.sum(m).over(upto).alias(m) for m in measures])

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from annotlake.operators import geometry as G
 from annotlake.operators import pixels as X
+from annotlake.operators import runs as R
+from annotlake.plans.spread import WANTED, size_for
 
 
 def plan_of(df):
@@ -56,3 +58,20 @@ def test_strokes_are_measured_in_batches(spark):
     assert pixel_set(drawn, "shape_id") == wanted
     found = [(r.shape_id, r.y, x) for r in drawn.collect() for x in range(r.x0, r.x1)]
     assert len(found) == len(set(found)) and {r.label_id for r in drawn.collect()} == {7}
+
+
+def test_rows_of_a_sweep_are_dealt_once_over_partitions_that_follow_the_input(spark, masks, tmp_path):
+    (tmp_path / "part.bin").write_bytes(b"0" * 4000)
+    runs = masks(["111.22", "..1..."], ["3.3.3."])
+    try:
+        size_for(spark, str(tmp_path), 100)
+        tidy = R.normalize_runs(runs)
+        assert "REPARTITION_BY_NUM" in plan_of(tidy) and plan_of(tidy).count("Exchange") == 1
+        assert tidy.rdd.getNumPartitions() == 40
+        size_for(spark, str(tmp_path))
+        assert R.normalize_runs(runs).rdd.getNumPartitions() == 8
+    finally:
+        spark.conf.unset(WANTED)
+    assert pixel_set(tidy, "frame_id", "value") == {
+        (1, 1, 0, 0), (1, 1, 0, 1), (1, 1, 0, 2), (1, 2, 0, 4), (1, 2, 0, 5), (1, 1, 1, 2), (2, 3, 0, 0), (2, 3, 0, 2), (2, 3, 0, 4)
+    }
