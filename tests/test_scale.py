@@ -3,13 +3,15 @@
 import contextlib
 import io
 
+import numpy as np
 from pixels import pixel_set
 from pyspark.sql import functions as F
 
 from annotlake.operators import geometry as G
 from annotlake.operators import pixels as X
 from annotlake.operators import runs as R
-from annotlake.plans.spread import WANTED, size_for
+from annotlake.plans import strips
+from annotlake.plans.spread import INITIAL, WANTED, size_for
 
 
 def plan_of(df):
@@ -75,3 +77,34 @@ def test_rows_of_a_sweep_are_dealt_once_over_partitions_that_follow_the_input(sp
     assert pixel_set(tidy, "frame_id", "value") == {
         (1, 1, 0, 0), (1, 1, 0, 1), (1, 1, 0, 2), (1, 2, 0, 4), (1, 2, 0, 5), (1, 1, 1, 2), (2, 3, 0, 0), (2, 3, 0, 2), (2, 3, 0, 4)
     }
+
+
+def test_covers_of_strips_are_those_of_pixels(spark):
+    """Random masks over several strips, a row with very many runs, a key without a value, a frame listed twice with two sizes."""
+    rng = np.random.default_rng(5)
+    rows = [(int(f), None if l == 3 else int(l), 1, int(y), int(x), int(x + n)) for f, l, y, x, n in zip(*(rng.integers(0, m, 900) for m in (2, 4, 150, 40, 12)))]
+    rows += [(7, 1, 1, 64, i % 50, i % 50 + 3) for i in range(3 * strips.MOST)]
+    runs = spark.createDataFrame(rows, "frame_id long, label_id int, value int, y long, x0 int, x1 int").coalesce(2)
+    frames = spark.createDataFrame([(0, 30, 140), (0, 45, 70), (1, 48, 129), (7, 60, 66)], "id long, width int, height int")
+    held = {(f, l, y, x) for f, l, _, y, a, b in rows for x in range(a, b)}
+    disk = [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if dy * dy + dx * dx <= 4]
+    sizes = {0: [(30, 140), (45, 70)], 1: [(48, 129)], 7: [(60, 66)]}
+    grown = {(f, l, y + dy, x + dx) for f, l, y, x in held for dy, dx in disk if any(0 <= y + dy < h and 0 <= x + dx < w for w, h in sizes[f])}
+    close = {p for p in {(f, l, y + dy, x + dx) for f, l, y, x in grown for dy, dx in disk} if all((*p[:2], p[2] + dy, p[3] + dx) in grown for dy, dx in disk)}
+    square = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    edge = {p for p in held if any((*p[:2], p[2] + dy, p[3] + dx) not in held for dy, dx in square)}
+    keys = ["frame_id", "label_id"]
+    for made, wanted in ((R.normalize_runs(runs, keys), held), (R.dilate(runs, frames, 4), grown), (R.close_mask(runs, frames, 2), close), (R.mask_edges(runs, 1, keys), edge)):
+        assert "Window" not in plan_of(made)
+        found = [(r.frame_id, r.label_id, r.y, x) for r in made.collect() for x in range(r.x0, r.x1)]
+        assert len(found) == len(set(found)) and set(found) == wanted
+
+
+def test_shuffles_begin_with_partitions_that_follow_the_input(spark, tmp_path):
+    (tmp_path / "part.bin").write_bytes(b"0" * 4000)
+    try:
+        size_for(spark, str(tmp_path), 100)
+        assert ", 40), ENSURE" in plan_of(spark.range(9).selectExpr("id % 3 as k").groupBy("k").count())
+    finally:
+        spark.conf.unset(WANTED)
+        spark.conf.unset(INITIAL)
