@@ -7,9 +7,11 @@ import numpy as np
 from pixels import pixel_set
 from pyspark.sql import functions as F
 
+from annotlake.operators import components as C
 from annotlake.operators import geometry as G
 from annotlake.operators import pixels as X
 from annotlake.operators import runs as R
+from annotlake.operators import skeleton as S
 from annotlake.plans import strips
 from annotlake.plans.spread import INITIAL, WANTED, size_for
 
@@ -108,3 +110,21 @@ def test_shuffles_begin_with_partitions_that_follow_the_input(spark, tmp_path):
     finally:
         spark.conf.unset(WANTED)
         spark.conf.unset(INITIAL)
+
+
+def test_outlines_of_batches_are_those_of_joins(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(f), 1, 1, int(y), int(x), int(x + n)) for f, y, x, n in zip(*(rng.integers(a, b, 700) for a, b in ((0, 4), (0, 40), (0, 60), (1, 9))))]
+    ring = [(9, 1, 1, y, *p) for y in range(12) for p in ([(2, 30)] if y in (0, 11) else [(2, 4), (28, 30)])]  # a hole
+    runs = spark.createDataFrame(rows + ring, "frame_id long, label_id int, value int, y long, x0 long, x1 long")
+    parts = C.value_components(runs).localCheckpoint()
+    keys = ["frame_id", "label_id", "value", "component"]
+    drawn = lambda: {(*[r[k] for k in keys], tuple((p.x, p.y) for p in r.points)) for r in S.component_outlines(parts, keys).collect()}
+    batches = drawn()
+    monkeypatch.setattr(S, "SMALL", 0)
+    assert len(batches) > 20 and batches == drawn()
+    monkeypatch.setattr(S, "SMALL", 20)
+    assert batches == drawn()
+    monkeypatch.undo()
+    monkeypatch.setattr(S, "component_borders", None)  # small components need no joins
+    assert batches == drawn()
