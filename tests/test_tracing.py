@@ -191,3 +191,33 @@ def test_thinning_across_tiles(masks):
     runs = masks(disk, frame, noise, ["11", "11"], ["1" * 140])
     got = {(r["frame_id"], r["x"], r["y"]) for r in S.thin_components(runs, keys).collect()}
     assert got == want
+
+
+@pytest.fixture(scope="module")
+def speckled(spark, masks):
+    """Skeleton pixels of noise: rings, spurs, junctions side by side, lines of two pixels; one row comes twice."""
+    rng = random.Random(21)
+    noise = [["".join("1" if rng.random() < p else "." for _ in range(90)) for _ in range(40)] for p in (0.35, 0.5, 0.65, 0.8)]
+    words = S.thin_words(P.value_components(masks(*noise, RINGS, TEE, PLUS, ["1"], ["11"])), KEYS)
+    nodes = S.skeleton_nodes(words, KEYS).select(*KEYS, "y", "x").persist()
+    return nodes.unionByName(nodes.limit(1))
+
+
+def listed(df, *cols):
+    return sorted((*(r[k] for k in KEYS), *(r[c] for c in cols), tuple((p["x"], p["y"]) for p in r["points"])) for r in df.collect())
+
+
+def test_centre_lines_in_batches_are_those_of_joins(speckled):
+    joins = listed(S.joined_lines(speckled, KEYS), "line")
+    assert len(joins) > 100
+    assert listed(S.small_lines(speckled, KEYS, S.MIN_SPUR, S.SKELETON_EPSILON), "line") == joins
+
+
+def test_large_skeletons_go_by_joins(speckled, monkeypatch):
+    """Any bound gives the same paths, and without large skeletons one copy is written, however many rounds there are."""
+    written, cut = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df: written.append(1) or cut(df))
+    paths = listed(S.skeleton_paths(speckled, KEYS), "path")
+    assert len(written) == 1
+    assert listed(S.skeleton_paths(speckled, KEYS, 30), "path") == paths
+    assert len(written) > 1
