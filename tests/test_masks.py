@@ -210,3 +210,59 @@ def test_column_encoding_of_a_large_image_in_edge_rows(spark):
     assert sum(counts) == side * side and sum(counts[1::2]) == (side - 200) * (side - 100) - 101 * 200
     back = rle.read_runs_rle(stored, size)
     assert back.select("y", "x0", "x1").exceptAll(runs.select("y", "x0", "x1")).isEmpty() and back.count() == runs.count()
+
+
+def test_masks_are_read_once_and_keep_their_runs(spark, frames):
+    """Mixed encodings, split and overlong records, masks that come in two rows, empty and null ones."""
+    rng = random.Random(3)
+    size, rows, want = (13, 9), [], set()
+    for f in range(1, 40):
+        flat = [rng.choice((0, 0, 1, 1, 1, 7)) for _ in range(13 * 9)]
+        kind = ("rle8", "rle", "mask", None)[f % 4]
+        counts, at = [], 0
+        upright = flat if kind == "rle8" else [int(v > 0) for v in flat]
+        while at < len(flat):
+            n = next((i for i in range(at, len(flat)) if upright[i] != upright[at]), len(flat)) - at
+            counts += [(upright[at], 1), (upright[at], n - 1)] if kind == "rle8" and n > 1 else [(upright[at], n)]
+            at += n
+        if kind == "rle8":
+            data = b"".join(struct.pack("<BI", *c) for c in counts) + b"\2"
+            want |= {(f, v, p // 13, p % 13) for p, v in enumerate(flat) if v}
+        else:
+            data = b"".join(struct.pack("<I", n) for n in ([0] if counts[0][0] else []) + [n for _, n in counts])
+            want |= {(f, 1, p % 9, p // 9) for p, v in enumerate(upright) if v}
+        rows.append((f, 1, kind, data))
+    rows += [(40, 1, "rle", struct.pack("<II", 2, 3)), (40, 1, "rle", struct.pack("<II", 1, 4)), (41, 1, "rle8", b""), (42, 1, "rle", None), (43, 1, "png", b"x")]
+    want |= {(40, 1, p % 9, p // 9) for p in range(3, 10)}  # record by record
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            read.add(part.num_rows)
+            yield part
+
+    kinds = "frame_id long, label_id long, encoding string, mask_data binary"
+    masks, sizes = spark.createDataFrame(rows, kinds).mapInArrow(counted, kinds), frames(*[size] * 43)
+    assert pixel_set(rle.decode_any(masks, sizes), "frame_id", "value") == want
+    assert read.value == len(rows)
+    upgraded = rle.upgrade_encoding(masks, sizes).collect()
+    assert read.value == 2 * len(rows)
+    back = spark.createDataFrame(upgraded, kinds)
+    assert pixel_set(rle.read_runs_rle8(back, sizes), "frame_id", "value") == want
+    assert {r["encoding"] for r in upgraded if r["frame_id"] != 43} == {"rle8"}
+
+
+def test_masks_of_frames_that_come_twice(masks, frames):
+    """A frame that comes twice counts every value twice, as before; a mask over a seam of batches stays one."""
+    runs, sizes = masks(["12.", ".1."]), frames((3, 2))
+    got = rle.write_runs_rle8(runs, sizes.unionByName(sizes)).first()["mask_data"]
+    assert bytes(got) == encode8([2, 4, 0, 0, 2, 0])
+    spark = runs.sparkSession
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        wide = masks(["1.2.3.1.2.3"] * 3, ["1"], [".1"])
+        stored = rle.write_runs_rle8(wide, frames((11, 3), (1, 1), (2, 1)))
+        assert pixel_set(rle.read_runs_rle8(stored, frames((11, 3), (1, 1), (2, 1))), "frame_id", "value") == pixel_set(wide, "frame_id", "value")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
