@@ -13,7 +13,7 @@ from annotlake.operators import pixels as X
 from annotlake.operators import runs as R
 from annotlake.operators import skeleton as S
 from annotlake.plans import strips
-from annotlake.plans.spread import INITIAL, WANTED, size_for
+from annotlake.plans.spread import INITIAL, WANTED, join_shares, size_for
 
 
 def plan_of(df):
@@ -128,3 +128,53 @@ def test_outlines_of_batches_are_those_of_joins(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(S, "component_borders", None)  # small components need no joins
     assert batches == drawn()
+
+
+def test_rows_of_one_label_are_dealt_over_all_partitions(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 10 < 8, 7).when(F.col("id") % 10 == 8, 9).alias("label_id"), F.array("id").alias("points"))
+    labels = spark.createDataFrame([(7, 1), (9, 2), (9, 3), (11, 4)], "label_id int, label_index int")
+    wanted = sorted((r.id, i) for r in rows.collect() for l, i in ((7, 1), (9, 2), (9, 3)) if l == r.label_id)
+    assert sorted((r.id, r.label_index) for r in join_shares(rows, labels, "label_id").collect()) == wanted
+    outer = join_shares(rows, labels, "label_id", "left")
+    assert outer.count() == len(wanted) + 400 and outer.columns == ["label_id", "id", "points", "label_index"]
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        runs = rows.select(F.col("id").alias("frame_id"), "label_id", F.lit(1).alias("value"))
+        met = join_shares(runs, labels, "label_id")
+        share = [r["count"] for r in met.where("label_id = 7").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(share) > 2 and max(share) < 2000  # a join by the label alone leaves all 3,200 to one task
+
+
+def test_components_of_strips_are_those_of_pixels(spark):
+    """Random masks over several strips, a ring and a comb across them, keys without a value, both connectivities."""
+    rng = np.random.default_rng(11)
+    rows = {(int(f), None if f == 3 else 1, int(y), int(x)) for f, y, x in zip(*(rng.integers(0, m, 6000) for m in (4, 200, 30)))}
+    rows |= {(8, 1, y, x) for y in range(140) for x in range(21) if x % 4 == 0 or y in (0, 139)}
+    rows |= {(9, 1, y, x) for y in range(60, 70) for x in (0, 2, 4)} | {(9, 1, 70, x) for x in range(5)}
+    pixels = spark.createDataFrame(sorted(rows, key=str), "frame_id long, label_id int, y long, x long")
+    keys = ["frame_id", "label_id"]
+    runs = R.normalize_runs(pixels.select(*keys, "y", F.col("x").alias("x0"), (F.col("x") + 1).alias("x1")), keys).localCheckpoint()
+    for connectivity, near in ((8, [(-1, -1), (-1, 0), (-1, 1), (0, -1)]), (4, [(-1, 0), (0, -1)])):
+        root = {p: p for p in rows if p[1] is not None}
+
+        def top(p):
+            while root[p] != p:
+                root[p] = p = root[root[p]]
+            return p
+
+        for f, l, y, x in list(root):
+            for dy, dx in near:
+                if (f, l, y + dy, x + dx) in root:
+                    a, b = sorted((top((f, l, y, x)), top((f, l, y + dy, x + dx))))
+                    root[b] = a
+        found = C.components_of(runs, keys, connectivity).collect()
+        assert len(found) == runs.count() and sum(r.x1 - r.x0 for r in found) == len(rows)
+        for r in found:
+            want = (r.y, r.x0) if r.label_id is None else top((r.frame_id, r.label_id, r.y, r.x0))[2:]
+            assert r.component == want[0] * 2**32 + want[1]
