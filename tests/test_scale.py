@@ -12,6 +12,7 @@ from annotlake.operators import geometry as G
 from annotlake.operators import pixels as X
 from annotlake.operators import runs as R
 from annotlake.operators import skeleton as S
+from annotlake.operators import thinning as T
 from annotlake.plans import strips
 from annotlake.plans.spread import INITIAL, WANTED, join_shares, size_for
 
@@ -178,3 +179,25 @@ def test_components_of_strips_are_those_of_pixels(spark):
         for r in found:
             want = (r.y, r.x0) if r.label_id is None else top((r.frame_id, r.label_id, r.y, r.x0))[2:]
             assert r.component == want[0] * 2**32 + want[1]
+
+
+def test_skeletons_of_batches_are_those_of_tiles(spark, monkeypatch):
+    """Noise, a wide bar over many words, thick blocks over several strips, a key without a value, a run without a row."""
+    rng = np.random.default_rng(3)
+    rows = [(int(f), None if f == 3 else 1, int(y), int(x), int(x + n)) for f, y, x, n in zip(*(rng.integers(a, b, 900) for a, b in ((0, 4), (0, 90), (0, 140), (1, 12))))]
+    rows += [(5, 1, y, 30, 5000) for y in range(7)] + [(6, 1, y, 40 + y // 3, 95 + y // 2) for y in range(200)]
+    rows += [(6, 2, y, x, x + 1) for y in range(150) for x in range(0, 400, 3)] + [(7, 1, None, 3, 9), (7, 1, 4, 3, 9)]
+    runs = spark.createDataFrame(rows, "frame_id long, label_id int, y long, x0 long, x1 long")
+    keys = ["frame_id", "label_id"]
+    tidy = R.normalize_runs(runs.where("y is not null"), keys).unionByName(runs.where("y is null")).localCheckpoint()
+    found = lambda: sorted((*[str(r[k]) for k in keys], r.y, r.x, r.crossings, r.kind) for r in S.skeleton_nodes(S.thin_words(tidy, keys), keys).collect())
+    monkeypatch.setattr(T, "AREA", 300)  # the bar goes by tiles, and so does the key of many runs
+    mixed = found()
+    assert {r[0] for r in mixed} == {"0", "1", "2", "3", "5", "6", "7"}
+    monkeypatch.setattr(T, "SMALL", 60)
+    assert mixed == found()
+    monkeypatch.undo()
+    assert mixed == found()
+    monkeypatch.setattr(S, "thin_tiles", None)  # none of these needs an exchange of rims but the key of many runs
+    tidy = tidy.where("not (frame_id = 6 and label_id = 2)")
+    assert [r for r in mixed if r[:2] != ("6", "2")] == found()
