@@ -201,3 +201,18 @@ def test_skeletons_of_batches_are_those_of_tiles(spark, monkeypatch):
     monkeypatch.setattr(S, "thin_tiles", None)  # none of these needs an exchange of rims but the key of many runs
     tidy = tidy.where("not (frame_id = 6 and label_id = 2)")
     assert [r for r in mixed if r[:2] != ("6", "2")] == found()
+
+
+def test_erasing_components_makes_their_runs_once(spark, masks, tmp_path):
+    def marked(parts):
+        import uuid
+
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from parts
+
+    runs = masks(["11.22.3", "1...2.3", "......."]).coalesce(1)
+    runs = runs.mapInArrow(marked, runs.schema)
+    stroke = spark.createDataFrame([(1, 1, 0, 2), (1, 2, 0, 7)], "frame_id long, y long, x0 long, x1 long")
+    left = C.erase_touched_components(runs, stroke, across_labels=True)
+    assert pixel_set(left, "value") == {(2, 0, 3), (2, 0, 4), (2, 1, 4), (3, 0, 6), (3, 1, 6)}
+    assert len(list(tmp_path.iterdir())) == 1
